@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, sharding, token_counts
+from . import decontam, langid, quality, sharding, token_counts
 from .scratch import new_folder
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,6 +39,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn_from(docs)
@@ -50,7 +54,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every window of every item against every stretch of as many document words.
+OP8_SQL = r"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS l, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS k
+  FROM item, range(0, 100000) r(s) WHERE len(w) > 0 AND s <= greatest(len(w) - 13, 0)
+), doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), place AS (
+  SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM doc
+), hit AS (
+  SELECT a.doc_id, a.p, win.item_id, win.l
+  FROM (SELECT doc_id, p, l, array_to_string(w[p + 1 : p + l], ' ') AS k FROM place, (SELECT DISTINCT l FROM win) WHERE p + l <= len(w)) a
+  JOIN win USING (l, k)
+), spread AS (
+  SELECT doc_id, item_id, unnest(range(p, p + l)) AS q FROM hit
+), per AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM spread GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN per USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
