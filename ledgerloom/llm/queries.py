@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, sharding, token_counts
+from . import decontam, langid, linededup, quality, sharding, token_counts
 from .scratch import new_folder
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -43,6 +43,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn_from(docs)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
     "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -86,4 +92,31 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN per USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
+#: Lines of 20 characters or more; a pair within one edit has equal first or last halves, and agrees around one place.
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents
+), f AS (
+  SELECT line, min((doc_id, no)) AS occ, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line
+), c AS (
+  SELECT line, occ, n, n - s AS t FROM f, (VALUES (0), (1)) v(s)
+), pair AS (
+  SELECT a.line, b.line AS other, a.n, b.n AS m, a.t FROM c a JOIN c b ON a.t = b.t AND left(a.line, a.t // 2) = left(b.line, b.t // 2) AND a.line <> b.line AND least(a.n, b.n) = a.t AND b.occ < a.occ
+  UNION
+  SELECT a.line, b.line, a.n, b.n, a.t FROM c a JOIN c b ON a.t = b.t AND right(a.line, a.t // 2) = right(b.line, b.t // 2) AND a.line <> b.line AND least(a.n, b.n) = a.t AND b.occ < a.occ
+), near AS (
+  SELECT DISTINCT line FROM pair, range(0, 200000) r(i)
+  WHERE i <= t AND left(line, i) = left(other, i) AND right(line, greatest(n - i - if(n >= m, 1, 0), 0)) = right(other, greatest(m - i - if(m >= n, 1, 0), 0))
+), lost AS (
+  SELECT l.doc_id, l.no FROM l JOIN f USING (line) WHERE (l.doc_id, l.no) > f.occ OR line IN (SELECT line FROM near)
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_lines, count(lost.no)::BIGINT AS n_dropped,
+       CASE WHEN any_value(n) IS NOT NULL THEN sha256(coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (lost.no IS NULL), '')) END AS kept_sha256
+FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) d
+LEFT JOIN l USING (doc_id) LEFT JOIN lost USING (doc_id, no) GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
+    "op8_decontamination": OP8_SQL,
+}
