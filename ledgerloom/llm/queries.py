@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, neardup, quality, sharding, token_counts
+from . import decontam, langid, linededup, neardup, quality, sentencepiece_fst, sharding, token_counts
 from .scratch import new_folder
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model_path()
+    encoded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"), model, keep=("doc_id", "text"))
+    both = sentencepiece_fst.decode(encoded, model, keep=("doc_id", "text", "token_ids"))
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -61,6 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_token_counts": op7_token_counts,
