@@ -92,10 +92,16 @@ def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
     return labelled.filter(spread < share[F.col("lang")]).limit(2 * per_language * len(counts))
 
 
+def _unit_rows(packed: np.ndarray) -> np.ndarray:
+    """Packed presence bits as rows of length 1."""
+    rows = np.unpackbits(packed, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(axis=1), 1))[:, None]
+
+
 def fit(
     labelled: DataFrame,
-    per_language: int = 600,
-    landmarks: int = 512,
+    per_language: int = 400,
+    landmarks: int = 384,
     ridge: float = 1e-3,
 ) -> LanguageModel:
     """Learn from ``rec_id, text, lang`` (rows with a null in text or lang are ignored).
@@ -120,14 +126,14 @@ def fit(
     languages = sorted({r[0] for r in found})
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    packed = np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), -1)
     labels = np.array([languages.index(r[0]) for r in found])
     each = max(1, landmarks // len(languages))
-    marks = x[np.concatenate([np.flatnonzero(labels == k)[:each] for k in range(len(languages))])]
+    marks = _unit_rows(packed[np.concatenate([np.flatnonzero(labels == k)[:each] for k in range(len(languages))])])
     target = np.eye(len(languages), dtype=np.float64)[labels]
     share = 1 / np.bincount(labels, minlength=len(languages))[labels]  # each language weighs the same
-    k_nm, k_mm = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+    k_nm = np.concatenate([(_unit_rows(packed[i : i + 128]) @ marks.T).astype(np.float64) for i in range(0, len(packed), 128)])
+    k_mm = (marks @ marks.T).astype(np.float64)
     left = k_nm.T @ (k_nm * share[:, None]) + ridge * len(languages) * (k_mm + 1e-6 * np.eye(len(k_mm)))
     alpha = np.linalg.solve(left, k_nm.T @ (target * share[:, None]))
     return LanguageModel(tuple(languages), (marks.T @ alpha).astype(np.float32))

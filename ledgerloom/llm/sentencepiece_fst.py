@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -216,13 +217,13 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: tup
 
 
 def _by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose values in ``column`` take about ``limit`` bytes."""
-    sizes = batch.column(column)
-    ends = np.asarray(sizes.offsets).astype(np.int64) if len(sizes) else np.zeros(1, np.int64)
-    width = 1 if pa.types.is_string(sizes.type) or pa.types.is_large_string(sizes.type) else 32
-    ends = (ends[: len(sizes) + 1] - ends[0]) * width if len(ends) > len(sizes) else np.zeros(len(sizes) + 1, np.int64)
+    """Slices of a batch whose values in ``column`` take about ``limit`` bytes, a row at least."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    held = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False))
     start = 0
-    while start < len(sizes):
-        end = max(start + 1, int(np.searchsorted(ends, ends[start] + limit, "right")) - 1)
+    while start < len(values):
+        before = held[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(held, before + limit, "right")))
         yield batch.slice(start, end - start)
         start = end
