@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, neardup, quality, sentencepiece_fst, sharding, suffix_dedup, token_counts
+from . import decontam, langid, linededup, neardup, quality, sentencepiece_fst, sharding, suffix_dedup, token_counts, warc
 from .scratch import new_folder
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -34,6 +34,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = "date_format(timestampadd(SECOND, page_id, TIMESTAMP_NTZ'2024-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    path = new_folder(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").withColumn("captured_at", F.expr(day)), path)
+    read = warc.read_warc(spark, path, payloads=False)
+    captures = read.select("run", warc.url_key(F.col("url")).alias("url_key"), "date", F.col("record_id").cast("long").alias("id"), "record_type", F.col("refers_to").cast("long").alias("refers_to"), "payload_digest", "payload_bytes")
+    return warc.capture_index(captures).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_rank")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -75,6 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_warc": op3_warc,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
@@ -136,7 +146,29 @@ FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents) d
 LEFT JOIN l USING (doc_id) LEFT JOIN lost USING (doc_id, no) GROUP BY doc_id
 """
 
+#: SHA-1 in base32 is spelled out: four times eight letters of five bits.
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(coalesce(url, '')) AS u, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, u, payload_bytes,
+         array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1)::BIGINT, 1) FOR i IN range(0, 32)], '') AS payload_digest,
+         regexp_extract(u, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) AS host,
+         regexp_replace(u, '^[a-z][a-z0-9+.-]*://[^/?#]*|#.*$', '', 'g') AS rest
+  FROM p
+), k AS (
+  SELECT *, CASE WHEN host = '' THEN u ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest END AS url_key,
+         max(page_id) OVER (PARTITION BY payload_digest) AS kept_id
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < kept_id THEN kept_id END AS refers_to, url_key,
+       (row_number() OVER (ORDER BY url_key, page_id) - 1)::BIGINT AS history_rank
+FROM k
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
     "op8_decontamination": OP8_SQL,
 }
