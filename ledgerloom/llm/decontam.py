@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import stored
+from .scratch import small, stored
 
 WINDOW = 13
 #: Terms of a window whose lists are intersected.
 RAREST = 3
-#: Test vocabularies and items up to these rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_TERMS, BROADCAST_ITEMS = 200_000, 20_000
+#: Test vocabularies, items and documents with a candidate up to these rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_TERMS, BROADCAST_ITEMS, BROADCAST_DOCS = 200_000, 20_000, 500_000
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -40,11 +40,6 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("rec_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """With a broadcast hint if ``df`` has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """``item_key, item_id, item_words, start, length`` for each window of each item that has words."""
     n = F.size("item_words")
@@ -61,7 +56,7 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: how often each of ``terms`` stands in all documents."""
     every = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    few = _small(terms, BROADCAST_TERMS)
+    few = small(terms, BROADCAST_TERMS)
     if few is terms:  # too many to broadcast: count first, so that a frequent word is one row a task
         return every.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
     return every.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
@@ -89,7 +84,7 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of ``terms`` in ``docs`` (from :func:`_keyed`): ``term, rec_id, text_key, at``."""
     postings = docs.select("rec_id", "text_key", F.posexplode(words(F.col("text"))).alias("at", "term"))
-    return postings.join(_small(terms, BROADCAST_TERMS), "term", "left_semi").select("term", "rec_id", "text_key", "at")
+    return postings.join(small(terms, BROADCAST_TERMS), "term", "left_semi").select("term", "rec_id", "text_key", "at")
 
 
 def matches(
@@ -119,7 +114,7 @@ def matches(
     index = stored(build_index(keyed, anchors.select("term").distinct()), "decontam-index")
 
     shift = F.col("at") - F.col("item_at")
-    aligned = index.join(_small(anchors, BROADCAST_TERMS), "term")
+    aligned = index.join(small(anchors, BROADCAST_TERMS), "term")
     if slop:
         aligned = aligned.select("*", F.explode(F.sequence(shift - slop, shift + slop)).alias("shift"))
     else:
@@ -129,7 +124,7 @@ def matches(
         F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("start", "length", "needs")).alias("windows")
     )
     candidates = (
-        agreed.join(_small(stored(per_item, "decontam-items"), BROADCAST_ITEMS), "item_key")
+        agreed.join(small(stored(per_item, "decontam-items"), BROADCAST_ITEMS), "item_key")
         .withColumn("open", F.filter("windows", lambda w: F.size(F.array_except(w["needs"], F.col("met"))) == 0))
         .filter(F.size("open") > 0)
         .select("rec_id", "text_key", "item_id", "item_words", "shift", "open")
@@ -173,7 +168,7 @@ def contamination(
 ) -> DataFrame:
     """How much of each document stands in ``items``, for every row of ``docs``.
 
-    Returns ``id_col, n_words, n_hit`` (words inside occurring windows),
+    Returns ``id_col, text_key`` (the text's xxhash64), ``n_words, n_hit`` (words inside occurring windows),
     ``n_items`` (items with such windows), ``items_sha256`` (of their ids,
     sorted as text and joined by commas; of the empty text if there are none)
     and ``contaminated`` (hit, and ``share * n_hit >= n_words``).  Null and
@@ -194,6 +189,7 @@ def contamination(
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
         F.col("rec_id").alias(id_col),
+        "text_key",
         n_words.alias("n_words"),
         n_hit.cast("long").alias("n_hit"),
         F.size(ids).cast("long").alias("n_items"),

@@ -78,8 +78,8 @@ class LanguageModel:
         return names, sure
 
 
-def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, at most twice as many in all languages together, by hash.
+def sample_rows(labelled: DataFrame, per_language: int, in_all: int) -> DataFrame:
+    """About ``per_language`` rows of each language, fewer where ``in_all`` would be passed, by hash.
 
     The share of each language follows from a count over all labelled rows, so
     a rare language is taken whole and a hot one thinned.
@@ -87,9 +87,10 @@ def sample_rows(labelled: DataFrame, per_language: int) -> DataFrame:
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("n", "lang").collect()  # a row a language
     if not counts:
         return labelled.limit(0)
+    per_language = min(per_language, in_all / 2 / len(counts))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r.n))))
     spread = F.pmod(F.xxhash64("rec_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    return labelled.filter(spread < share[F.col("lang")]).limit(2 * per_language * len(counts))
+    return labelled.filter(spread < share[F.col("lang")]).limit(in_all)
 
 
 def _unit_rows(packed: np.ndarray) -> np.ndarray:
@@ -102,12 +103,13 @@ def fit(
     labelled: DataFrame,
     per_language: int = 400,
     landmarks: int = 384,
+    in_all: int = 8000,
     ridge: float = 1e-3,
 ) -> LanguageModel:
     """Learn from ``rec_id, text, lang`` (rows with a null in text or lang are ignored).
 
-    The bounds: about ``per_language`` rows a language are used, and of these
-    ``landmarks`` in all are landmarks.  What comes to the driver is a packed
+    The bounds: about ``per_language`` rows a language are used, ``in_all``
+    at most, and of these ``landmarks`` in all are landmarks.  What comes to the driver is a packed
     presence vector for each (BUCKETS / 8 bytes), never a text.
     """
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -121,7 +123,7 @@ def fit(
                 packed.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["h", "lang", "bits"])
 
-    rows = sample_rows(labelled, per_language).select(F.xxhash64("rec_id").alias("h"), "lang", "text")
+    rows = sample_rows(labelled, per_language, in_all).select(F.xxhash64("rec_id").alias("h"), "lang", "text")
     found = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.mapInArrow(vectors, "h long, lang string, bits binary").collect())
     languages = sorted({r[0] for r in found})
     if not languages:
@@ -139,23 +141,27 @@ def fit(
     return LanguageModel(tuple(languages), (marks.T @ alpha).astype(np.float32))
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, lang_pred, score`` for each row, from its whole text alone.
+def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in ``keep``, ``lang_pred`` and ``score`` for each row, from its whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text when nothing was learned.  Repeated rows each get their row; an empty
-    table gives an empty result; other columns aren't read.
+    table gives an empty result; other columns aren't read, and ``lang_pred``
+    and ``score`` replace columns of these names.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    names = [c for c in keep if c not in ("lang_pred", "score")]
+    inner = [f"c{i}" for i in range(len(names))]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sure = sent.value.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["id", "lang_pred", "score"])
+            found, sure = sent.value.predict(batch.column(len(inner)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*inner, "lang_pred", "score"])
 
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predicted, schema).withColumnRenamed("id", id_col)
+    fields = [T.StructField(i, df.schema[c].dataType) for i, c in zip(inner, names)]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    rows = df.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), F.col(text_col).alias("text"))
+    return rows.mapInArrow(predicted, schema).select(*(F.col(i).alias(c) for i, c in zip(inner, names)), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

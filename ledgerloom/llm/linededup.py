@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import small, stored
 
 MIN_CHARS = 20
 HALVES, PARTS = 2, 8
@@ -33,10 +33,6 @@ HALVES, PARTS = 2, 8
 BROADCAST_LINES, BROADCAST_DROPPED = 1_000_000, 1_000_000
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("rec_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
@@ -137,7 +133,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = seen.select("h1", F.explode(F.array("k00", "k01", "k10", "k11")).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
     maybe = stored(halves.join(shared, "k").select("h1").distinct(), "lines-maybe")
-    texts = long_enough.withColumn("h1", F.xxhash64("line")).join(_small(maybe, BROADCAST_LINES), "h1")
+    texts = long_enough.withColumn("h1", F.xxhash64("line")).join(small(maybe, BROADCAST_LINES), "h1")
     distinct = texts.groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(occ).alias("occ"), F.any_value("line").alias("line"))
     near = near_dropped(stored(distinct.select("h1", "occ", "line"), "lines-distinct"))
     return repeats.union(near).select("occ.*").distinct()

@@ -231,7 +231,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame,
-    size: int = 4,
+    size: int = 5,
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -240,7 +240,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Near-duplicate components, a row for each row of ``df``.
 
-    Returns ``id_col, n_shingles`` (size of the set of ``size``-word shingles),
+    Returns ``id_col, text_key`` (the text's xxhash64), ``n_shingles`` (size of the set of ``size``-word shingles),
     ``component_id`` (the smallest id reachable over links of similarity
     ``percent`` or more) and ``kept`` (it is that id).  Null, empty and
     wordless texts have no shingles, are linked with nothing and are kept; a
@@ -270,8 +270,8 @@ def near_duplicates(
         labels = components(links.union(more))
 
     named = signed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = stored(named.select("rec_id", "n", "label"), "dup-named")
+    named = stored(named.select("rec_id", "text_key", "n", "label"), "dup-named")
     ids = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("rec_id").alias("component_id"))
     out = named.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("rec_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("rec_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("rec_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/ledgerloom"
 
@@ -42,3 +43,19 @@ def forget(df: DataFrame) -> None:
         if "/ledgerloom-" in folder:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, with a broadcast hint only if it has at most so many rows (counted)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows of (id, hash) that without() broadcasts; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` but those in ``gone`` (``id_col``, ``text_key``: the text's xxhash64), null ids alike."""
+    gone = stored(gone.select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    on = [docs[id_col].eqNullSafe(gone["gone_id"]), F.xxhash64(docs[text_col]) == gone["gone_key"]]
+    return docs.join(small(gone, BROADCAST_ROWS), on, "left_anti")
