@@ -63,6 +63,7 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else proto.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else b"" for p in proto.pieces]
+        self.leading = {i for p, i in self.pieces.items() if p.startswith(MARK)}
         self.unknown_cost = -(min(self.scores) - 10)
         cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces)
         alone = "\n" if not any("\n" in p for p in self.pieces) else ""
@@ -84,10 +85,6 @@ class Transducer:
             text = re.sub(" +", " ", text).strip(" ")
         return ((" " if self.prefix and text else "") + text).replace(" ", MARK)
 
-    def denormalise(self, text: str) -> str:
-        text = text.replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
     def _merged(self, text: str) -> list[str]:
         """What merging the best-scored neighbours, leftmost first, makes of a short text."""
         parts = list(text)
@@ -172,7 +169,8 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
         text = b"".join([self.surface[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        first = next((i for i in ids if self.surface[i]), self.unknown)
+        return text[1:] if self.prefix and first in self.leading else text
 
 
 def _kept_fields(df: DataFrame, names: list[str]) -> list[T.StructField]:

@@ -41,10 +41,11 @@ def base32_sha1(data: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Sort key of a URL: the lower-cased host from the top domain down, then path and query in lower case."""
-    host = F.regexp_extract(F.lower(url), "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    rest = F.regexp_replace(F.lower(url), "^[a-z][a-z0-9+.-]*://[^/?#]*|#.*$", "")
-    return F.when(host == "", F.coalesce(F.lower(url), F.lit(""))).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
+    """Sort key of a URL: the lower-cased host from the top domain down, then path and query in lower case; what has no host is its own key, a null is empty."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    host = F.regexp_extract(low, "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    rest = F.regexp_replace(low, "^[a-z][a-z0-9+.-]*://[^/?#]*|#.*$", "")
+    return F.when(host == "", low).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
 
 
 def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date_col: str, min_bytes: int) -> DataFrame:
@@ -218,7 +219,7 @@ def capture_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
     key = ["url_key", "date", "id"]
     rest = [c for c in captures.columns if c not in key]
     fields = [*key, *rest]
-    schema = T.StructType([*(captures.schema[c] for c in fields), T.StructField("range_no", T.IntegerType()), T.StructField("place", T.LongType())])
+    schema = T.StructType([*(captures.schema[c] for c in fields), T.StructField("_range_no", T.IntegerType()), T.StructField("_place", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list[tuple]] = {}
@@ -241,7 +242,7 @@ def capture_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
 
     ordered = captures.select(*fields).repartitionByRange(ranges, *key).sortWithinPartitions("run", *key)
     placed = stored(ordered.mapInArrow(merge, schema), "warc-index")
-    before = F.coalesce(F.sum("n").over(W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    begins = placed.groupBy("range_no").agg(F.count("*").alias("n")).withColumn("before", before).select("range_no", "before")  # a row a range
+    before = F.coalesce(F.sum("n").over(W.orderBy("_range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = placed.groupBy("_range_no").agg(F.count("*").alias("n")).withColumn("_before", before).select("_range_no", "_before")  # a row a range
     begins = F.broadcast(begins) if ranges <= BROADCAST_RANGES else begins
-    return placed.join(begins, "range_no").select(*captures.columns, (F.col("before") + F.col("place")).alias("history_rank"))
+    return placed.join(begins, "_range_no").select(*captures.columns, (F.col("_before") + F.col("_place")).alias("history_rank"))
