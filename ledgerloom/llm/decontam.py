@@ -132,8 +132,8 @@ def matches(
     candidates = stored(candidates, "decontam-candidates")
 
     own = [keyed["rec_id"].eqNullSafe(F.col("hit_id")), keyed["text_key"] == F.col("hit_key")]
-    wanted = candidates.select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    texts = keyed.join(wanted, own, "left_semi").distinct().select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key"), words(F.col("text")).alias("doc_words"))
+    wanted = stored(candidates.select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "decontam-wanted")
+    texts = keyed.join(small(wanted, BROADCAST_DOCS), own, "left_semi").distinct().select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key"), words(F.col("text")).alias("doc_words"))
     both = candidates.join(texts, [candidates["rec_id"].eqNullSafe(texts["hit_id"]), candidates["text_key"] == texts["hit_key"]])
 
     def same(w: Column) -> Column:
