@@ -28,7 +28,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 RATIOS: dict[str, tuple[str, str, int, int, int]] = {
     "symbol_ratio": ("n_symbols", "word_chars", 1000, 1000, 20),
     "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000, 350),
-    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 1000, 200),
+    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 1000, 350),
     "word_length": ("word_chars", "n_words", 100, 10_000, 150),
 }
 #: Fence: median + FENCE * (median - LOW quantile) + slack. Both quantiles hold while over half of a group is sound.
