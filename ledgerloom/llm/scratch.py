@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "file:///tmp/checkpoints/ledgerloom"
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -32,17 +35,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     reread of the file, never a rerun of the stages before.
     """
     path = new_folder(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored`, once nothing reads it."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/ledgerloom-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process stored; DataFrames that read them are of no more use."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
