@@ -9,8 +9,9 @@ find is confirmed on the full sets, and links become components.
 
 Equal sets are one set throughout, so copies cost nothing.  A node's sets are
 never listed as pairs: a first round links each to the first set that it
-resembles, and a second compares only sets that are still in different
-components.
+resembles, and a second looks at sets that still resemble one of another
+component.  These meet with their full sets in the node, and only links that
+join two components leave it.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from .components import components
 from .scratch import stored
 
 SKETCH = 128
-#: At depth 1 each tree chooses 1 or 2 tokens (1.25 on average, the inverse of the threshold), deeper nodes 2.
-TREES, EXTRA_EVERY, DEEP_TOKENS = 8, 4, 2
+#: At depth 1 each tree chooses 1 or 2 tokens, 1.4 on average (the inverse of the threshold is 1.25), deeper nodes 2.
+TREES, EXTRA_EVERY, DEEP_TOKENS = 5, 3, 2
 LEAF, DEPTH = 1000, 3
+#: A large node whose sets agree in this share of places on average isn't branched: that wouldn't part them.
+DENSE, DENSE_PLACES = 0.4, 8
 #: Sketches may show this much less than the threshold: over four standard deviations.
 SLACK = 0.145
 #: Representatives up to this many are found by a broadcast.
@@ -80,19 +83,24 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sign(keyed: DataFrame, size: int) -> DataFrame:
-    """``rec_id, text_key, n, cid, sketch`` for each row; ``cid`` stands for the set, null if it is empty."""
+    """``rec_id, text_key, n, cid, sketch, low`` for each row; ``cid`` stands for the set, null if it is empty.
+
+    ``low`` has one byte of each minwise value of ``sketch``: enough to compare.
+    """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, low = [], [], []
+            n, cid, full, low = [], [], [], []
             for text in batch.column(2).to_pylist():
                 values = shingles(text, size)
+                own = sketch(values) if len(values) else None
                 n.append(len(values))
-                cid.append(set_id(values) if len(values) else None)
-                low.append(sketch(values).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(low, pa.binary())], names=["rec_id", "text_key", "n", "cid", "sketch"])
+                cid.append(None if own is None else set_id(values))
+                full.append(None if own is None else own.tobytes())
+                low.append(None if own is None else own.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, full, low))], names=["rec_id", "text_key", "n", "cid", "sketch", "low"])
 
-    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("n", T.LongType()), T.StructField("cid", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("cid", "sketch", "low"))])
     return keyed.mapInArrow(signed, schema)
 
 
@@ -119,11 +127,25 @@ def _choose(node: Column, j: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(j)), F.lit(SKETCH)).cast("int")
 
 
+def _dense(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node`` of those whose sets agree in DENSE of the places on average, each pair counted."""
+    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("sketch", i * (SKETCH // DENSE_PLACES) * 4 + 1, 4).alias("v")) for i in range(DENSE_PLACES))))
+    each = members.join(classes.select("cid", "sketch"), "cid").select("node", "n", places.alias("p")).groupBy("node", "n", "p.i", "p.v").agg(F.count("*").alias("c"))
+    return each.groupBy("node", "n").agg(F.sum(F.col("c") * F.col("c")).alias("agree")).filter(F.col("agree") >= DENSE * DENSE_PLACES * F.col("n") * F.col("n")).select("node")
+
+
+def _blocks(members: DataFrame, leaf: int) -> DataFrame:
+    """Nodes cut in blocks of half a leaf, and a node for each two blocks: all pairs still meet."""
+    own = members.withColumn("blocks", F.ceil(F.col("n") * 2 / leaf)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid")
+
+
 def leaves(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``node, cid`` of all nodes with 2 to ``leaf`` sets.
+    """``node, cid`` of all nodes with 2 to about ``leaf`` sets.
 
-    A node that is larger at the last depth is cut in blocks, and each two
-    blocks make a node: all its pairs still meet.
+    Larger nodes branch.  One that is dense, or still larger at the last
+    depth, is cut in blocks instead.
     """
     roots = [(t, j) for t in range(trees) for j in range(2 if t % EXTRA_EVERY == 0 else 1)]
     first = F.explode(F.array(*(_child(F.lit(t), _choose(F.lit(t), j)) for t, j in roots)))
@@ -132,78 +154,131 @@ def leaves(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int
     for level in range(depth):
         nodes = stored(nodes, "path-nodes")
         sizes = stored(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
-        small = nodes.join(sizes.filter(F.col("n") <= leaf), "node").select("node", "cid")
-        done = small if done is None else done.union(small)
+        fine = nodes.join(sizes.filter(F.col("n") <= leaf), "node").select("node", "cid")
+        done = fine if done is None else done.union(fine)
         large = sizes.filter(F.col("n") > leaf)
         if not large.limit(1).count():
             return done
         members = nodes.join(large, "node")
-        if level + 1 < depth:
-            deeper = F.explode(F.array(*(_child(F.col("node"), _choose(F.col("node"), j)) for j in range(DEEP_TOKENS))))
-            nodes = members.join(classes.select("cid", "sketch"), "cid").select("cid", deeper.alias("node")).distinct()
-        else:
-            blocks = F.ceil(F.col("n") * 2 / leaf)
-            own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-            paired = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            done = done.union(paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid"))
+        if level + 1 == depth:
+            return done.union(_blocks(members, leaf))
+        dense = stored(_dense(members, classes), "path-dense")
+        done = done.union(_blocks(members.join(dense, "node", "left_semi"), leaf))
+        deeper = F.explode(F.array(*(_child(F.col("node"), _choose(F.col("node"), j)) for j in range(DEEP_TOKENS))))
+        nodes = members.join(dense, "node", "left_anti").join(classes.select("cid", "sketch"), "cid").select("cid", deeper.alias("node")).distinct()
     return done
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
-    """The nodes of a partition that is sorted by node: set ids, sketches, labels."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """The nodes of a partition that is sorted by node, each with its other columns."""
     last, held = None, []
-
-    def flush() -> tuple[list[bytes], np.ndarray, list]:
-        rows = np.frombuffer(b"".join(r[1] for r in held), np.uint32).reshape(len(held), SKETCH)
-        return [r[0] for r in held], rows, [r[2] for r in held]
-
     for batch in batches:
         for node, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if node != last and held:
-                yield flush()
+                yield last, list(zip(*held))
                 held = []
             last = node
             held.append(row)
     if held:
-        yield flush()
+        yield last, list(zip(*held))
 
 
-def _alike(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return np.count_nonzero(rows == own, axis=1)
+def _pairs(rows: list[tuple], names: tuple[str, str], kinds: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
 
-def resembling(nodes: DataFrame, least: int, stars: bool) -> DataFrame:
-    """Pairs ``a, b`` (a < b) of sets in one node whose sketches agree in ``least`` places or more.
+def first_resembling(nodes: DataFrame, least: int) -> DataFrame:
+    """Pairs ``a, b`` of sets in one node whose sketches agree in ``least`` places or more.
 
-    ``nodes`` has ``node, cid, sketch, label``.  With ``stars`` each set is
-    paired with the first that it resembles of those that stand alone; without,
-    every pair with different labels is given.
+    A set that stands alone is paired with all that resemble it and stand
+    alone too, and with the first of the others that does.  So each set that
+    resembles any is in a pair, and a node gives no more than two for each.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for ids, rows, labels in _grouped(batches):
-            if stars:
-                open_ = np.arange(len(ids))
-                while len(open_) > 1:
-                    like = _alike(rows[open_[1:]], rows[open_[0]]) >= least
-                    for i in open_[1:][like]:
-                        a.append(ids[open_[0]])
-                        b.append(ids[i])
-                    open_ = open_[1:][~like]
-            else:
-                names = np.array([hash(x) for x in labels])
-                for i in range(len(ids) - 1):
-                    other = np.flatnonzero(names[i + 1 :] != names[i]) + i + 1
-                    for k in other[_alike(rows[other], rows[i]) >= least] if len(other) else ():
-                        a.append(ids[i])
-                        b.append(ids[k])
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    ordered = nodes.select("node", "cid", "sketch", "label").repartition("node").sortWithinPartitions("node", "cid")
+        out: list[tuple] = []
+        for _, (ids, low) in _grouped(batches):
+            rows = np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), SKETCH)
+            alone = np.ones(len(ids), bool)
+            for i in range(len(ids)):
+                if not alone[i]:
+                    continue
+                like = np.count_nonzero(rows == rows[i], axis=1) >= least
+                like[i] = alone[i] = False
+                out += [(ids[i], ids[j]) for j in np.flatnonzero(like & alone)]
+                out += [(ids[j], ids[i]) for j in np.flatnonzero(like & ~alone)[:1]]
+                alone &= ~like
+            if len(out) >= 10_000:
+                yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
+                out = []
+        yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
+
+    ordered = nodes.select("node", "cid", "low").repartition("node").sortWithinPartitions("node", "cid")
+    pairs = ordered.mapInArrow(found, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def still_apart(nodes: DataFrame, least: int) -> DataFrame:
+    """``node, cid`` of sets that resemble one of another ``label`` in their node."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, (ids, low, labels) in _grouped(batches):
+            names = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+            if not names.any():
+                continue
+            rows = np.frombuffer(b"".join(low), np.uint8).reshape(len(ids), SKETCH)
+            open_ = np.zeros(len(ids), bool)
+            for i in range(len(ids) - 1):
+                other = np.flatnonzero(names[i + 1 :] != names[i]) + i + 1
+                like = other[np.count_nonzero(rows[other] == rows[i], axis=1) >= least]
+                if len(like):
+                    open_[i] = open_[like] = True
+            if open_.any():
+                yield _pairs([(node, ids[i]) for i in np.flatnonzero(open_)], ("node", "cid"), (pa.int64(), pa.binary()))
+
+    ordered = nodes.select("node", "cid", "low", "label").repartition("node").sortWithinPartitions("node", "cid")
+    return ordered.mapInArrow(found, "node long, cid binary")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of presence matrices; values of one set alone are left out."""
+    values, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.cumsum(times > 1) - 1
+    keep = times[inverse] > 1
+    owner, column = owner[keep], shared[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int((times > 1).sum()), 4096):
+        low, high = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def links_in_nodes(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of sets at the threshold, as many for each node as join its components (``label``) to fewer."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (ids, labels, values) in _grouped(batches):
+            sets = [np.frombuffer(v, np.uint64) for v in values]
+            size = np.array([len(s) for s in sets])
+            common = intersections(sets)
+            link = 100 * common >= percent * (size[:, None] + size - common)
+            root = np.unique(np.array(labels, dtype=object), return_inverse=True)[1]
+            out = []
+            for i in range(len(ids)):
+                for j in np.flatnonzero(link[i] & (root != root[i])):
+                    if root[j] != root[i]:
+                        out.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+            if out:
+                yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
+
+    ordered = nodes.select("node", "cid", "label", "values").repartition("node").sortWithinPartitions("node", "cid")
     return ordered.mapInArrow(found, "a binary, b binary").distinct()
 
 
@@ -251,21 +326,22 @@ def near_duplicates(
     """
     keyed = _keyed(df, id_col, text_col)
     signed = stored(sign(keyed, size), "dup-signed")
-    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), F.any_value("sketch").alias("sketch"))
+    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("low").alias("low"))
     classes = stored(classes, "dup-classes")
-    nodes = stored(leaves(classes, trees, leaf).join(classes.select("cid", "sketch"), "cid"), "dup-leaves")
+    nodes = stored(leaves(classes, trees, leaf).join(classes.select("cid", "low"), "cid"), "dup-leaves")
     least = int(np.ceil((percent / 100 - SLACK) * SKETCH))
 
-    first = stored(resembling(nodes.withColumn("label", F.lit(None).cast("binary")), least, True), "dup-first")
+    first = stored(first_resembling(nodes, least), "dup-first")
     wanted = first.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("rep.*")
     sets = stored(full_sets(keyed, wanted, size), "dup-sets")
     links = stored(confirmed(first, sets, percent), "dup-links")
     labels = components(links)
 
-    tagged = nodes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    second = resembling(tagged, least, False).join(first, ["a", "b"], "left_anti")
-    second = stored(second, "dup-second")
-    more = stored(confirmed(second, sets, percent), "dup-more")
+    label = F.coalesce("label", "cid")
+    tagged = nodes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label)
+    apart = stored(still_apart(tagged, least), "dup-apart")
+    meeting = apart.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).join(sets, "cid")
+    more = stored(links_in_nodes(meeting, percent), "dup-more")
     if more.limit(1).count():
         labels = components(links.union(more))
 

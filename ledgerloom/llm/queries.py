@@ -28,10 +28,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = piece_model_path()
-    encoded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"), model, keep=("doc_id", "text"))
-    both = sentencepiece_fst.decode(encoded, model, keep=("doc_id", "text", "token_ids"))
-    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    encoded = sentencepiece_fst.encode(table(spark, sf_dir, "documents"), piece_model_path(), check="round_trip")
+    return encoded.select("doc_id", F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

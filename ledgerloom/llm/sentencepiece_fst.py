@@ -17,8 +17,9 @@ Arc weights follow the model type:
   whole text gives, and there is one only, so one state at a position has a
   finite weight.
 
-No piece has a mark after another character, so paths of stretches that begin
-with a mark join to the path of the whole text; short stretches are memoised.
+Where no piece has two neighbouring characters side by side, no arc crosses
+their border, and the paths of the stretches on both sides join; short
+stretches are memoised.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Stretches up to so many characters are memoised, and so many of them and of borders in a worker.
-MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 600_000, 500_000
+MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 500_000, 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 _INFINITY = float("inf")
@@ -63,13 +64,18 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else proto.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else b"" for p in proto.pieces]
+        self.piece_of = {i: p for p, i in self.pieces.items()}
+        self.size, self.longest = len(self.scores), max(map(len, self.pieces), default=1)
         self.leading = {i for p, i in self.pieces.items() if p.startswith(MARK)}
         self.unknown_cost = -(min(self.scores) - 10)
         cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces)
         alone = "\n" if not any("\n" in p for p in self.pieces) else ""
         self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")) if cuts else re.compile(r"(?s).+")
         self.memo: dict[str, tuple[int, ...]] = {}
-        self.borders: dict[tuple[str, str], bool] = {}
+        self.borders: dict[int, bool] = {}
+        self.histories: dict[str, tuple[bool, list[tuple[float, str, str]]]] = {}
+        self.score_of = {p: self.scores[i] for p, i in self.pieces.items()}
+        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
 
     @classmethod
     def of(cls, path: str) -> "Transducer":
@@ -85,30 +91,67 @@ class Transducer:
             text = re.sub(" +", " ", text).strip(" ")
         return ((" " if self.prefix and text else "") + text).replace(" ", MARK)
 
-    def _merged(self, text: str) -> list[str]:
-        """What merging the best-scored neighbours, leftmost first, makes of a short text."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = -_INFINITY, -1
-            for i in range(len(parts) - 1):
-                found = self.pieces.get(parts[i] + parts[i + 1])
-                if found is not None and self.scores[found] > best:
-                    best, at = self.scores[found], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def survives(self, left: str, right: str) -> bool:
-        """Whether no merge crosses the border of two pieces; an empty ``left`` asks about ``right`` alone."""
-        pair = (left, right)
+    def _history(self, piece: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """Merging a piece alone, best-scored neighbours first, leftmost if equal.
+
+        Whether the piece itself comes out, and for each merge its score and
+        the symbols at the left and right ends after it.
+        """
+        known = self.histories.get(piece)
+        if known is None:
+            parts, steps = list(piece), []
+            while len(parts) > 1:
+                best, at = -_INFINITY, -1
+                for i in range(len(parts) - 1):
+                    score = self.score_of.get(parts[i] + parts[i + 1])
+                    if score is not None and score > best:
+                        best, at = score, i
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                steps.append((best, parts[0], parts[-1]))
+            known = self.histories[piece] = len(parts) == 1, steps
+        return known
+
+    def survives(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the border of two pieces, given by id; with no piece on the left (-1), whether ``right`` comes out alone.
+
+        Until one does, merges on either side are those of the piece alone, in
+        the order of their scores; so it is enough to look, between any two of
+        them, at what stands at the border.
+        """
+        pair = left * self.size + right
         known = self.borders.get(pair)
         if known is None:
             if len(self.borders) >= MEMO_BORDERS:
                 self.borders.clear()
-            known = self.borders[pair] = self._merged(left + right) == ([left, right] if left else [right])
+            known = self.borders[pair] = self._survives(self.piece_of.get(left, ""), self.piece_of[right])
         return known
 
+    def _survives(self, left: str, right: str) -> bool:
+        whole, after = self._history(right)
+        if not left or not whole:
+            return whole
+        whole, before = self._history(left)
+        if not whole:
+            return False
+        i = j = 0
+        x, y = left[-1], right[0]
+        while True:
+            next_left = before[i][0] if i < len(before) else -_INFINITY
+            next_right = after[j][0] if j < len(after) else -_INFINITY
+            across = self.score_of.get(x + y)
+            if across is not None and across > next_left and across >= next_right:
+                return False
+            if i < len(before) and next_left >= next_right:
+                x = before[i][2]
+                i += 1
+            elif j < len(after):
+                y = after[j][1]
+                j += 1
+            else:
+                return True
+
     def _arcs(self, text: str, at: int) -> Iterator[str]:
         """Pieces that begin at a position, shortest first."""
         starts, pieces, n = self.starts, self.pieces, len(text)
@@ -122,7 +165,7 @@ class Transducer:
         """Shortest path of a normalised stretch, as piece ids."""
         n = len(text)
         cost = [0.0] + [_INFINITY] * n
-        last: list[str | None] = [""] + [None] * n  # the last piece; "" also after a character without one: nothing merges with it
+        last = [-1] * (n + 1)  # the last piece; none also after a character that has none, since nothing merges with it
         back = [0] * (n + 1)
         for at in range(n):
             so_far = cost[at]
@@ -133,37 +176,68 @@ class Transducer:
             for piece in self._arcs(text, at):
                 end = at + len(piece)
                 lone = lone and len(piece) > 1
+                own = self.pieces[piece]
                 if self.bpe:
-                    if cost[end] == _INFINITY and self.survives(before, piece):
-                        cost[end], last[end], back[end] = 0.0, piece, at
-                elif (weight := so_far - self.scores[self.pieces[piece]]) < cost[end]:
-                    cost[end], last[end], back[end] = weight, piece, at
+                    if cost[end] == _INFINITY and self.survives(before, own):
+                        cost[end], last[end], back[end] = 0.0, own, at
+                elif (weight := so_far - self.scores[own]) < cost[end]:
+                    cost[end], last[end], back[end] = weight, own, at
             if lone and (weight := so_far + (0 if self.bpe else self.unknown_cost)) < cost[at + 1]:
-                cost[at + 1], last[at + 1], back[at + 1] = weight, "", at
+                cost[at + 1], last[at + 1], back[at + 1] = weight, -1, at
         ids: list[int] = []
         end = n
         while end:
             at = back[end]
-            ids += [self.pieces[last[end]]] if last[end] else self._fallback(text[at:end])[::-1]
+            ids += [last[end]] if last[end] >= 0 else self._fallback(text[at:end])[::-1]
             end = at
         return tuple(ids[::-1])
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
+    def _prefix(self, text: str) -> tuple[int, ...]:
+        """:meth:`_path` of a short BPE stretch, looked for from its end.
+
+        All finite paths weigh nothing, and a stretch has one; so the first
+        last piece that survives next to the path of what is before it is on
+        it.  Prefixes are memoised: stretches share many.
+        """
+        found = self.memo.get(text)
+        if found is not None:
+            return found
+        pieces, n = self.pieces, len(text)
+        for at in range(max(0, n - self.longest), n):
+            piece = pieces.get(text[at:])
+            if piece is not None:
+                before = self._prefix(text[:at]) if at else ()
+                if self.survives(before[-1] if before else -1, piece):
+                    found = (*before, piece)
+                    break
+        else:  # no piece ends here
+            found = (*(self._prefix(text[:-1]) if n > 1 else ()), *self._fallback(text[-1]))
+        if len(self.memo) >= MEMO_STRETCHES:
+            self.memo.clear()
+        self.memo[text] = found
+        return found
+
+    def _stretch(self, text: str) -> tuple[int, ...]:
+        """The path of a stretch, from those of its parts between neighbours that no piece has side by side."""
+        inside = self.inside
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
+        ids: tuple[int, ...] = ()
+        for low, high in zip([0, *cuts], [*cuts, len(text)]):
+            short = self.bpe and high - low <= MEMO_CHARS
+            ids += self._prefix(text[low:high]) if short else self._path(text[low:high])
+        if len(text) <= MEMO_CHARS:
+            self.memo[text] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin, end or other special pieces."""
         ids: list[int] = []
-        memo = self.memo
+        known = self.memo.get
         for stretch in self.stretch.findall(self.normalise(text)):
-            found = memo.get(stretch)
-            if found is None:
-                found = self._path(stretch)
-                if len(stretch) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_STRETCHES:
-                        memo.clear()
-                    memo[stretch] = found
-            ids += found
+            ids += known(stretch) or self._stretch(stretch)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -177,25 +251,34 @@ def _kept_fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
     return [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(names)]
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "token_ids", check: str | None = None) -> DataFrame:
     """The columns in ``keep`` and the piece ids of each whole text.
 
-    A null text gives null, an empty one an empty list.  Repeated rows each
-    get their row; an empty table gives an empty result; ``out`` replaces a
-    column of that name.  ``model_path`` has to exist on every executor.
+    A null text gives null, an empty one an empty list.  With ``check``, a
+    column of that name tells whether decoding the ids gives the text again
+    (null for null).  Repeated rows each get their row; an empty table gives
+    an empty result; ``out`` and ``check`` replace columns of these names.
+    ``model_path`` has to exist on every executor.
     """
-    names = [c for c in keep if c != out]
+    names = [c for c in keep if c not in (out, check)]
+    inner = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Transducer.of(model_path)
         for batch in batches:
             for part in _by_bytes(batch, len(names)):
-                ids = [None if t is None else np.array(model.encode(t), np.int32) for t in part.column(len(names)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.list_(pa.int32()))], names=[*(f"c{i}" for i in range(len(names))), "ids"])
+                texts = part.column(len(names)).to_pylist()
+                ids, same = [], []
+                for text in texts:
+                    own = None if text is None else model.encode(text)
+                    ids.append(None if own is None else np.array(own, np.int32))
+                    same.append(None if own is None or check is None else model.decode(own) == text)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=[*inner, "ids", "same"])
 
-    schema = T.StructType([*_kept_fields(df, names), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("ids").alias(out))
+    schema = T.StructType([*_kept_fields(df, names), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
+    rows = df.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    checked = [F.col("same").alias(check)] if check else []
+    return rows.select(*(F.col(i).alias(c) for i, c in zip(inner, names)), F.col("ids").alias(out), *checked)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
@@ -214,7 +297,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: tup
     return rows.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(out))
 
 
-def _by_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _by_bytes(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values in ``column`` take about ``limit`` bytes, a row at least."""
     values = batch.column(column)
     length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerloom.functions.scalars import is_expired, mask_user, preview
 from ledgerloom.functions.urls import path_query, rescope, with_query_param
@@ -57,10 +58,9 @@ def replayed_history(pages: DataFrame, account_id: str, start: str, end: str, st
     """
     rows = records.explode_records(pages, "body")
     amount = records.pick(F.col("record"), ("valor", "amount", "monto", "importe"))
-    kept = rows.withColumn("kept", amount.isNotNull())
-    before = kept.groupBy("page").agg(F.count_if("kept").alias("n"))
-    offsets = before.join(before.select(F.col("page").alias("p"), F.col("n").alias("m")), F.col("p") < F.col("page"), "left").groupBy("page").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
-    body = pages.join(offsets, "page").withColumn("account", F.lit(account_id))
+    counts = rows.groupBy("page").agg(F.count_if(amount.isNotNull()).alias("n")).withColumn("account", F.lit(account_id))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("account").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    body = pages.join(counts.select("page", "account", before.alias("offset")), "page")
     out = records.normalize_transactions(body, F.col("account"), keep=["page", "account"], id_offset=F.col("offset"))
     text = paging.signature_text(F.col("date"), F.col("amount.amount").cast("string"), F.col("description"))
     walked = paging.walk_pages(paging.page_signatures(out, ["account"], "page", "ordinal", text), ["account"], start_page, None, max_pages)
