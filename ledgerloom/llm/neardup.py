@@ -33,7 +33,7 @@ SKETCH = 128
 TREES, EXTRA_EVERY, DEEP_TOKENS = 5, 3, 2
 LEAF, DEPTH = 1000, 3
 #: A large node whose sets agree in this share of places on average isn't branched: that wouldn't part them.
-DENSE, DENSE_PLACES = 0.4, 8
+DENSE, DENSE_PLACES = 0.4, 64
 #: Sketches may show this much less than the threshold: over four standard deviations.
 SLACK = 0.145
 #: Representatives up to this many are found by a broadcast.
@@ -83,24 +83,26 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sign(keyed: DataFrame, size: int) -> DataFrame:
-    """``rec_id, text_key, n, cid, sketch, low`` for each row; ``cid`` stands for the set, null if it is empty.
+    """``rec_id, text_key, n, signs, cid, sketch, low`` for each row; ``cid`` stands for the set, null if it is empty.
 
-    ``low`` has one byte of each minwise value of ``sketch``: enough to compare.
+    ``low`` has one byte of each minwise value of ``sketch``: enough to
+    compare.  ``signs`` has one bit of each of the first DENSE_PLACES.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cid, full, low = [], [], [], []
+            n, signs, cid, full, low = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 values = shingles(text, size)
                 own = sketch(values) if len(values) else None
                 n.append(len(values))
+                signs.append(0 if own is None else int(np.packbits((own[:DENSE_PLACES] & 1).astype(np.uint8)).view(np.int64)[0]))
                 cid.append(None if own is None else set_id(values))
                 full.append(None if own is None else own.tobytes())
                 low.append(None if own is None else own.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (cid, full, low))], names=["rec_id", "text_key", "n", "cid", "sketch", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, signs)), *(pa.array(x, pa.binary()) for x in (cid, full, low))], names=["rec_id", "text_key", "n", "signs", "cid", "sketch", "low"])
 
-    schema = T.StructType([*keyed.schema.fields[:2], T.StructField("n", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in ("cid", "sketch", "low"))])
+    schema = T.StructType([*keyed.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("n", "signs")), *(T.StructField(c, T.BinaryType()) for c in ("cid", "sketch", "low"))])
     return keyed.mapInArrow(signed, schema)
 
 
@@ -128,10 +130,15 @@ def _choose(node: Column, j: int) -> Column:
 
 
 def _dense(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``node`` of those whose sets agree in DENSE of the places on average, each pair counted."""
-    places = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.substring("sketch", i * (SKETCH // DENSE_PLACES) * 4 + 1, 4).alias("v")) for i in range(DENSE_PLACES))))
-    each = members.join(classes.select("cid", "sketch"), "cid").select("node", "n", places.alias("p")).groupBy("node", "n", "p.i", "p.v").agg(F.count("*").alias("c"))
-    return each.groupBy("node", "n").agg(F.sum(F.col("c") * F.col("c")).alias("agree")).filter(F.col("agree") >= DENSE * DENSE_PLACES * F.col("n") * F.col("n")).select("node")
+    """``node`` of those whose sets agree in DENSE of the places on average, each pair counted.
+
+    A value takes a sign, so the square of a place's sum of signs estimates
+    the number of its agreeing pairs: one row of sums a node and task.
+    """
+    sums = [F.sum(F.lit(1) - 2 * F.getbit("signs", F.lit(i))).cast("double").alias(f"s{i}") for i in range(DENSE_PLACES)]
+    each = members.join(classes.select("cid", "signs"), "cid").groupBy("node", "n").agg(*sums)
+    agree = sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(DENSE_PLACES)), F.lit(0.0))
+    return each.filter(agree >= DENSE * DENSE_PLACES * F.col("n").cast("double") * F.col("n")).select("node")
 
 
 def _blocks(members: DataFrame, leaf: int) -> DataFrame:
@@ -326,7 +333,7 @@ def near_duplicates(
     """
     keyed = _keyed(df, id_col, text_col)
     signed = stored(sign(keyed, size), "dup-signed")
-    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("low").alias("low"))
+    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("low").alias("low"), F.any_value("signs").alias("signs"))
     classes = stored(classes, "dup-classes")
     nodes = stored(leaves(classes, trees, leaf).join(classes.select("cid", "low"), "cid"), "dup-leaves")
     least = int(np.ceil((percent / 100 - SLACK) * SKETCH))
