@@ -132,6 +132,7 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     halves = seen.select("h1", F.explode(F.array("k00", "k01", "k10", "k11")).alias("k"))
     shared = halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
+    shared = stored(shared, "lines-shared")  # so that the join's other side is no aggregate and a hot key can be split
     maybe = stored(halves.join(shared, "k").select("h1").distinct(), "lines-maybe")
     texts = long_enough.withColumn("h1", F.xxhash64("line")).join(small(maybe, BROADCAST_LINES), "h1")
     distinct = texts.groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(occ).alias("occ"), F.any_value("line").alias("line"))

@@ -354,7 +354,8 @@ def near_duplicates(
 
     named = signed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = stored(named.select("rec_id", "text_key", "n", "label"), "dup-named")
-    ids = named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("rec_id").alias("component_id"))
+    # Stored, so that the join's other side is no aggregate and a hot component can be split.
+    ids = stored(named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("rec_id").alias("component_id")), "dup-ids")
     out = named.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("rec_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("rec_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
