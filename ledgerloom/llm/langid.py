@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import by_bytes, small_batches
+
 BUCKETS = 1 << 15
 ORDERS = 3
 #: Characters of a text that are hashed at a time.
@@ -117,7 +119,7 @@ def fit(
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = []
-            for text in batch.column(2).to_pylist():
+            for text in (x.as_py() for x in batch.column(2)):
                 bits = np.zeros(BUCKETS, np.uint8)
                 presence(text, bits)
                 packed.append(np.packbits(bits).tobytes())
@@ -149,14 +151,15 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     table gives an empty result; other columns aren't read, and ``lang_pred``
     and ``score`` replace columns of these names.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
     names = [c for c in keep if c not in ("lang_pred", "score")]
     inner = [f"c{i}" for i in range(len(names))]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, sure = sent.value.predict(batch.column(len(inner)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(inner)], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*inner, "lang_pred", "score"])
+        for part in (p for batch in batches for p in by_bytes(batch, len(inner))):
+            found, sure = sent.value.predict(part.column(len(inner)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(inner)], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[*inner, "lang_pred", "score"])
 
     fields = [T.StructField(i, df.schema[c].dataType) for i, c in zip(inner, names)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

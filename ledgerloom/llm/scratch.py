@@ -1,4 +1,4 @@
-"""Tables that cut lineage, in the folder that all executors share.
+"""Tables that cut lineage, in the folder that all executors share, and bounds on what a Python worker holds.
 
 ``spark.checkpoint.dir`` names the folder.  Where a session has no such
 setting (tests, a laptop), a private folder under ``/tmp/checkpoints`` is used.
@@ -7,7 +7,11 @@ setting (tests, a laptop), a private folder under ``/tmp/checkpoints`` is used.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +76,27 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col:
     gone = stored(gone.select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
     on = [docs[id_col].eqNullSafe(gone["gone_id"]), F.xxhash64(docs[text_col]) == gone["gone_key"]]
     return docs.join(small(gone, BROADCAST_ROWS), on, "left_anti")
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch where the session has no bound of its own.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: long texts make batches of few rows. A bound that the user set stays."""
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in ``column`` take about ``limit`` bytes, a row at least."""
+    values = batch.column(column)
+    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    held = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(values):
+        before = held[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(held, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end

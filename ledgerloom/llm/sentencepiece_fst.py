@@ -29,14 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import by_bytes, small_batches
+
 MARK = "▁"
 #: Stretches up to so many characters are memoised, and so many of them and of borders in a worker.
-MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 500_000, 500_000
+MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 150_000, 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 _INFINITY = float("inf")
@@ -260,13 +261,14 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[s
     an empty result; ``out`` and ``check`` replace columns of these names.
     ``model_path`` has to exist on every executor.
     """
+    small_batches(df.sparkSession)
     names = [c for c in keep if c not in (out, check)]
     inner = [f"c{i}" for i in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Transducer.of(model_path)
         for batch in batches:
-            for part in _by_bytes(batch, len(names)):
+            for part in by_bytes(batch, len(names)):
                 texts = part.column(len(names)).to_pylist()
                 ids, same = [], []
                 for text in texts:
@@ -283,28 +285,16 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[s
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: tuple[str, ...] = ("doc_id",), out: str = "decoded") -> DataFrame:
     """The columns in ``keep`` and the text of each list of piece ids; null for null, empty for an empty list."""
+    small_batches(df.sparkSession)
     names = [c for c in keep if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Transducer.of(model_path)
         for batch in batches:
-            for part in _by_bytes(batch, len(names)):
+            for part in by_bytes(batch, len(names)):
                 texts = [None if x is None else model.decode(x) for x in part.column(len(names)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string())], names=[*(f"c{i}" for i in range(len(names))), "text"])
 
     schema = T.StructType([*_kept_fields(df, names), T.StructField("text", T.StringType())])
     rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(ids_col).alias("x"))
     return rows.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(out))
-
-
-def _by_bytes(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose values in ``column`` take about ``limit`` bytes, a row at least."""
-    values = batch.column(column)
-    length = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
-    held = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < len(values):
-        before = held[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(held, before + limit, "right")))
-        yield batch.slice(start, end - start)
-        start = end
