@@ -27,12 +27,17 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 #: A ratio's numerator, denominator, scale, top bucket and the slack above the fence. A bucket is scale * numerator / denominator, rounded down; what lies above the top bucket counts in it.
 RATIOS: dict[str, tuple[str, str, int, int, int]] = {
     "symbol_ratio": ("n_symbols", "word_chars", 1000, 1000, 20),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000, 350),
-    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 1000, 350),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000, 150),
+    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 1000, 100),
     "word_length": ("word_chars", "n_words", 100, 10_000, 150),
 }
-#: Fence: median + FENCE * (median - LOW quantile) + slack. Both quantiles hold while over half of a group is sound.
-LOW, MID, FENCE = 0.1, 0.5, 3
+#: A ratio's fence from two quantiles of its group's texts that pass the base: the one it starts at, the one its spread is measured to, and the spread's factor. Ratios that are 0 for most texts start in the upper tail. A share of unsound texts above the higher quantile can't move a fence: half for word lengths, a fifth for symbols, a twentieth for repeats, most of which fail the base.
+FENCES: dict[str, tuple[float, float, int]] = {
+    "symbol_ratio": (0.8, 0.5, 3),
+    "dup_line_ratio": (0.95, 0.9, 2),
+    "repeat_ratio": (0.95, 0.9, 2),
+    "word_length": (0.5, 0.1, 3),
+}
 MIN_WORDS = 50
 #: Groups up to this many rows are broadcast; more of them are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
@@ -101,37 +106,47 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
 
 def thresholds(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and, for each ratio, ``max_<ratio>``: the largest bucket that a kept document may have."""
-    slack = F.coalesce(*(F.when(F.col("ratio") == r, F.lit(x[-1])) for r, x in RATIOS.items()))
-    fence = F.col("mid") + FENCE * (F.col("mid") - F.col("low")) + slack
-    found = quantiles(sketches, keys, {"low": LOW, "mid": MID}).withColumn("fence", fence)
+    at = {f"q{q}".replace(".", "_"): q for x in FENCES.values() for q in x[:2]}
+    name = {q: c for c, q in at.items()}
+
+    def above(ratio: str) -> Column:
+        start, low, factor = FENCES[ratio]
+        return F.col(name[start]) + factor * (F.col(name[start]) - F.col(name[low])) + RATIOS[ratio][-1]
+
+    fence = F.coalesce(*(F.when(F.col("ratio") == r, above(r)) for r in RATIOS))
+    found = quantiles(sketches, keys, at).withColumn("fence", fence)
     return found.groupBy(*keys).agg(*(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(f"max_{r}") for r in RATIOS))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Counts, ratios, the group's thresholds and a verdict for each row.
 
     Returns ``id_col``, COUNTS, the ratios' buckets, ``max_<ratio>``,
     ``base_failed`` (under 50 words, or over half of them in repeated windows)
     and ``kept`` (base passed and every ratio within its group's threshold).
-    Null and empty texts have zero counts and fail the base.  Rows whose
+    Null and empty texts have zero counts and fail the base.  Thresholds come
+    from the texts that pass it and are null in a group without one.  Rows whose
     language or source is null form a group of their own.  Repeated rows count
     as often as they occur, each with a row of the result.  An empty table
     gives an empty result.
     """
     keys = [f"g{i}" for i in range(len(group_cols))]
     counts = stored(count_texts(df, id_col, text_col, group_cols), "quality-counts")
-    limits = stored(thresholds(sketch(counts, keys), keys), "quality-thresholds")
+    limits = stored(thresholds(sketch(counts.filter(~_base_failed()), keys), keys), "quality-thresholds")
     few = limits.count() <= BROADCAST_GROUPS
     on = [counts[k].eqNullSafe(limits[k]) for k in keys]
     joined = counts.join(F.broadcast(limits) if few else limits, on, "left")
-    base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)
     for r in RATIOS:
         within = within & (F.col(r) <= F.col(f"max_{r}"))
     return (
         joined.drop(*(limits[k] for k in keys))
         .withColumns({r: _bucket(r) for r in RATIOS})
-        .withColumn("base_failed", base_failed)
+        .withColumn("base_failed", _base_failed())
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
         .select(F.col("rec_id").alias(id_col), *COUNTS, *RATIOS, *(F.col(f"max_{r}").cast("int") for r in RATIOS), "base_failed", "kept")
     )

@@ -160,6 +160,19 @@ def test_thresholds_follow_each_group(spark):
     assert quality.judge(spark.createDataFrame(rows, schema).limit(0)).collect() == []
 
 
+def test_repeat_thresholds_differ_between_groups(spark):
+    """A fifth of repeated lines goes where no other text has any, and stays where a tenth of the texts do."""
+    rng = random.Random(12)
+    lined = lambda again: "\n".join([*(x := [sentence(rng, 20) for _ in range(8)]), *x[:again]])
+    rows = [(i, lined(0), "en", "plain") for i in range(60)] + [(100 + i, lined(2 if i % 8 == 0 else 0), "en", "verse") for i in range(64)]
+    rows.append((900, lined(2), "en", "plain"))
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[900].base_failed and out[900].dup_line_ratio == 200 and not out[900].kept
+    assert all(r.kept for i, r in out.items() if i != 900)
+    for ratio in ("max_dup_line_ratio", "max_repeat_ratio"):
+        assert out[0][ratio] < out[100][ratio]
+
+
 def test_quantile_sketches_merge_and_are_exact(spark):
     counts = quality.count_texts(frame(spark, corpus(9, 200)))
     keys = ["g0", "g1"]
