@@ -176,3 +176,18 @@ def learn_from(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """:func:`fit` on the rows of ``df`` that aren't held out."""
     rows = df.filter(~held_out(id_col)).select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return fit(rows, **bounds)
+
+
+#: The lowest hundredth of held-out scores, less a fifth as room for texts that the sample lacks, and no more than CEILING: a small sample shows no hard texts.
+QUANTILE, ROOM, CEILING = 0.01, 0.8, 0.3
+
+
+def least_score(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", in_all: int = 4000) -> float:
+    """The score under which a text is of no learned language, from correct predictions of at most ``in_all`` held-out labelled rows.
+
+    Only labels and scores come to the driver.  Without a correct one it is CEILING.
+    """
+    rows = df.filter(held_out(id_col)).select(F.col(id_col).alias("rec_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = sample_rows(rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()), in_all, in_all)
+    right = sorted(r.score for r in identify(sample, model, keep=("lang",)).filter("lang = lang_pred").select("score").collect())
+    return min(CEILING, ROOM * right[int(QUANTILE * len(right))]) if right else CEILING

@@ -1,10 +1,14 @@
 """Each stage of the pipeline on small tables, against brute force where there is one."""
 
+import base64
+import random
+import string
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
+from ledgerloom.llm import langid
 from ledgerloom.llm.queries import piece_model_path
 from ledgerloom.llm.scratch import clear, stored
 from tests.llm import test_decontam, test_linededup, test_neardup
@@ -45,6 +49,25 @@ def test_language_id_drops_what_has_no_language(steps, spark):
     assert kept == {-3: before.first().lang}
 
 
+FOREIGN = [
+    "Suomen kieli on itämerensuomalainen kieli, jota puhuu noin viisi miljoonaa ihmistä. Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+]
+
+
+def test_language_id_drops_unseen_languages_and_gibberish(steps, spark):
+    """And keeps every held-out labelled document."""
+    before, after = steps["language_id"]
+    rng = random.Random(13)
+    noise = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(120)) for _ in range(5)]
+    noise.append(base64.b64encode(rng.randbytes(500)).decode())
+    odd = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN + noise)]
+    got = {r.doc_id for r in STAGES["language_id"](spark, before.union(spark.createDataFrame(odd, before.schema)), SMALL).collect()}
+    assert not {i for i in got if i < 0}
+    assert {r.doc_id for r in before.filter(langid.held_out()).collect()} <= got
+
+
 def test_line_dedup_equals_brute_force(steps):
     before, after = steps["line_dedup"]
     expected = {i: t for i, (t, _, n) in test_linededup.brute(texts(before)).items() if not n or t.split()}
