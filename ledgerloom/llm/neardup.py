@@ -319,6 +319,7 @@ def near_duplicates(
     text_col: str = "text",
     trees: int = TREES,
     leaf: int = LEAF,
+    choose: bool = False,
 ) -> DataFrame:
     """Near-duplicate components, a row for each row of ``df``.
 
@@ -330,6 +331,10 @@ def near_duplicates(
     but don't name a component; one is kept only where the component has no
     id.  Repeated rows share a component, and those that bear its id are all
     kept.  An empty table gives an empty result.
+
+    With ``choose`` there is also ``chosen``: the row has the component's first
+    (id, text hash), null ids last.  One such pair is chosen in each component,
+    whatever ids repeat or lack, and all rows without shingles are.
     """
     keyed = _keyed(df, id_col, text_col)
     signed = stored(sign(keyed, size), "dup-signed")
@@ -355,7 +360,9 @@ def near_duplicates(
     named = signed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = stored(named.select("rec_id", "text_key", "n", "label"), "dup-named")
     # Stored, so that the join's other side is no aggregate and a hot component can be split.
-    ids = stored(named.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("rec_id").alias("component_id")), "dup-ids")
+    least_of = [F.min("rec_id").alias("component_id"), *([F.min(F.struct(F.col("rec_id").isNull().alias("none"), "rec_id", "text_key")).alias("rep")] if choose else [])]
+    ids = stored(named.filter(F.col("label").isNotNull()).groupBy("label").agg(*least_of), "dup-ids")
     out = named.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("rec_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("rec_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    chosen = [(F.col("label").isNull() | (F.col("rec_id").eqNullSafe(F.col("rep.rec_id")) & (F.col("text_key") == F.col("rep.text_key")))).alias("chosen")] if choose else []
+    return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *chosen)

@@ -12,7 +12,7 @@ from ledgerloom.llm import langid
 from ledgerloom.llm.queries import piece_model_path
 from ledgerloom.llm.scratch import clear, stored
 from tests.llm import test_decontam, test_linededup, test_neardup
-from tests.llm.texts import corpus, frame
+from tests.llm.texts import corpus, frame, sentence
 
 SMALL = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -81,6 +81,16 @@ def test_near_dedup_equals_brute_force(steps):
     assert {i for i, _ in texts(after)} == kept and len(kept) < before.count()
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    rng = random.Random(14)
+    one, two, three = (sentence(rng, 120) for _ in range(3))
+    near = lambda t: t + " tail"
+    rows = [(1, one), (1, one), (2, one), (5, two), (5, near(two)), (None, three), (None, three), (None, near(three)), (7, "alone"), (None, None), (None, None)]
+    got = texts(STAGES["near_dedup"](spark, frame(spark, rows), SMALL))
+    assert len(got) == 6 and got.count((1, one)) == 1 and got.count((7, "alone")) == 1 and got.count((None, None)) == 2
+    assert [i for i, t in got if t in (two, near(two))] == [5] and [i for i, t in got if t in (three, near(three))] == [None]
+
+
 def test_decontamination_equals_brute_force(steps, spark):
     before, after = steps["decontaminate"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
