@@ -49,11 +49,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stored`, once nothing reads it."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/ledgerloom-" in folder:
-            _delete(df.sparkSession, folder)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`stored`, once nothing reads them."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/ledgerloom-" in folder:
+                _delete(df.sparkSession, folder)
 
 
 def clear(spark: SparkSession) -> None:

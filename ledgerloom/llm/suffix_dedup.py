@@ -2,19 +2,22 @@
 
 Prefix doubling ranks positions by the string that begins there, first for a
 short length, then for twice that by the pair of ranks at the two halves, and
-drops positions once they are unique.  Ranks only have to tell equal from
-different here, so a rank is a hash name.  Sorting a pair for every byte of
-the corpus would move dozens of times its size; two things keep it small:
-
-* Ranks of half the threshold are taken at sampled positions only: at the
-  leftmost smallest hash of each stretch of half the threshold.  Equal strings
-  of the full length have an equal sample at the same place, so a sample with
-  a unique rank rules out every string that was to be found by it.
-* What survives is sorted by rank together with the bytes around it, and the
-  doubled rank of every position there is formed next to those it can equal.
+drops positions once their rank is unique.  Ranks only have to tell equal from
+different here, so a rank is a hash of its pair.
+
+1. Positions are thinned to anchors: of each string of the full length, the
+   place inside it whose next ``length // 4`` bytes have the smallest hash.
+   Equal strings have equal anchors, so an anchor with a unique rank rules out
+   every string that was to be found by it.
+2. Spark doubles the ranks of anchors, in rounds: a sixteenth of the length,
+   an eighth, a quarter.  Each round pairs the ranks at the growing offset,
+   groups equal ones and drops the positions whose rank is unique.
+3. What survives is sorted by rank together with the bytes around it.  There
+   the last two doublings, to half and to the full length, are done for every
+   position that an anchor speaks for, next to those that it can equal.
 
 A rank that very many positions share is split at random; what is single in
-its part is then matched across parts by its doubled rank.
+its part is then matched across parts by its last rank.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stored
+from .scratch import by_bytes, forget, small_batches, stored
 
 LENGTH = 400
 #: Positions with one rank that a task compares at once.
 PART = 1000
-#: Span lists up to these rows and spans are broadcast; larger ones are joined by a shuffle.
-BROADCAST_TEXTS, BROADCAST_SPANS = 500_000, 4_000_000
+#: Tables of anchors or spans up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Bytes of a text that are ranked at a time.
 BLOCK = 1 << 19
 _POSITION_BITS = 20
@@ -83,25 +86,66 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def samples(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled positions, their names for half of ``length``, and the first and last string that each speaks for.
+def rounds(length: int) -> list[int]:
+    """Lengths of the ranks that Spark doubles: each is half of the next, rounded up; the last is a quarter of ``length``."""
+    last = max(1, length // 4)
+    return [-(-last // 4), -(-last // 2), last]
+
+
+def offsets(length: int) -> list[int]:
+    """Where in an anchor's quarter the four shortest ranks begin, neighbours being the pairs of the next round."""
+    short, middle, last = rounds(length)
+    return [far + near for far in (0, last - middle) for near in (0, middle - short)]
+
+
+def _thinned(at: np.ndarray, first: np.ndarray, last: np.ndarray, name: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where neighbouring samples have one name (periodic stretches), those that are enough: each is kept while it is in the string.
+
+    Two stay at least: strings of one such stretch can be equal, so its rank
+    must not look unique.
+    """
+    same = name[at[1:]] == name[at[:-1]]
+    if not same.any():
+        return at, first, last
+    begins = np.flatnonzero(np.concatenate(([True], ~same)))
+    ends = np.concatenate((begins[1:], [len(at)]))
+    keep, first, last = np.ones(len(at), bool), first.copy(), last.copy()
+    for low, high in zip(begins[ends - begins > 1], ends[ends - begins > 1]):
+        keep[low:high] = False
+        p, end = first[low], last[high - 1]
+        if at[high - 1] < p + width:  # one would do
+            keep[low] = True
+            last[low], p = p, p + 1
+        while p <= end:
+            j = low + int(np.searchsorted(at[low:high], p + width - 1, "right")) - 1
+            keep[j], first[j], last[j] = True, p, min(end, at[j])
+            p = at[j] + 1
+    return at[keep], first[keep], last[keep]
+
+
+def samples(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text: their positions, names, the first and last string that each speaks for, and four short ranks.
 
     String ``p`` (the ``length`` bytes from ``p`` on) is spoken for by the
-    smallest name, leftmost if equal, among the halves that lie in it.
+    smallest name among the quarters that lie in it.  Of equal names, any will
+    do: what speaks for a string is a name, not a place.
     """
-    half = length // 2
-    width = length - half + 1
+    short, _, quarter = rounds(length)
+    width = length - quarter + 1
     data = np.frombuffer(text, np.uint8)
-    found: list[list[np.ndarray]] = [[], [], [], []]
+    found: list[list[np.ndarray]] = [[], [], [], [], []]
     for start in range(0, len(data) - length + 1, BLOCK):
-        name = names(data[start : start + BLOCK + length - 1], half, 0)
+        block = data[start : start + BLOCK + length - 1]
+        name = names(block, quarter, 0)
         order = (name & ~_MASK) | np.arange(len(name), dtype=np.uint64)
         at = (_sliding_min(order, width) & _MASK).astype(np.int64)
         edge = np.flatnonzero(at[1:] != at[:-1]) + 1
         first, last = np.concatenate(([0], edge)), np.concatenate((edge, [len(at)])) - 1
-        for held, part in zip(found, (at[first] + start, name[at[first]], first + start, last + start)):
+        at, first, last = _thinned(at[first], first, last, name, width)
+        ranks = (names(block, short, 1)[at[:, None] + np.array(offsets(length))] >> np.uint64(32)).astype(np.uint32)
+        for held, part in zip(found, (at + start, name[at], first + start, last + start, ranks)):
             held.append(part)
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+    return tuple(np.concatenate(x) if x else np.empty((0, 4) if i == 4 else 0, np.int64) for i, x in enumerate(found))
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,50 +155,72 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sampled(keyed: DataFrame, length: int) -> DataFrame:
-    """``k1, k2, at, name`` of the samples of each text."""
+    """``k1, k2, at`` and the short ranks ``r0`` to ``r3`` of the anchors of each text."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.int32()] * 4)
+    fields = ("k1", "k2", "at", "r0", "r1", "r2", "r3")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2, at, name = [], [], [], []
-            for a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
-                position, own, _, _ = samples(data, length)
-                k1.append(np.full(len(position), a, np.int64))
-                k2.append(np.full(len(position), b, np.int64))
-                at.append(position)
-                name.append(own.view(np.int64))
-            arrays = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (k1, k2, at, name)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "at", "name"])
+        for whole in batches:
+            for batch in by_bytes(whole, 2, 8 << 20):
+                k1, k2, at, ranks = [], [], [], []
+                for a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    position, _, _, _, own = samples(data, length)
+                    k1.append(np.full(len(position), a, np.int64))
+                    k2.append(np.full(len(position), b, np.int64))
+                    at.append(position.astype(np.int32))
+                    ranks.append(own.view(np.int32))
+                four = np.concatenate(ranks)
+                columns = [*map(np.concatenate, (k1, k2, at)), *(np.ascontiguousarray(four[:, i]) for i in range(4))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(fields))
 
     rows = keyed.filter(F.length("data") >= length).select("k1", "k2", "data")
-    return rows.mapInArrow(run, "k1 long, k2 long, at long, name long")
+    return rows.mapInArrow(run, "k1 long, k2 long, at int, r0 int, r1 int, r2 int, r3 int")
+
 
+def surviving(marks: DataFrame, part: int) -> DataFrame:
+    """``k1, k2, at, parts``: the anchors whose rank is shared after every round.
 
-def _small(df: DataFrame, elements: str) -> bool:
+    A round counts equal ranks, drops the positions that are alone with
+    theirs, and pairs the ranks of neighbouring offsets.  The counts are
+    stored, so that neither side of the join is an aggregate and Spark can
+    split a rank that a large share of positions has.
+    """
+    ranks = ["r0", "r1", "r2", "r3"]
+    while True:
+        shared = marks.groupBy("r0").agg(F.count("*").alias("n")).filter("n > 1")
+        if len(ranks) == 1:
+            shared = stored(shared.select("r0", F.ceil(F.col("n") / part).cast("int").alias("parts")), "suffix-shared")
+            return marks.join(shared, "r0").select("k1", "k2", "at", "parts")
+        shared = stored(shared.select("r0"), "suffix-shared")
+        pairs = [F.xxhash64(*ranks[i : i + 2]).alias(f"r{i // 2}") for i in range(0, len(ranks), 2)]
+        left = stored(marks.join(shared, "r0", "left_semi").select("k1", "k2", "at", *pairs), "suffix-ranked")
+        forget(marks, shared)
+        marks, ranks = left, [f"r{i}" for i in range(len(pairs))]
+
+
+def _small(df: DataFrame, elements: str, width: int) -> bool:
+    """Whether a table of arrays stays below BROADCAST_BYTES: 64 bytes a row and ``width`` an element."""
     r = df.agg(F.count("*"), F.sum(F.size(elements))).first()
-    return r[0] <= BROADCAST_TEXTS and (r[1] or 0) <= BROADCAST_SPANS
+    return 64 * r[0] + width * (r[1] or 0) <= BROADCAST_BYTES
 
 
 def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``name, part, k1, k2, first, around`` for each wanted sample: the bytes of the strings that it speaks for."""
+    """``name, part, k1, k2, first, around`` for each wanted anchor: the bytes of the strings that it speaks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for a, b, data, at, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                position, name, first, last = samples(data, length)
-                split = np.zeros(len(position), np.int64)
-                place = np.searchsorted(position, at)
-                for i, n in zip(place, parts):
-                    split[i] = n
-                for i in np.flatnonzero(split):
+            for a, b, data, at, parts in (row for small in by_bytes(batch, 2, 8 << 20) for row in zip(*(c.to_pylist() for c in small.columns))):
+                position, name, first, last, _ = samples(data, length)
+                for i, split in zip(np.searchsorted(position, at).tolist(), parts):
                     low = int(first[i])
-                    part = (hash((a, low)) & 0x7FFFFFFF) % int(split[i]) if split[i] > 1 else -1
+                    part = (hash((a, low)) & 0x7FFFFFFF) % split if split > 1 else -1
                     rows.append((int(name[i].view(np.int64)), part, a, b, low, data[low : int(last[i]) + length]))
                     held += len(rows[-1][-1])
-                if held > 4 << 20:
-                    yield from _batch(rows)
-                    rows, held = [], 0
+                    if held > 4 << 20:
+                        yield from _batch(rows)
+                        rows, held = [], 0
             yield from _batch(rows)
 
     def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +228,21 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "part", "k1", "k2", "first", "around"])
 
-    right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", F.array_sort("marks").alias("marks"))
+    right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "at", "parts")
     on = [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"], keyed["rec_id"].eqNullSafe(right["rep"])]
-    joined = keyed.join(F.broadcast(right) if _small(wanted, "marks") else right, on)
-    rows = joined.select("k1", "k2", "data", F.col("marks.at").alias("at"), F.col("marks.parts").alias("parts"))
+    joined = keyed.join(F.broadcast(right) if _small(wanted, "at", 8) else right, on)
+    rows = joined.select("k1", "k2", "data", "at", "parts")
     return rows.mapInArrow(run, "name long, part int, k1 long, k2 long, first long, around binary")
 
 
+def _paired(rank: np.ndarray, offset: int) -> np.ndarray:
+    """Ranks of longer strings from those at each position and at an offset."""
+    one, two = rank[: len(rank) - offset], rank[offset:]
+    return (one ^ (two >> np.uint64(7))) * np.uint64(_BASES[0]) + two * np.uint64(_BASES[1])
+
+
 def doubled(around: DataFrame, length: int) -> DataFrame:
-    """Compare the doubled ranks of what shares a rank.
+    """The last two doublings, for all positions next to those that share their anchor's rank.
 
     Gives ``k1, k2, first, last`` for each run of strings that occur twice.
     For ranks in several parts there are also rows with ``name, rank``: a
@@ -178,6 +250,8 @@ def doubled(around: DataFrame, length: int) -> DataFrame:
     ``first``, one that has its twin in its part.
     """
     columns = ("k1", "k2", "first", "last", "name", "rank")
+    half = -(-length // 2)
+    quarter = -(-half // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, size = None, [], 0
@@ -190,10 +264,11 @@ def doubled(around: DataFrame, length: int) -> DataFrame:
             counts = lengths - length + 1
             owner = np.repeat(np.arange(len(group)), counts)
             inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            half = names(data, length // 2, 1)
             here = begins[owner] + inside
-            one, two = half[here], half[here + length - length // 2]
-            rank = (one ^ (two >> np.uint64(7))) * np.uint64(_BASES[0]) + two * np.uint64(_BASES[1])
+            rank = names(data, quarter, 1)
+            for short, long in ((quarter, half), (half, length)):
+                rank = _paired(rank, long - short)
+            rank = rank[here]
             _, inverse, times = np.unique(rank, return_inverse=True, return_counts=True)
             twice = times[inverse] > 1
             place = np.flatnonzero(twice)
@@ -243,12 +318,11 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     touching neighbours.
     """
     keyed = _keyed(df, id_col, text_col)
-    marks = stored(sampled(keyed, length), "suffix-samples")
-    shared = marks.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    per_text = marks.join(shared, "name").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "parts")).alias("marks"))
+    marks = surviving(stored(sampled(keyed, length), "suffix-samples"), part)
+    per_text = marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "parts"))).alias("marks")).select("k1", "k2", "marks.at", "marks.parts")
     texts = keyed.filter(F.length("data") >= length).groupBy("k1", "k2").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies"), F.max(F.length("data")).cast("long").alias("n_bytes"))
     texts = stored(texts, "suffix-texts")
-    wanted = stored(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "rep", "marks"), "suffix-wanted")
+    wanted = stored(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "rep", "at", "parts"), "suffix-wanted")
 
     found = stored(doubled(surroundings(keyed, wanted, length), length), "suffix-doubled")
     runs = found.filter("last is not null").select("k1", "k2", "first", "last")
@@ -282,10 +356,11 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     goes, the first too, and copies may overlap in one text.  Repeated rows
     are copies.  An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
     spans = stored(repeated_spans(df, length, id_col, text_col, part), "suffix-spans")
     right = spans.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "spans")
-    joined = keyed.join(F.broadcast(right) if _small(spans, "spans") else right, [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"]], "left")
+    joined = keyed.join(F.broadcast(right) if _small(spans, "spans", 32) else right, [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"]], "left")
     kind = "array<struct<start:bigint,end:bigint>>"
     rows = joined.select("rec_id", "data", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 

@@ -56,7 +56,7 @@ def test_repeated_rows_are_copies(spark):
 
 def test_empty_table_and_shuffle_joins(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [(1, "x")]).limit(0)).collect() == []
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_TEXTS", -1)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
     rows = corpus(6, 30)
     assert answer(suffix_dedup.remove_repeats(frame(spark, rows), 100)) == brute(rows, 100)
 
@@ -64,7 +64,24 @@ def test_empty_table_and_shuffle_joins(spark, monkeypatch):
 def test_samples_cover_every_string_across_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
     data = bytes(random.Random(7).choices(b"abc", k=500))
-    at, _, first, last = suffix_dedup.samples(data, 20)
+    at, _, first, last, _ = suffix_dedup.samples(data, 20)
     covered = [p for a, b in zip(first, last) for p in range(a, b + 1)]
     assert covered == list(range(len(data) - 19))
-    assert all(b <= x <= a + 10 for x, a, b in zip(at, first, last))  # the half lies in each of its strings
+    assert all(b <= x <= a + 15 for x, a, b in zip(at, first, last))  # the quarter lies in each of its strings
+
+
+def test_long_runs_of_one_byte_and_of_a_period(spark):
+    """Few anchors speak for a periodic stretch, and its strings are found all the same, whatever stands before."""
+    text = b"x" * 100_000
+    at, _, first, last, _ = suffix_dedup.samples(text, 400)
+    assert len(at) < 2 * len(text) / 301 and first[0] == 0 and last[-1] == len(text) - 400
+    rng = random.Random(8)
+    rows = [(1, "q" + "ab" * 300 + sentence(rng, 5)), (2, "ab" * 100 + "c" + "x" * 2000), (3, sentence(rng, 30) + "x" * 150), (4, "ba" * 40 + "x" * 70), (5, "a" * 99)]
+    assert answer(suffix_dedup.remove_repeats(frame(spark, rows), 100)) == brute(rows, 100)
+
+
+def test_offsets_of_the_rounds():
+    assert suffix_dedup.rounds(400) == [25, 50, 100] and suffix_dedup.offsets(400) == [0, 25, 50, 75]
+    for length in range(4, 500):
+        short, _, quarter = suffix_dedup.rounds(length)
+        assert max(suffix_dedup.offsets(length)) + short == quarter
