@@ -1,8 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line goes if an earlier one equals it or is one character edit away.  Equal
-lines meet by their hash.  For the others, each line emits its deletion
-variants as hashed keys; lines with one variant in common are compared.
+A line with a word goes if an earlier one equals it, whatever its length, or
+if it has ``NEAR_CHARS`` characters and an earlier one is one character edit
+away.  Blank lines stay.  Equal lines meet by their hash.  For the others,
+each line emits its deletion variants as hashed keys; lines with one variant
+in common are compared.
 
 A pair within one edit agrees outside a short stretch, so the variants are
 emitted for that stretch only, under a key of all that surrounds it:
@@ -13,9 +15,11 @@ emitted for that stretch only, under a key of all that surrounds it:
    rest.  Lines that share one get to step 3 with that part.
 3. The part's deletion variants are emitted.  Equal variants give the
    earliest line that shares each, never a list of a group's lines, and the
-   edit distance is verified.
+   edit distance is verified on the whole lines.
 
-All of it is DataFrame operations.
+All of it is DataFrame operations.  What is grouped is stored before it is
+joined, so that neither side of a join is an aggregate and Spark can split the
+rows of a line, or of a variant, that a large share of them has.
 """
 
 from __future__ import annotations
@@ -25,12 +29,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, stored
+from .scratch import passing, small, stored
 
-MIN_CHARS = 20
+#: One edit makes another word of a shorter line; those are compared for equality only.
+NEAR_CHARS = 20
 HALVES, PARTS = 2, 8
-#: Tables up to these rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_LINES, BROADCAST_DROPPED = 1_000_000, 1_000_000
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,61 +103,66 @@ def near_dropped(lines: DataFrame) -> DataFrame:
     """``occ`` of those of the distinct ``lines`` (``h1, occ, line``) that have an earlier one at one edit."""
     windows = stored(_windows(lines), "lines-windows")
     shared = windows.groupBy("near").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("longer").alias("all_longer")).filter((F.col("a") != F.col("b")) & ~F.col("all_longer"))
-    variants = _variants(windows.join(shared.select("near"), "near"))
+    variants = _variants(windows.join(stored(shared.select("near"), "lines-near"), "near"))
     variants = stored(variants, "lines-variants")
     first = lambda longer: F.min(F.when(F.col("longer") == longer, F.struct("occ", "part")))
-    groups = variants.groupBy("variant").agg(first(False).alias("short_one"), first(True).alias("long_one"))
+    groups = stored(variants.groupBy("variant").agg(first(False).alias("short_one"), first(True).alias("long_one")), "lines-groups")
     partner = F.when(F.col("swap") | F.col("longer"), F.col("short_one")).otherwise(F.col("long_one"))
-    return (
+    found = (
         variants.join(groups, "variant")
         .withColumn("partner", partner)
         .filter(F.col("partner.occ") < F.col("occ"))
         .filter(F.levenshtein(F.col("part"), F.col("partner.part"), 1).between(0, 1))
-        .select("occ")
+        .select("occ", F.col("partner.occ").alias("earlier"))
         .distinct()
     )
+    whole = found.join(lines.select("occ", "line"), "occ").join(lines.select(F.col("occ").alias("earlier"), F.col("line").alias("other")), "earlier")
+    return whole.filter(F.levenshtein(F.col("line"), F.col("other"), 1).between(0, 1)).select("occ").distinct()
 
 
-def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """``rec_id, text_key, line_no`` of each line that an earlier line equals or nearly equals.
 
     Earlier means a smaller (id, hash of the text, line number), null ids
-    first.  Lines under ``min_chars`` characters are never dropped: one edit
-    makes another word of them.  Rows equal in id and text are one row here.
+    first.  Exact repeats go at any length; lines of ``near_chars`` characters
+    or more also go for an earlier one of as many that is one edit away.
+    Lines of white space are never dropped.  Rows equal in id and text are one
+    row here.
     """
     keyed = _keyed(df, id_col, text_col)
     occ = F.struct("rec_id", "text_key", "line_no")
-    long_enough = _lines(keyed).filter(F.length("line") >= min_chars)
-    seen = stored(long_enough.select("rec_id", "text_key", "line_no", *_hashes(F.col("line")), *_half_keys(F.col("line"))), "lines-seen")
-
-    first = seen.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeats = seen.select("h1", "h2", occ.alias("occ")).join(first, ["h1", "h2"]).filter(F.col("occ") > F.col("first")).select("occ")
-
-    halves = seen.select("h1", F.explode(F.array("k00", "k01", "k10", "k11")).alias("k"))
-    shared = halves.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
-    shared = stored(shared, "lines-shared")  # so that the join's other side is no aggregate and a hot key can be split
-    maybe = stored(halves.join(shared, "k").select("h1").distinct(), "lines-maybe")
-    texts = long_enough.withColumn("h1", F.xxhash64("line")).join(small(maybe, BROADCAST_LINES), "h1")
+    long_enough = F.length("line") >= near_chars
+    worded = _lines(keyed).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    halves = F.when(long_enough, F.array(*_half_keys(F.col("line")))).alias("halves")
+    seen = stored(worded.select("rec_id", "text_key", "line_no", *_hashes(F.col("line")), halves), "lines-seen")
+
+    first = seen.groupBy("h1", "h2").agg(F.min(occ).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    repeats = seen.select("h1", "h2", occ.alias("occ")).join(stored(first, "lines-first"), ["h1", "h2"]).filter(F.col("occ") > F.col("first")).select("occ")
+
+    keys = seen.select("h1", F.explode("halves").alias("k"))
+    shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("k")
+    maybe = stored(keys.join(stored(shared, "lines-shared"), "k").select("h1").distinct(), "lines-maybe")
+    texts = worded.filter(long_enough).withColumn("h1", F.xxhash64("line")).join(small(maybe), "h1")
     distinct = texts.groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(occ).alias("occ"), F.any_value("line").alias("line"))
     near = near_dropped(stored(distinct.select("h1", "occ", "line"), "lines-distinct"))
     return repeats.union(near).select("occ.*").distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:
     """Each row of ``df``, all columns, with ``kept_text, n_lines, n_dropped``.
 
     ``kept_text`` joins the lines that stay by newlines; it is null for a null
-    text (0 lines) and empty if no line stays.  An empty text is one line that
-    stays.  A line with an earlier one within one edit goes even if that
+    text (0 lines) and empty if no line stays.  An empty text is one blank line,
+    which stays.  A line with an earlier one within one edit goes even if that
     earlier one goes too.  Repeated rows share one fate.  An empty table gives
     an empty result.  Columns of ``df`` with these three names are replaced.
     """
-    lost = stored(dropped_lines(df, id_col, text_col, min_chars), "lines-dropped")
-    few = lost.limit(BROADCAST_DROPPED + 1).count() <= BROADCAST_DROPPED
-    lost = lost.groupBy(F.col("rec_id").alias("_lost_id"), F.col("text_key").alias("_lost_key")).agg(F.collect_set("line_no").alias("_lost"))
+    with passing(df.sparkSession) as keep:
+        lost = dropped_lines(df, id_col, text_col, near_chars).groupBy(F.col("rec_id").alias("_lost_id"), F.col("text_key").alias("_lost_key"))
+        lost = keep(stored(lost.agg(F.collect_set("line_no").alias("_lost")), "lines-dropped"))
     rows = df.withColumn("_text_key", F.xxhash64(text_col))
     on = [rows[id_col].eqNullSafe(lost["_lost_id"]), rows["_text_key"] == lost["_lost_key"]]
-    joined = rows.join(F.broadcast(lost) if few else lost, on, "left")
+    joined = rows.join(small(lost), on, "left")
     lines = F.split(text_col, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost"), lambda i: F.get(lines, i))
     return joined.withColumns(

@@ -123,14 +123,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN per USING (doc_id)
 """
 
-#: Lines of 20 characters or more; a pair within one edit has equal first or last halves, and agrees around one place.
+#: Exact repeats of lines with a word; one edit in lines of 20 characters or more, where a pair has equal first or last halves and agrees around one place.
 OP9_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents
 ), f AS (
-  SELECT line, min((doc_id, no)) AS occ, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, min((doc_id, no)) AS occ, length(line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
 ), c AS (
-  SELECT line, occ, n, n - s AS t FROM f, (VALUES (0), (1)) v(s)
+  SELECT line, occ, n, n - s AS t FROM f, (VALUES (0), (1)) v(s) WHERE n >= 20
 ), pair AS (
   SELECT a.line, b.line AS other, a.n, b.n AS m, a.t FROM c a JOIN c b ON a.t = b.t AND left(a.line, a.t // 2) = left(b.line, b.t // 2) AND a.line <> b.line AND least(a.n, b.n) = a.t AND b.occ < a.occ
   UNION

@@ -1,35 +1,49 @@
-"""Tables that cut lineage, in the folder that all executors share, and bounds on what a Python worker holds.
+"""Tables that cut lineage, in the folder that all executors share, and bounds on what is broadcast and on what a Python worker holds.
 
-``spark.checkpoint.dir`` names the folder.  Where a session has no such
-setting (tests, a laptop), a private folder under ``/tmp/checkpoints`` is used.
+``spark.checkpoint.dir`` or ``setCheckpointDir`` names the folder.  Where a
+local session has neither (tests, a laptop), a private folder under
+``/tmp/checkpoints`` is used; on a cluster that is an error, since executors
+wouldn't see each other's files.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints/ledgerloom"
 
-
 _written: list[str] = []
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or LOCAL_FALLBACK).rstrip("/")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = LOCAL_FALLBACK
+    return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other table has; Spark makes it on writing."""
-    return f"{shared_dir(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    if (held := _passing.get()) is not None:
+        held.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,7 +53,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     reread of the file, never a rerun of the stages before.
     """
     path = new_folder(df.sparkSession, name)
-    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,34 +62,83 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _names(*tables: DataFrame) -> set[str]:
+    """Names of the folders that these tables read, of those made here."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for df in tables for f in df.inputFiles()}
+    return {f for f in folders if f.startswith("ledgerloom-")}
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _delete(spark, path)
+        if path in _written:
+            _written.remove(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the files of tables made by :func:`stored`, once nothing reads them."""
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/ledgerloom-" in folder:
-                _delete(df.sparkSession, folder)
+    gone = _names(*tables)
+    for df in tables[:1]:
+        _drop(df.sparkSession, [p for p in _written if p.rpartition("/")[2] in gone])
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored in the block are deleted when it ends, but those that what is passed to the yielded function reads."""
+    held: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_names(df))
+        return df
+
+    token = _passing.set(held)
+    try:
+        yield keep
+    finally:
+        _passing.reset(token)
+        outer = _passing.get()
+        if outer is not None:
+            outer += [p for p in held if p.rpartition("/")[2] in kept]
+        _drop(spark, [p for p in held if p.rpartition("/")[2] not in kept])
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this process stored; DataFrames that read them are of no more use."""
-    while _written:
-        _delete(spark, _written.pop())
+    _drop(spark, list(_written))
+
+
+#: What may be broadcast: tables of so many bytes, by :func:`table_bytes`.
+BROADCAST_BYTES = 64 << 20
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    if isinstance(kind, T.ArrayType):
+        each = 8 + 16 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 16
+        own = F.coalesce(F.size(value), F.lit(0)).cast("long") * each
+        return own + F.coalesce(F.octet_length(F.array_join(value, "")), F.lit(0)) if isinstance(kind.elementType, T.StringType) else own
+    return F.lit(0).cast("long")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, with a broadcast hint only if it has at most so many rows (counted)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of a table in memory, about: 16 for each row and column, and what strings and arrays hold besides."""
+    more = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0).cast("long"))
+    rows, held = df.agg(F.count("*"), F.sum(more)).first()
+    return rows * 16 * (1 + len(df.columns)) + (held or 0)
 
 
-#: Rows of (id, hash) that without() broadcasts; more of them are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+def small(df: DataFrame) -> DataFrame:
+    """``df``, with a broadcast hint only if it takes at most BROADCAST_BYTES (counted)."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` but those in ``gone`` (``id_col``, ``text_key``: the text's xxhash64), null ids alike."""
     gone = stored(gone.select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
     on = [docs[id_col].eqNullSafe(gone["gone_id"]), F.xxhash64(docs[text_col]) == gone["gone_key"]]
-    return docs.join(small(gone, BROADCAST_ROWS), on, "left_anti")
+    return docs.join(small(gone), on, "left_anti")
 
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

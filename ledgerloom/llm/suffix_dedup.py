@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import by_bytes, forget, small_batches, stored
+from .scratch import by_bytes, forget, passing, small, small_batches, stored
 
 LENGTH = 400
 #: Positions with one rank that a task compares at once.
 PART = 1000
-#: Tables of anchors or spans up to so many bytes are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
 #: Bytes of a text that are ranked at a time.
 BLOCK = 1 << 19
 _POSITION_BITS = 20
@@ -198,12 +196,6 @@ def surviving(marks: DataFrame, part: int) -> DataFrame:
         marks, ranks = left, [f"r{i}" for i in range(len(pairs))]
 
 
-def _small(df: DataFrame, elements: str, width: int) -> bool:
-    """Whether a table of arrays stays below BROADCAST_BYTES: 64 bytes a row and ``width`` an element."""
-    r = df.agg(F.count("*"), F.sum(F.size(elements))).first()
-    return 64 * r[0] + width * (r[1] or 0) <= BROADCAST_BYTES
-
-
 def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """``name, part, k1, k2, first, around`` for each wanted anchor: the bytes of the strings that it speaks for."""
 
@@ -230,7 +222,7 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "at", "parts")
     on = [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"], keyed["rec_id"].eqNullSafe(right["rep"])]
-    joined = keyed.join(F.broadcast(right) if _small(wanted, "at", 8) else right, on)
+    joined = keyed.join(small(right), on)
     rows = joined.select("k1", "k2", "data", "at", "parts")
     return rows.mapInArrow(run, "name long, part int, k1 long, k2 long, first long, around binary")
 
@@ -358,9 +350,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     """
     small_batches(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
-    spans = stored(repeated_spans(df, length, id_col, text_col, part), "suffix-spans")
+    with passing(df.sparkSession) as keep:
+        spans = keep(stored(repeated_spans(df, length, id_col, text_col, part), "suffix-spans"))
     right = spans.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "spans")
-    joined = keyed.join(F.broadcast(right) if _small(spans, "spans", 32) else right, [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"]], "left")
+    joined = keyed.join(small(right), [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"]], "left")
     kind = "array<struct<start:bigint,end:bigint>>"
     rows = joined.select("rec_id", "data", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
 

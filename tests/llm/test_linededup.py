@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from ledgerloom.llm import linededup
+from ledgerloom.llm import linededup, scratch
 from tests.llm.texts import corpus, frame, sentence
 
 
@@ -15,18 +15,19 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def brute(rows, least=20):
+def brute(rows, near=20):
     """Texts without dropped lines; ids are unique here."""
     first = {}
     for i, t in sorted(rows):
         for k, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line) >= least:
+            if line.strip(" \t\n\x0b\x0c\r"):
                 first.setdefault(line, (i, k))
-    near = {line for line, at in first.items() for other, before in first.items() if before < at and one_edit(line, other)}
+    long = {line: at for line, at in first.items() if len(line) >= near}
+    close = {line for line, at in long.items() for other, before in long.items() if before < at and one_edit(line, other)}
     out = {}
     for i, t in rows:
         lines = t.split("\n") if t is not None else []
-        kept = [x for k, x in enumerate(lines) if len(x) < least or (first[x] == (i, k) and x not in near)]
+        kept = [x for k, x in enumerate(lines) if x not in first or (first[x] == (i, k) and x not in close)]
         out[i] = (None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept))
     return out
 
@@ -53,10 +54,26 @@ def test_equals_brute_force(spark):
     assert answer(linededup.dedup_lines(frame(spark, rows))) == expected
 
 
-def test_earliest_stays_and_short_lines_too(spark):
+def test_earliest_stays_and_short_repeats_go(spark):
+    """Short lines go only for an equal one, and blank lines stay."""
     a = "a line of more than twenty characters"
-    rows = [(2, a + "\nshort\n" + a), (1, a.replace("twenty", "twentx")), (3, "short\n"), (4, None), (5, "")]
-    assert answer(linededup.dedup_lines(frame(spark, rows))) == {1: (a.replace("twenty", "twentx"), 1, 0), 2: ("short", 3, 2), 3: ("short\n", 2, 0), 4: (None, 0, 0), 5: ("", 1, 0)}
+    rows = [(2, a + "\nshort\n" + a), (1, a.replace("twenty", "twentx")), (3, "short\n\nshart\n "), (4, None), (5, ""), (6, "\n ")]
+    expected = {1: (a.replace("twenty", "twentx"), 1, 0), 2: ("short", 3, 2), 3: ("\nshart\n ", 4, 1), 4: (None, 0, 0), 5: ("", 1, 0), 6: ("\n ", 2, 0)}
+    assert brute(rows) == expected
+    assert answer(linededup.dedup_lines(frame(spark, rows))) == expected
+
+
+def test_least_length_of_near_lines_is_a_parameter(spark):
+    rows = [(1, "short"), (2, "shart\nother"), (3, "shart")]
+    assert answer(linededup.dedup_lines(frame(spark, rows), near_chars=5)) == brute(rows, 5) == {1: ("short", 1, 0), 2: ("other", 2, 1), 3: ("", 1, 1)}
+
+
+def test_shuffle_joins_give_the_same(spark, monkeypatch):
+    """With no side small enough to be broadcast."""
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
+    rows = corpus(9, 40)
+    rows += [(500 + i, edited(random.Random(i), "a line of more than twenty characters")) for i in range(12)]
+    assert answer(linededup.dedup_lines(frame(spark, rows))) == brute(rows)
 
 
 def test_repeated_rows_share_a_fate_and_null_ids_come_first(spark):

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from ledgerloom.llm import suffix_dedup
+from ledgerloom.llm import scratch, suffix_dedup
 from tests.llm.texts import corpus, frame, sentence
 
 
@@ -56,7 +56,7 @@ def test_repeated_rows_are_copies(spark):
 
 def test_empty_table_and_shuffle_joins(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [(1, "x")]).limit(0)).collect() == []
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
     rows = corpus(6, 30)
     assert answer(suffix_dedup.remove_repeats(frame(spark, rows), 100)) == brute(rows, 100)
 
