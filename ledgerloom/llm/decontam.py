@@ -6,6 +6,10 @@ their postings, shifted by the term's place in the item, are intersected, and
 what all of a window's rarest terms agree on is compared word by word.  All of
 it is DataFrame operations; text never leaves the JVM.
 
+Texts are cut into words once, in a stored table.  A window carries its own
+words, never its item's, so work grows with the words of items and documents
+and not with the square of a long one.
+
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z only.
 """
 
@@ -17,13 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import small, stored
+from .scratch import passing, small, stored
 
 WINDOW = 13
 #: Terms of a window whose lists are intersected.
 RAREST = 3
-#: Test vocabularies, items and documents with a candidate up to these rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_TERMS, BROADCAST_ITEMS, BROADCAST_DOCS = 200_000, 20_000, 500_000
 
 _NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,56 +37,67 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, _NO_WORD), "")
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rec_id, text_key, text``: rows with one id and different texts stay apart, repeated rows are one."""
-    return df.select(F.col(id_col).alias("rec_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rec_id, text_key, words`` of each row: rows with one id and different texts stay apart. A null text has null words."""
+    return docs.select(F.col(id_col).alias("rec_id"), F.xxhash64(text_col).alias("text_key"), words(F.col(text_col)).alias("words"))
 
 
-def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """``item_key, item_id, item_words, start, length`` for each window of each item that has words."""
-    n = F.size("item_words")
-    return (
-        items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("item_words"))
-        .filter(F.size("item_words") > 0)
-        .distinct()
-        .withColumn("item_key", F.xxhash64("item_id", "item_words"))
-        .withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))))
-        .withColumn("length", F.least(n, F.lit(window)))
-    )
+def item_terms(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``item_key, item_id, n_words, at, term``: the words of each item that has any."""
+    own = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("words")).filter(F.size("words") > 0).distinct()
+    return own.select(F.xxhash64("item_id", "words").alias("item_key"), "item_id", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: how often each of ``terms`` stands in all documents."""
-    every = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    few = small(terms, BROADCAST_TERMS)
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, n``: how often each of ``terms`` stands in all documents (of :func:`word_table`)."""
+    every = texts.select(F.explode("words").alias("term"))
+    few = small(terms)
     if few is terms:  # too many to broadcast: count first, so that a frequent word is one row a task
         return every.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
     return every.join(few, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``item_key, item_id, item_words, start, length, needs``: the places in the item of each window's rarest terms.
+def rarest_terms(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """``item_key, item_id, start, length, needs, phrase`` of each window: its words, and the places in the item of the rarest of them.
 
-    Windows with a word that no document has can't occur and are left out.
+    A window is ``window`` consecutive words, or all of an item that has
+    fewer.  Those with a word that no document has can't occur and are left
+    out.
     """
-    place = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")
-    terms = windows.select("item_key", "start", "length", "item_words", place).withColumn("term", F.get("item_words", F.col("at")))
-    one = W.partitionBy("item_key", "start")  # at most `window` rows
-    found = (
-        terms.join(counts, "term")
-        .withColumn("rank", F.row_number().over(one.orderBy("n", "at")))
-        .withColumn("known", F.count("*").over(one))
-        .filter((F.col("known") == F.col("length")) & (F.col("rank") <= RAREST))
-        .groupBy("item_key", "start")
-        .agg(F.collect_set("at").alias("needs"))
+    ahead = W.partitionBy("item_key").orderBy("at").rowsBetween(0, window - 1)
+    known = terms.join(small(counts), "term", "left")
+    windows = known.withColumn("own", F.collect_list(F.struct("n", "at", "term")).over(ahead)).filter(F.col("at") <= F.greatest(F.col("n_words") - window, F.lit(0)))
+    rarest = F.slice(F.array_sort("own"), 1, RAREST)
+    return windows.filter(F.forall("own", lambda w: w["n"].isNotNull())).select(
+        "item_key", "item_id", F.col("at").alias("start"), F.size("own").alias("length"), F.transform(rarest, lambda w: w["at"]).alias("needs"), F.col("own.term").alias("phrase")
     )
-    return windows.join(found, ["item_key", "start"])
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of ``terms`` in ``docs`` (from :func:`_keyed`): ``term, rec_id, text_key, at``."""
-    postings = docs.select("rec_id", "text_key", F.posexplode(words(F.col("text"))).alias("at", "term"))
-    return postings.join(small(terms, BROADCAST_TERMS), "term", "left_semi").select("term", "rec_id", "text_key", "at")
+def build_index(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of ``terms`` in ``texts`` (of :func:`word_table`): ``term, rec_id, text_key, at``."""
+    postings = texts.select("rec_id", "text_key", F.posexplode("words").alias("at", "term"))
+    return postings.join(small(terms), "term", "left_semi").select("term", "rec_id", "text_key", "at")
+
+
+def candidates(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
+    """``rec_id, text_key, item_key, shift, start``: windows all of whose rarest terms agree on one shift.
+
+    Lists are intersected item by item first: a term's posting gives its shift
+    against the item once, whatever the number of windows that need it.  Only
+    shifts on which as many terms agree as a window needs are then looked at
+    window by window.
+    """
+    needed = windows.select("item_key", "start", F.size("needs").alias("n_needs"), F.posexplode("needs").alias("_", "item_at"), "phrase")
+    anchors = needed.groupBy("item_key", "item_at", F.get("phrase", F.col("item_at") - F.col("start")).alias("term"))
+    anchors = stored(anchors.agg(F.min("n_needs").alias("least"), F.collect_list(F.struct("start", "n_needs")).alias("starts")), "decontam-anchors")  # a window's words at most
+
+    shift = F.col("at") - F.col("item_at")
+    aligned = index.join(small(anchors.select("term", "item_key", "item_at", "least")), "term")
+    aligned = aligned.withColumn("shift", F.explode(F.sequence(shift - slop, shift + slop)) if slop else shift)
+    agreed = aligned.groupBy("rec_id", "text_key", "item_key", "shift").agg(F.collect_set("item_at").alias("met"), F.min("least").alias("least")).filter(F.size("met") >= F.col("least"))
+    met = stored(agreed.select("rec_id", "text_key", "item_key", "shift", F.explode("met").alias("item_at")), "decontam-met")
+    at_starts = met.join(small(anchors.select("item_key", "item_at", "starts")), ["item_key", "item_at"]).select("rec_id", "text_key", "item_key", "shift", F.explode("starts").alias("s"))
+    return at_starts.groupBy("rec_id", "text_key", "item_key", "shift", "s.start", "s.n_needs").agg(F.count("*").alias("n")).filter("n = n_needs").drop("n", "n_needs")
 
 
 def matches(
@@ -105,55 +118,48 @@ def matches(
     does).  Null and empty texts have no words and match nothing; an item of
     fewer than ``window`` words is one window.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    windows = stored(item_windows(items, window, item_id_col, text_col), "decontam-windows")
-    vocabulary = windows.select(F.explode("item_words").alias("term")).distinct()
-    chosen = stored(rarest_terms(windows, stored(term_counts(keyed, vocabulary), "decontam-counts")), "decontam-rarest")
-    anchors = chosen.select("item_key", F.explode("needs").alias("item_at"), "item_words").distinct()
-    anchors = stored(anchors.select(F.get("item_words", F.col("item_at")).alias("term"), "item_key", "item_at"), "decontam-anchors")
-    index = stored(build_index(keyed, anchors.select("term").distinct()), "decontam-index")
-
-    shift = F.col("at") - F.col("item_at")
-    aligned = index.join(small(anchors, BROADCAST_TERMS), "term")
-    if slop:
-        aligned = aligned.select("*", F.explode(F.sequence(shift - slop, shift + slop)).alias("shift"))
-    else:
-        aligned = aligned.withColumn("shift", shift)
-    agreed = aligned.groupBy("rec_id", "text_key", "item_key", "shift").agg(F.collect_set("item_at").alias("met"))
-    per_item = chosen.groupBy("item_key").agg(
-        F.first("item_id").alias("item_id"), F.first("item_words").alias("item_words"), F.collect_list(F.struct("start", "length", "needs")).alias("windows")
-    )
-    candidates = (
-        agreed.join(small(stored(per_item, "decontam-items"), BROADCAST_ITEMS), "item_key")
-        .withColumn("open", F.filter("windows", lambda w: F.size(F.array_except(w["needs"], F.col("met"))) == 0))
-        .filter(F.size("open") > 0)
-        .select("rec_id", "text_key", "item_id", "item_words", "shift", "open")
-    )
-    candidates = stored(candidates, "decontam-candidates")
-
-    own = [keyed["rec_id"].eqNullSafe(F.col("hit_id")), keyed["text_key"] == F.col("hit_key")]
-    wanted = stored(candidates.select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "decontam-wanted")
-    texts = keyed.join(small(wanted, BROADCAST_DOCS), own, "left_semi").distinct().select(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key"), words(F.col("text")).alias("doc_words"))
-    both = candidates.join(texts, [candidates["rec_id"].eqNullSafe(texts["hit_id"]), candidates["text_key"] == texts["hit_key"]])
-
-    def same(w: Column) -> Column:
-        begin = F.col("shift") + w["start"]
-        return (begin >= 0) & (F.slice("doc_words", F.greatest(begin, F.lit(0)) + 1, w["length"]) == F.slice("item_words", w["start"] + 1, w["length"]))
-
-    def near(w: Column) -> Column:
-        def there(i: Column) -> Column:
-            low = F.greatest(F.col("shift") + i - slop, F.lit(0))
-            width = F.greatest(F.col("shift") + i + slop + 1 - low, F.lit(0))
-            return F.array_contains(F.slice("doc_words", low + 1, width), F.get("item_words", i))
-
-        return F.forall(F.sequence(w["start"], w["start"] + w["length"] - 1), there)
-
-    held = F.filter("open", near if slop else same)
-    inside = F.array_distinct(F.flatten(F.transform("held", lambda w: F.sequence(F.col("shift") + w["start"], F.col("shift") + w["start"] + w["length"] - 1))))
-    return (
-        both.withColumn("held", held)
-        .filter(F.size("held") > 0)
-        .select("rec_id", "text_key", "item_id", F.forall("held", same).alias("exact"), F.filter(inside, lambda p: (p >= 0) & (p < F.size("doc_words"))).alias("places"))
+    return _matches(stored(word_table(docs, id_col, text_col), "decontam-words"), items, window, slop, item_id_col, text_col)
+
+
+def _matches(texts: DataFrame, items: DataFrame, window: int, slop: int, item_id_col: str, text_col: str) -> DataFrame:
+    """:func:`matches` in ``texts`` of :func:`word_table`."""
+    terms = stored(item_terms(items, item_id_col, text_col), "decontam-terms")
+    counts = stored(term_counts(texts, terms.select("term").distinct()), "decontam-counts")
+    windows = stored(rarest_terms(terms, counts, window), "decontam-windows")
+    rare = windows.select(F.explode(F.transform("needs", lambda at: F.get("phrase", at - F.col("start")))).alias("term")).distinct()
+    index = stored(build_index(texts, rare), "decontam-index")
+    found = candidates(index, windows, slop).join(small(windows.select("item_key", "item_id", "start", "length", "phrase")), ["item_key", "start"])
+    begin = F.col("shift") + F.col("start")
+    found = stored(found.withColumn("begin", begin).filter((begin >= 0) if not slop else (begin >= -slop)), "decontam-candidates")
+
+    # A document's words come once, and leave in pieces of the windows' lengths.
+    spans = found.groupBy(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.collect_set(F.struct("begin", "length")).alias("spans"))
+    spans = stored(spans, "decontam-spans")
+    with_words = texts.join(small(spans), [texts["rec_id"].eqNullSafe(spans["hit_id"]), texts["text_key"] == spans["hit_key"]])
+
+    def piece(s: Column) -> Column:
+        low = F.greatest(s["begin"] - slop, F.lit(0))
+        own = F.slice("words", low + 1, F.greatest(s["begin"] + s["length"] + slop - low, F.lit(0)))
+        return F.struct(s["begin"].alias("begin"), s["length"].alias("length"), own.alias("piece"))
+
+    pieces = with_words.select("hit_id", "hit_key", F.size("words").alias("n_words"), F.explode(F.transform("spans", piece)).alias("p")).select("hit_id", "hit_key", "n_words", "p.*")
+    pieces = pieces.withColumnsRenamed({"begin": "p_begin", "length": "p_length"})
+    on = [found["rec_id"].eqNullSafe(pieces["hit_id"]), found["text_key"] == pieces["hit_key"], found["begin"] == pieces["p_begin"], found["length"] == pieces["p_length"]]
+    both = found.join(pieces, on)
+
+    low = F.greatest(F.col("begin") - slop, F.lit(0))
+    same = F.slice("piece", F.col("begin") - low + 1, F.col("length")) == F.col("phrase") if not slop else (F.col("begin") >= 0) & (F.slice("piece", F.greatest(F.col("begin") - low, F.lit(0)) + 1, F.col("length")) == F.col("phrase"))
+
+    def there(i: Column) -> Column:
+        at = F.greatest(F.col("begin") + i - slop, F.lit(0))
+        width = F.greatest(F.col("begin") + i + slop + 1 - at, F.lit(0))
+        return F.array_contains(F.slice("piece", at - low + 1, width), F.get("phrase", i))
+
+    near = F.forall(F.sequence(F.lit(0), F.col("length") - 1), there)
+    held = both.filter(near if slop else same).withColumn("same", same).groupBy("rec_id", "text_key", "item_key", "item_id", "shift", "n_words")
+    inside = F.array_distinct(F.flatten(F.transform("begins", lambda b: F.sequence(b["begin"], b["begin"] + b["length"] - 1))))
+    return held.agg(F.every("same").alias("exact"), F.collect_set(F.struct("begin", "length")).alias("begins")).select(
+        "rec_id", "text_key", "item_id", "exact", F.filter(inside, lambda p: (p >= 0) & (p < F.col("n_words"))).alias("places")
     )
 
 
@@ -177,15 +183,17 @@ def contamination(
     ``n_hit`` only.  Without documents the result is empty, without items
     nothing is hit.
     """
-    found = (
-        matches(docs, items, window, 0, id_col, item_id_col, text_col)
-        .groupBy(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
-    )
-    keyed = _keyed(docs, id_col, text_col)
-    rows = keyed.select("rec_id", "text_key", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    with passing(docs.sparkSession) as keep:
+        texts = keep(stored(word_table(docs, id_col, text_col), "decontam-words"))
+        found = (
+            _matches(texts, items, window, 0, item_id_col, text_col)
+            .groupBy(F.col("rec_id").alias("hit_id"), F.col("text_key").alias("hit_key"))
+            .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+        )
+        found = keep(stored(found, "decontam-found"))
+    rows = texts.select("rec_id", "text_key", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("n_words"))
     n_words = F.greatest(F.col("n_words"), F.lit(0))
-    joined = rows.join(found, [rows["rec_id"].eqNullSafe(found["hit_id"]), rows["text_key"] == found["hit_key"]], "left")
+    joined = rows.join(small(found), [rows["rec_id"].eqNullSafe(found["hit_id"]), rows["text_key"] == found["hit_key"]], "left")
     n_hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
     return joined.select(
         F.col("rec_id").alias(id_col),

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from ledgerloom.llm import decontam
+from ledgerloom.llm import decontam, scratch
 from tests.llm.texts import corpus, frame, sentence
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -60,8 +60,7 @@ def test_equals_brute_force(spark):
 
 def test_shuffle_joins_give_the_same(spark, monkeypatch):
     """With no side small enough to be broadcast."""
-    for name in ("BROADCAST_TERMS", "BROADCAST_ITEMS", "BROADCAST_DOCS"):
-        monkeypatch.setattr(decontam, name, -1)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", -1)
     docs, items = case()
     got = decontam.contamination(frame(spark, docs[:25] + docs[-10:]), spark.createDataFrame(items, "item_id long, text string"))
     assert answer(got) == brute(docs[:25] + docs[-10:], items)
@@ -78,6 +77,16 @@ def test_repeats_null_ids_and_empty_tables(spark):
     assert {r.n_hit for r in decontam.contamination(frame(spark, rows), items.limit(0)).collect()} == {0}
 
 
+def test_long_items_take_work_in_proportion(spark):
+    """An item of 20,000 words that stands whole in a document, beside one of a single word again and again."""
+    rng = random.Random(6)
+    item = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000))
+    rows = [(1, "before " + item + " after"), (2, " ".join(item.split()[500:512])), (3, " ".join(item.split()[500:513])), (4, "the " * 300)]
+    items = spark.createDataFrame([(1, item), (2, "the " * 200)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(frame(spark, rows), items).collect()}
+    assert got == {1: (20_002, 20_000, 1), 2: (12, 0, 0), 3: (13, 13, 1), 4: (300, 300, 1)}
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     docs = [(1, "x " + item), (2, "x " + item.replace("beta gamma", "gamma beta")), (3, item.replace("alpha", "omega"))]
