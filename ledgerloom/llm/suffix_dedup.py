@@ -12,12 +12,15 @@ different here, so a rank is a hash of its pair.
 2. Spark doubles the ranks of anchors, in rounds: a sixteenth of the length,
    an eighth, a quarter.  Each round pairs the ranks at the growing offset,
    groups equal ones and drops the positions whose rank is unique.
-3. What survives is sorted by rank together with the bytes around it.  There
-   the last two doublings, to half and to the full length, are done for every
-   position that an anchor speaks for, next to those that it can equal.
-
-A rank that very many positions share is split at random; what is single in
-its part is then matched across parts by its last rank.
+3. What survives gets the bytes around it.  Anchors with equal surroundings are
+   settled by their hash: all strings there occur twice, and one of them
+   stands for the rest.
+4. These are sorted by rank.  There the last two doublings, to half and to the
+   full length, are done for every position that an anchor speaks for, next to
+   those that it can equal.
+
+A rank that very many different surroundings share is split at random; what is
+single in its part is then matched across parts by its last rank.
 """
 
 from __future__ import annotations
@@ -175,8 +178,8 @@ def sampled(keyed: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "k1 long, k2 long, at int, r0 int, r1 int, r2 int, r3 int")
 
 
-def surviving(marks: DataFrame, part: int) -> DataFrame:
-    """``k1, k2, at, parts``: the anchors whose rank is shared after every round.
+def surviving(marks: DataFrame) -> DataFrame:
+    """``k1, k2, at``: the anchors whose rank is shared after every round.
 
     A round counts equal ranks, drops the positions that are alone with
     theirs, and pairs the ranks of neighbouring offsets.  The counts are
@@ -185,11 +188,9 @@ def surviving(marks: DataFrame, part: int) -> DataFrame:
     """
     ranks = ["r0", "r1", "r2", "r3"]
     while True:
-        shared = marks.groupBy("r0").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = stored(marks.groupBy("r0").agg(F.count("*").alias("n")).filter("n > 1").select("r0"), "suffix-shared")
         if len(ranks) == 1:
-            shared = stored(shared.select("r0", F.ceil(F.col("n") / part).cast("int").alias("parts")), "suffix-shared")
-            return marks.join(shared, "r0").select("k1", "k2", "at", "parts")
-        shared = stored(shared.select("r0"), "suffix-shared")
+            return marks.join(shared, "r0", "left_semi").select("k1", "k2", "at")
         pairs = [F.xxhash64(*ranks[i : i + 2]).alias(f"r{i // 2}") for i in range(0, len(ranks), 2)]
         left = stored(marks.join(shared, "r0", "left_semi").select("k1", "k2", "at", *pairs), "suffix-ranked")
         forget(marks, shared)
@@ -197,34 +198,30 @@ def surviving(marks: DataFrame, part: int) -> DataFrame:
 
 
 def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``name, part, k1, k2, first, around`` for each wanted anchor: the bytes of the strings that it speaks for."""
+    """``name, k1, k2, first, around`` for each wanted anchor: the bytes of the strings that it speaks for."""
+    fields = {"name": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "first": pa.int64(), "around": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            held = 0
-            for a, b, data, at, parts in (row for small in by_bytes(batch, 2, 8 << 20) for row in zip(*(c.to_pylist() for c in small.columns))):
-                position, name, first, last, _ = samples(data, length)
-                for i, split in zip(np.searchsorted(position, at).tolist(), parts):
-                    low = int(first[i])
-                    part = (hash((a, low)) & 0x7FFFFFFF) % split if split > 1 else -1
-                    rows.append((int(name[i].view(np.int64)), part, a, b, low, data[low : int(last[i]) + length]))
-                    held += len(rows[-1][-1])
-                    if held > 4 << 20:
-                        yield from _batch(rows)
-                        rows, held = [], 0
-            yield from _batch(rows)
-
-    def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        columns = list(zip(*rows)) if rows else [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["name", "part", "k1", "k2", "first", "around"])
-
-    right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "at", "parts")
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [[]] * len(fields)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values())], names=list(fields))
+
+        rows: list[tuple] = []
+        held = 0
+        for a, b, data, at in (row for batch in batches for few in by_bytes(batch, 2, 8 << 20) for row in zip(*(c.to_pylist() for c in few.columns))):
+            position, name, first, last, _ = samples(data, length)
+            for i in np.searchsorted(position, at).tolist():
+                low = int(first[i])
+                rows.append((int(name[i].view(np.int64)), a, b, low, data[low : int(last[i]) + length]))
+                held += len(rows[-1][-1])
+                if held > 4 << 20:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+        yield batch_of(rows)
+
+    right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "at")
     on = [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"], keyed["rec_id"].eqNullSafe(right["rep"])]
-    joined = keyed.join(small(right), on)
-    rows = joined.select("k1", "k2", "data", "at", "parts")
-    return rows.mapInArrow(run, "name long, part int, k1 long, k2 long, first long, around binary")
+    return keyed.join(small(right), on).select("k1", "k2", "data", "at").mapInArrow(run, "name long, k1 long, k2 long, first long, around binary")
 
 
 def _paired(rank: np.ndarray, offset: int) -> np.ndarray:
@@ -310,19 +307,28 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     touching neighbours.
     """
     keyed = _keyed(df, id_col, text_col)
-    marks = surviving(stored(sampled(keyed, length), "suffix-samples"), part)
-    per_text = marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("at", "parts"))).alias("marks")).select("k1", "k2", "marks.at", "marks.parts")
+    marks = surviving(stored(sampled(keyed, length), "suffix-samples"))
+    per_text = marks.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("at")).alias("at"))
     texts = keyed.filter(F.length("data") >= length).groupBy("k1", "k2").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies"), F.max(F.length("data")).cast("long").alias("n_bytes"))
     texts = stored(texts, "suffix-texts")
-    wanted = stored(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "rep", "at", "parts"), "suffix-wanted")
-
-    found = stored(doubled(surroundings(keyed, wanted, length), length), "suffix-doubled")
+    wanted = stored(texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "rep", "at"), "suffix-wanted")
+
+    around = surroundings(keyed, wanted, length).withColumns({"a1": F.xxhash64("around"), "a2": F.xxhash64(F.lit(1), "around"), "last": F.col("first") + F.octet_length("around") - length})
+    around = stored(around, "suffix-around")
+    same = stored(around.groupBy("name", "a1", "a2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("rep")), "suffix-same")
+    equal = around.select("name", "a1", "a2", "k1", "k2", "first", "last").join(same.filter("n > 1").select("name", "a1", "a2"), ["name", "a1", "a2"])
+    mixed = stored(same.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("name", F.ceil(F.col("kinds") / part).alias("parts")), "suffix-mixed")
+    apart = stored(same.join(small(mixed), "name").select("rep.*", "parts"), "suffix-apart")
+    own_part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("k1", "first"), F.col("parts"))).otherwise(-1).cast("int").alias("part")
+    compared = around.join(small(apart), ["k1", "k2", "first"]).select("name", own_part, "k1", "k2", "first", "around")
+
+    found = stored(doubled(compared, length), "suffix-doubled")
     runs = found.filter("last is not null").select("k1", "k2", "first", "last")
     across = found.filter("rank is not null")
     met = across.groupBy("name", "rank").agg(F.count("*").alias("n"), F.count("first").alias("singles")).filter("n > 1").select("name", "rank")
     single = across.filter("first is not null").join(met, ["name", "rank"]).select("k1", "k2", "first", F.col("first").alias("last"))
     copies = texts.filter("copies > 1").select("k1", "k2", F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - length).alias("last"))
-    every = runs.union(single).union(copies).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")))).alias("raw"))
+    every = runs.union(single).union(equal.select("k1", "k2", "first", "last")).union(copies).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end")))).alias("raw"))
     return every.select("k1", "k2", _merge("raw").alias("spans"))
 
 
