@@ -1,6 +1,8 @@
 """Token counts, SentencePiece, sharding, quality rules and language ID."""
 
+import math
 import random
+import statistics
 import zlib
 from collections import Counter
 
@@ -155,7 +157,7 @@ def test_thresholds_follow_each_group(spark):
     rows = [(i, t, "en", "a") for i, t in plain] + [(i, t, None, "b") for i, t in marked] + [(900, marked[0][1], "en", "a"), (901, None, "en", "a"), (902, "", None, None), (903, "few words", "en", "a")]
     out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
     assert all(out[i].kept for i, _ in plain + marked)
-    assert not out[900].kept and not out[900].base_failed and out[900].max_symbol_ratio == 20
+    assert not out[900].kept and not out[900].base_failed and out[900].max_symbol_ratio < 40 < out[100].max_symbol_ratio
     assert all(out[i].base_failed and not out[i].kept for i in (901, 902, 903))
     assert quality.judge(spark.createDataFrame(rows, schema).limit(0)).collect() == []
 
@@ -173,6 +175,52 @@ def test_repeat_thresholds_differ_between_groups(spark):
         assert out[0][ratio] < out[100][ratio]
 
 
+def brute_verdicts(rows):
+    """(fences, kept) of each id, from the sorted ratios of each group."""
+    counts = {i: brute_counts(t) for i, t, _, _ in rows}
+    group = {i: (g, h) for i, _, g, h in rows}
+    passed = [i for i, c in counts.items() if c[0] >= 50 and 2 * c[5] <= c[0]]
+    over = lambda a, b, scale, top: min(top, scale * a // b if b else 0)
+    ratios = {i: (over(c[2], c[1], 1000, 1000), over(c[4], c[3], 1000, 1000), over(c[5], c[0], 1000, 1000), over(c[1], c[0], 100, 10_000)) for i, c in counts.items()}
+    at = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    members = {g: [j for j in passed if group[j] == g] for g in set(group.values())}
+    out = {}
+    for i in counts:
+        own = members[group[i]]
+        fences = []
+        for k, (start, low, factor, few, under, scale) in enumerate([(0.8, 0.5, 3, 5, 1, 1000), (0.95, 0.9, 2, 1, 3, 1000), (0.95, 0.9, 2, 10, 0, 1000), (0.5, 0.1, 6, 0, 0, 100)]):
+            if own:
+                here = [ratios[j][k] for j in own]
+                spreads = [at(x, start) - at(x, low) for m in members.values() if m for x in [[ratios[j][k] for j in m]]]
+                spread = max(at(here, start) - at(here, low), statistics.median(spreads))
+                short = 2 ** (math.floor(math.log2(at([max(1, counts[j][under]) for j in own], 0.1)) * 8) / 8)
+                fences.append(at(here, start) + math.floor(factor * spread) + math.floor(scale * few / short))
+        out[i] = (tuple(fences) or (None,) * 4, bool(own) and i in passed and all(r <= f for r, f in zip(ratios[i], fences)))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    """And the fences of two groups differ for every ratio."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(160):
+        source = "ab"[i % 2]
+        lines = [sentence(rng, rng.randint(12, 30) if source == "a" else rng.randint(5, 9)) for _ in range(rng.randint(3, 9) if source == "a" else rng.randint(12, 30))]
+        if rng.random() < (0.1 if source == "a" else 0.4):
+            lines.append(rng.choice(lines))
+        text = "\n".join(lines)
+        if rng.random() < 0.15:
+            text = text.replace("th", "#*th" if source == "a" else "%th")
+        rows.append((i, text if source == "a" else text.replace("er ", "ererer "), rng.choice(["en", None]), source))
+    rows += [(900, None, "en", "a"), (901, "alone " * 5, "en", "c"), (902, sentence(rng, 60), None, None)]
+    got = {r.doc_id: ((r.max_symbol_ratio, r.max_dup_line_ratio, r.max_repeat_ratio, r.max_word_length), r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    expected = brute_verdicts(rows)
+    assert got == expected
+    assert 5 < sum(not k for _, k in got.values()) < 80
+    fences = {(g, h): got[i][0] for i, _, g, h in rows if i < 900}
+    assert all(fences["en", "a"][k] != fences["en", "b"][k] for k in range(4))
+
+
 def test_quantile_sketches_merge_and_are_exact(spark):
     counts = quality.count_texts(frame(spark, corpus(9, 200)))
     keys = ["g0", "g1"]
