@@ -19,7 +19,8 @@ different here, so a rank is a hash of its pair.
    full length, are done for every position that an anchor speaks for, next to
    those that it can equal.
 
-A rank that very many different surroundings share is split at random; what is
+A rank that very many different surroundings share is split at random, after
+those of its strings are dropped whose common core no other one has; what is
 single in its part is then matched across parts by its last rank.
 """
 
@@ -38,6 +39,8 @@ from .scratch import by_bytes, forget, passing, small, small_batches, stored
 LENGTH = 400
 #: Positions with one rank that a task compares at once.
 PART = 1000
+#: The share of the length that neighbouring strings of an anchor don't have in common with each other, where a rank is split.
+NEIGHBOURS = 16
 #: Bytes of a text that are ranked at a time.
 BLOCK = 1 << 19
 _POSITION_BITS = 20
@@ -198,8 +201,13 @@ def surviving(marks: DataFrame) -> DataFrame:
 
 
 def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``name, k1, k2, first, around`` for each wanted anchor: the bytes of the strings that it speaks for."""
-    fields = {"name": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "first": pa.int64(), "around": pa.binary()}
+    """``name, k1, k2, first, anchor, vague, around`` for each wanted anchor: the bytes of the strings that it speaks for.
+
+    ``anchor`` is its place there, and ``vague`` tells that its bytes stand at
+    another place there too.
+    """
+    fields = {"name": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "first": pa.int64(), "anchor": pa.int32(), "vague": pa.bool_(), "around": pa.binary()}
+    quarter = rounds(length)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,7 +220,9 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             position, name, first, last, _ = samples(data, length)
             for i in np.searchsorted(position, at).tolist():
                 low = int(first[i])
-                rows.append((int(name[i].view(np.int64)), a, b, low, data[low : int(last[i]) + length]))
+                around, place = data[low : int(last[i]) + length], int(position[i]) - low
+                own = around[place : place + quarter]
+                rows.append((int(name[i].view(np.int64)), a, b, low, place, around.find(own) < place or around.find(own, place + 1) >= 0, around))
                 held += len(rows[-1][-1])
                 if held > 4 << 20:
                     yield batch_of(rows)
@@ -221,7 +231,26 @@ def surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     right = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "rep", "at")
     on = [keyed["k1"] == right["w1"], keyed["k2"] == right["w2"], keyed["rec_id"].eqNullSafe(right["rep"])]
-    return keyed.join(small(right), on).select("k1", "k2", "data", "at").mapInArrow(run, "name long, k1 long, k2 long, first long, around binary")
+    return keyed.join(small(right), on).select("k1", "k2", "data", "at").mapInArrow(run, "name long, k1 long, k2 long, first long, anchor int, vague boolean, around binary")
+
+
+def with_cores(split: DataFrame, length: int) -> DataFrame:
+    """Those of ``split`` (surroundings of ranks in several parts) that may hold a repeat, with ``open``: a bit for each few neighbouring strings that may.
+
+    Strings are counted by how far from the anchor they begin.  Equal ones
+    begin equally far, unless the anchor's bytes stand there twice; so where
+    no other surroundings have the core that a few neighbouring strings have in
+    common, none of them occurs twice.
+    """
+    few = -(-length // NEIGHBOURS)
+    apart = lambda strings_before: F.floor((F.col("anchor") - strings_before) / few).cast("int")
+    strings = F.octet_length("around") - length
+    cells = split.select("name", "k1", "k2", "first", "vague", "anchor", "around", F.explode(F.sequence(apart(strings), apart(F.lit(0)))).alias("cell"))
+    core = F.xxhash64("name", "cell", F.substring("around", F.col("anchor") - few * F.col("cell") + 1, F.lit(length - few + 1)))
+    cells = stored(cells.select("k1", "k2", "first", "vague", "cell", core.alias("core")), "suffix-cells")
+    shared = stored(cells.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core", F.lit(True).alias("met")), "suffix-cores")
+    live = cells.join(shared, "core", "left").filter("vague OR met").groupBy("k1", "k2", "first").agg(F.bit_or(F.expr("shiftleft(1L, cell)")).alias("open"))
+    return split.join(stored(live, "suffix-open"), ["k1", "k2", "first"])
 
 
 def _paired(rank: np.ndarray, offset: int) -> np.ndarray:
@@ -239,7 +268,7 @@ def doubled(around: DataFrame, length: int) -> DataFrame:
     ``first``, one that has its twin in its part.
     """
     columns = ("k1", "k2", "first", "last", "name", "rank")
-    half = -(-length // 2)
+    half, few = -(-length // 2), -(-length // NEIGHBOURS)
     quarter = -(-half // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +287,15 @@ def doubled(around: DataFrame, length: int) -> DataFrame:
             for short, long in ((quarter, half), (half, length)):
                 rank = _paired(rank, long - short)
             rank = rank[here]
+            if key[1] >= 0:
+                cell = (np.array([r[6] for r in group])[owner] - inside) // few
+                live = np.flatnonzero((np.array([r[7] for r in group], np.int64)[owner] >> cell) & 1)
+                rank, owner, inside = rank[live], owner[live], inside[live]
             _, inverse, times = np.unique(rank, return_inverse=True, return_counts=True)
             twice = times[inverse] > 1
             place = np.flatnonzero(twice)
             if len(place):
-                breaks = np.flatnonzero((np.diff(place) > 1) | (np.diff(owner[place]) > 0)) + 1
+                breaks = np.flatnonzero((np.diff(inside[place]) != 1) | (np.diff(owner[place]) > 0)) + 1
                 for low, high in zip(place[np.concatenate(([0], breaks))], place[np.concatenate((breaks, [len(place)])) - 1]):
                     r = group[owner[low]]
                     for held, x in zip(out, (r[2], r[3], r[4] + int(inside[low]), r[4] + int(inside[high]), None, None)):
@@ -296,7 +329,7 @@ def doubled(around: DataFrame, length: int) -> DataFrame:
             close()
         yield flush()
 
-    ordered = around.repartition("name", "part").sortWithinPartitions("name", "part")
+    ordered = around.select("name", "part", "k1", "k2", "first", "around", "anchor", "open").repartition("name", "part").sortWithinPartitions("name", "part")
     return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in columns))
 
 
@@ -319,8 +352,11 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     equal = around.select("name", "a1", "a2", "k1", "k2", "first", "last").join(same.filter("n > 1").select("name", "a1", "a2"), ["name", "a1", "a2"])
     mixed = stored(same.groupBy("name").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("name", F.ceil(F.col("kinds") / part).alias("parts")), "suffix-mixed")
     apart = stored(same.join(small(mixed), "name").select("rep.*", "parts"), "suffix-apart")
-    own_part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("k1", "first"), F.col("parts"))).otherwise(-1).cast("int").alias("part")
-    compared = around.join(small(apart), ["k1", "k2", "first"]).select("name", own_part, "k1", "k2", "first", "around")
+    own_part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("k1", "first"), F.col("parts"))).otherwise(-1).cast("int")
+    every_kind = around.join(small(apart), ["k1", "k2", "first"])
+    whole = every_kind.filter("parts = 1").withColumn("open", F.lit(-1).cast("long"))
+    split = with_cores(every_kind.filter("parts > 1"), length)
+    compared = whole.unionByName(split).withColumn("part", own_part)
 
     found = stored(doubled(compared, length), "suffix-doubled")
     runs = found.filter("last is not null").select("k1", "k2", "first", "last")
