@@ -1,25 +1,32 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled into a normaliser (spaces become marks, a mark goes
-before the text), a lexicon of pieces and byte fallback.  Composed with an
-input they span a lattice: an arc is a piece, or the bytes of a character that
-no piece has, from one position to a later one.  Encoding is the lattice's
-shortest path in the tropical semiring (weights add along a path, the least
-path wins); decoding is the inverse, from pieces to bytes.
+A model file is compiled into two transducers with explicit states and arcs:
+
+* the normaliser reads the characters of a text and writes marks for spaces, a
+  mark before the text and, where the model asks for it, one for a run;
+* the lexicon reads normalised characters along a trie of all pieces, and
+  leaves the trie at the end of a piece for its first state again, writing the
+  piece's id; a character without a piece goes round its first state by byte
+  fallback.
+
+Encoding composes them with the input: the normaliser's output is composed
+with the lexicon into a lattice whose states are a position, a state of the
+lexicon and the last piece written, and the lattice's shortest path in the
+tropical semiring (weights add along a path, the least path wins) is taken.
+Decoding is the inverse, from pieces to bytes.
 
 Arc weights follow the model type:
 
 * unigram: the piece's negative log probability.
-* BPE: adding up scores doesn't give what merging gives, so a lattice state
-  also holds the last piece, and an arc weighs nothing if that piece and the
-  next survive merging side by side, and infinity if a merge would cross their
-  border.  A sequence in which all neighbours survive is what merging the
-  whole text gives, and there is one only, so one state at a position has a
-  finite weight.
+* BPE: adding up scores doesn't give what merging gives, so a piece's arc
+  weighs nothing if the last piece and this one survive merging side by side,
+  and infinity if a merge would cross their border.  A sequence in which all
+  neighbours survive is what merging the whole text gives, and there is one
+  only, so one state at a position has a finite weight.
 
 Where no piece has two neighbouring characters side by side, no arc crosses
-their border, and the paths of the stretches on both sides join; short
-stretches are memoised.
+their border, and the shortest paths of the stretches on both sides join.
+Those of short stretches are memoised.
 """
 
 from __future__ import annotations
@@ -36,13 +43,70 @@ from pyspark.sql import types as T
 from .scratch import by_bytes, small_batches
 
 MARK = "▁"
-#: Stretches up to so many characters are memoised, and so many of them and of borders in a worker.
-MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 150_000, 200_000
+#: Paths of stretches up to so many characters are memoised, and so many of them and of borders in a worker.
+MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 120_000, 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 _INFINITY = float("inf")
 
 
+class Normaliser:
+    """A transducer with an output for each arc: ``arcs[state][char]`` is (next state, output); other characters go by ``other[state]``.
+
+    An output of None stands for the character itself.
+    """
+
+    def __init__(self, prefix: bool, trim: bool) -> None:
+        first = MARK if prefix else ""
+        if not trim:  # nothing read yet; within the text
+            self.arcs = [{" ": (1, first + MARK)}, {" ": (1, MARK)}]
+            self.other = [(1, first), (1, "")]
+        else:  # nothing but spaces so far; after another character; after a space that may be the last
+            self.arcs = [{" ": (0, "")}, {" ": (2, "")}, {" ": (2, "")}]
+            self.other = [(1, first), (1, ""), (1, MARK)]
+        #: Without trimming there is one state within a text, and its arcs can be followed by replacing.
+        self.single = None if trim else [(c, out) for c, (_, out) in self.arcs[1].items()]
+        self.first = first
+
+    def apply(self, text: str) -> str:
+        """Compose with one text; it is a function, so there is one output."""
+        if self.single is not None:
+            for c, written in self.single:
+                text = text.replace(c, written)
+            return self.first + text if text else ""
+        state, out = 0, []
+        for c in text:
+            arc = self.arcs[state].get(c)
+            if arc is None:
+                state, before = self.other[state]
+                out.append(before + c)
+            else:
+                state, written = arc
+                out.append(written)
+        return "".join(out)
+
+
+class Lexicon:
+    """A trie of pieces: ``arcs[state][char]`` is the next state, ``ends[state]`` the id that is written on the way back to state 0, or -1.
+
+    With ``reverse`` it reads pieces from their ends.
+    """
+
+    def __init__(self, pieces: dict[str, int], reverse: bool = False) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.ends = [-1]
+        for piece, own in pieces.items():
+            state = 0
+            for c in piece[::-1] if reverse else piece:
+                following = self.arcs[state].get(c)
+                if following is None:
+                    following = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.ends.append(-1)
+                state = following
+            self.ends[state] = own
+
+
 class Transducer:
     """A compiled model. ``encode`` and ``decode`` are exact for whole texts."""
 
@@ -58,21 +122,23 @@ class Transducer:
         if proto.trainer_spec.model_type not in (_UNIGRAM, _BPE) or any(p.type not in (_NORMAL, _UNKNOWN, _CONTROL, _BYTE) for p in proto.pieces):
             raise ValueError("only unigram and BPE models without user-defined pieces are supported")
         self.bpe = proto.trainer_spec.model_type == _BPE
-        self.prefix, self.trim = normal.add_dummy_prefix, normal.remove_extra_whitespaces
+        self.prefix = normal.add_dummy_prefix
+        self.normaliser = Normaliser(self.prefix, normal.remove_extra_whitespaces)
         self.scores = [p.score for p in proto.pieces]
         self.pieces = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
-        self.starts = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        self.lexicon, self.reversed = Lexicon(self.pieces), Lexicon(self.pieces, reverse=True)
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else proto.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else b"" for p in proto.pieces]
         self.piece_of = {i: p for p, i in self.pieces.items()}
-        self.size, self.longest = len(self.scores), max(map(len, self.pieces), default=1)
+        self.size = len(self.scores)
         self.leading = {i for p, i in self.pieces.items() if p.startswith(MARK)}
         self.unknown_cost = -(min(self.scores) - 10)
         cuts = all(MARK not in p.lstrip(MARK) for p in self.pieces)
         alone = "\n" if not any("\n" in p for p in self.pieces) else ""
         self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else "")) if cuts else re.compile(r"(?s).+")
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.borders: dict[int, bool] = {}
         self.histories: dict[str, tuple[bool, list[tuple[float, str, str]]]] = {}
         self.score_of = {p: self.scores[i] for p, i in self.pieces.items()}
@@ -86,12 +152,6 @@ class Transducer:
                 cls._loaded[path] = cls(f.read())
         return cls._loaded[path]
 
-    def normalise(self, text: str) -> str:
-        """First factor of the composition."""
-        if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        return ((" " if self.prefix and text else "") + text).replace(" ", MARK)
-
     def _history(self, piece: str) -> tuple[bool, list[tuple[float, str, str]]]:
         """Merging a piece alone, best-scored neighbours first, leftmost if equal.
 
@@ -153,73 +213,111 @@ class Transducer:
             else:
                 return True
 
-    def _arcs(self, text: str, at: int) -> Iterator[str]:
-        """Pieces that begin at a position, shortest first."""
-        starts, pieces, n = self.starts, self.pieces, len(text)
-        end = at + 1
-        while end <= n and (part := text[at:end]) in starts:
-            if part in pieces:
-                yield part
-            end += 1
+    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(end, id) of the arcs that leave a position, shortest first; the id is -1 for a character by fallback."""
+        arcs, ends, n = self.lexicon.arcs, self.lexicon.ends, len(text)
+        state = arcs[0].get(text[at])
+        found = [(at + 1, -1)] if state is None or ends[state] < 0 else []
+        while state is not None:
+            at += 1
+            if ends[state] >= 0:
+                found.append((at, ends[state]))
+            state = arcs[state].get(text[at]) if at < n else None
+        return found
 
     def _path(self, text: str) -> tuple[int, ...]:
-        """Shortest path of a normalised stretch, as piece ids."""
+        """Shortest path through the composition of a normalised stretch with the lexicon, as piece ids."""
+        ends = self._finite_path(text) if self.bpe else self._least_path(text)
+        ids: list[int] = []
+        at = 0
+        for end, own in ends:
+            if own >= 0:
+                ids.append(own)
+            else:
+                ids += self._fallback(text[at:end])
+            at = end
+        return tuple(ids)
+
+    def _least_path(self, text: str) -> list[tuple[int, int]]:
+        """Positions in order are a topological order of the lattice: the least weight of each from those before."""
         n = len(text)
-        cost = [0.0] + [_INFINITY] * n
-        last = [-1] * (n + 1)  # the last piece; none also after a character that has none, since nothing merges with it
-        back = [0] * (n + 1)
+        cost, back = [0.0] + [_INFINITY] * n, [(0, -1)] * (n + 1)
         for at in range(n):
-            so_far = cost[at]
-            if so_far == _INFINITY:
-                continue
-            before = last[at]
-            lone = True
-            for piece in self._arcs(text, at):
-                end = at + len(piece)
-                lone = lone and len(piece) > 1
-                own = self.pieces[piece]
-                if self.bpe:
-                    if cost[end] == _INFINITY and self.survives(before, own):
-                        cost[end], last[end], back[end] = 0.0, own, at
-                elif (weight := so_far - self.scores[own]) < cost[end]:
-                    cost[end], last[end], back[end] = weight, own, at
-            if lone and (weight := so_far + (0 if self.bpe else self.unknown_cost)) < cost[at + 1]:
-                cost[at + 1], last[at + 1], back[at + 1] = weight, -1, at
-        ids: list[int] = []
-        end = n
+            for end, own in self._arcs(text, at):
+                weight = cost[at] + (self.unknown_cost if own < 0 else -self.scores[own])
+                if weight < cost[end]:
+                    cost[end], back[end] = weight, (at, own)
+        path, end = [], n
         while end:
-            at = back[end]
-            ids += [last[end]] if last[end] >= 0 else self._fallback(text[at:end])[::-1]
+            at, own = back[end]
+            path.append((end, own))
             end = at
-        return tuple(ids[::-1])
+        return path[::-1]
+
+    def _finite_path(self, text: str) -> list[tuple[int, int]]:
+        """All finite weights are 0, so the first path that gets to the end is a shortest one: depth first, longest arcs first.
+
+        A position has one finite state, so none is entered twice.
+        """
+        n, size, borders, find = len(text), self.size, self.borders, self._arcs
+        path: list[tuple[int, int]] = []
+        entered: set[int] = set()
+        open_arcs: list[list[tuple[int, int]]] = []
+        at, before = 0, -1
+        while True:
+            arcs = find(text, at)
+            while True:
+                while arcs:
+                    end, own = arcs.pop()
+                    if end in entered:
+                        continue
+                    if own < 0:
+                        break
+                    finite = borders.get(before * size + own)
+                    if self.survives(before, own) if finite is None else finite:
+                        break
+                else:  # nothing goes on from here
+                    arcs = open_arcs.pop()
+                    path.pop()
+                    before = path[-1][1] if path else -1
+                    continue
+                break
+            path.append((end, own))
+            if end == n:
+                return path
+            entered.add(end)
+            open_arcs.append(arcs)
+            at, before = end, own
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
-    def _prefix(self, text: str) -> tuple[int, ...]:
-        """:meth:`_path` of a short BPE stretch, looked for from its end.
+    def _prefix_path(self, text: str) -> tuple[int, ...]:
+        """:meth:`_finite_path` of a short BPE stretch, over the reversed arcs from its end.
 
-        All finite paths weigh nothing, and a stretch has one; so the first
-        last piece that survives next to the path of what is before it is on
-        it.  Prefixes are memoised: stretches share many.
+        The first arc into the end, longest first, that is finite after the
+        path of what is before it, is on the only finite path.  Paths of
+        prefixes are memoised: stretches share many.
         """
-        found = self.memo.get(text)
+        found = self.memo.get(text) or self.older.get(text)
         if found is not None:
             return found
-        pieces, n = self.pieces, len(text)
-        for at in range(max(0, n - self.longest), n):
-            piece = pieces.get(text[at:])
-            if piece is not None:
-                before = self._prefix(text[:at]) if at else ()
-                if self.survives(before[-1] if before else -1, piece):
-                    found = (*before, piece)
-                    break
-        else:  # no piece ends here
-            found = (*(self._prefix(text[:-1]) if n > 1 else ()), *self._fallback(text[-1]))
-        if len(self.memo) >= MEMO_STRETCHES:
-            self.memo.clear()
-        self.memo[text] = found
-        return found
+        arcs, ends = self.reversed.arcs, self.reversed.ends
+        into = []
+        at, state = len(text), 0
+        while at and (state := arcs[state].get(text[at - 1])) is not None:
+            at -= 1
+            if ends[state] >= 0:
+                into.append((at, ends[state]))
+        size, borders = self.size, self.borders
+        while into:
+            at, own = into.pop()
+            before = self._prefix_path(text[:at]) if at else ()
+            last = before[-1] if before else -1
+            finite = borders.get(last * size + own)
+            if self.survives(last, own) if finite is None else finite:
+                return self._kept(text, (*before, own))
+        return self._kept(text, (*(self._prefix_path(text[:-1]) if len(text) > 1 else ()), *self._fallback(text[-1])))
 
     def _stretch(self, text: str) -> tuple[int, ...]:
         """The path of a stretch, from those of its parts between neighbours that no piece has side by side."""
@@ -227,18 +325,28 @@ class Transducer:
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
         ids: tuple[int, ...] = ()
         for low, high in zip([0, *cuts], [*cuts, len(text)]):
-            short = self.bpe and high - low <= MEMO_CHARS
-            ids += self._prefix(text[low:high]) if short else self._path(text[low:high])
+            ids += self._prefix_path(text[low:high]) if self.bpe and high - low <= MEMO_CHARS else self._path(text[low:high])
+        return self._kept(text, ids)
+
+    def _kept(self, text: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(text) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_STRETCHES:  # the older half goes; what is met again moves to the newer
+                self.older, self.memo = self.memo, {}
             self.memo[text] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text, without begin, end or other special pieces."""
         ids: list[int] = []
-        known = self.memo.get
-        for stretch in self.stretch.findall(self.normalise(text)):
-            ids += known(stretch) or self._stretch(stretch)
+        for stretch in self.stretch.findall(self.normaliser.apply(text)):
+            found = self.memo.get(stretch)
+            if found is None:
+                found = self.older.get(stretch)
+                if found is None:
+                    found = self._stretch(stretch)
+                else:
+                    self.memo[stretch] = found
+            ids += found
         return ids
 
     def decode(self, ids: list[int]) -> str:

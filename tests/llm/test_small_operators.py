@@ -56,6 +56,26 @@ def test_transducer_equals_the_library(library):
         assert model.decode(ids).replace("�", "") == library.decode(ids).replace("�", "")
 
 
+def test_paths_from_both_ends_are_the_same(monkeypatch):
+    """Long stretches go over the lexicon's arcs from the start, short ones from the end."""
+    model = sentencepiece_fst.Transducer.of(piece_model_path())
+    texts = [t for _, t in corpus(21) if t] + ODD
+    short = [model.encode(t) for t in texts]
+    monkeypatch.setattr(sentencepiece_fst, "MEMO_CHARS", 0)
+    model.memo.clear()
+    model.older.clear()
+    assert [model.encode(t) for t in texts] == short
+
+
+def test_normaliser_states():
+    """Without trimming every space is a mark; with it, those at the ends go and runs are one."""
+    for text in ("", " ", "  a  b ", "a", " a"):
+        assert sentencepiece_fst.Normaliser(True, False).apply(text) == (("▁" if text else "") + text.replace(" ", "▁"))
+        words = text.split()
+        assert sentencepiece_fst.Normaliser(True, True).apply(text) == "".join("▁" + w for w in words)
+        assert sentencepiece_fst.Normaliser(False, True).apply(text) == "▁".join(words)
+
+
 def test_transducer_of_a_unigram_model():
     """Scores add up: the least sum wins, and unknown characters without byte fallback are the unknown piece."""
     from sentencepiece import sentencepiece_model_pb2
