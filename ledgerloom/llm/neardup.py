@@ -12,6 +12,12 @@ never listed as pairs: a first round links each to the first set that it
 resembles, and a second looks at sets that still resemble one of another
 component.  These meet with their full sets in the node, and only links that
 join two components leave it.
+
+Near copies of one text make a large node that branching can't part.  It is
+dealt into small nodes twice, at random: what is one cluster becomes one
+component in the first round, at two rows a set.  Only the sets outside the
+node's largest component are then compared with all of it, so that no link is
+lost; where there are none, nothing is left to compare.
 """
 
 from __future__ import annotations
@@ -26,18 +32,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import stored
+from .scratch import passing, small, small_batches, stored
 
 SKETCH = 128
 #: At depth 1 each tree chooses 1 or 2 tokens, 1.4 on average (the inverse of the threshold is 1.25), deeper nodes 2.
-TREES, EXTRA_EVERY, DEEP_TOKENS = 5, 3, 2
-LEAF, DEPTH = 1000, 3
+EXTRA_EVERY, DEEP_TOKENS = 3, 2
+#: The chance that a pair at the threshold is parted in all trees at depth 1.
+MISS = 1.5e-5
+LEAF, DEPTH = 1000, 10
 #: A large node whose sets agree in this share of places on average isn't branched: that wouldn't part them.
-DENSE, DENSE_PLACES = 0.4, 64
-#: Sketches may show this much less than the threshold: over four standard deviations.
-SLACK = 0.145
-#: Representatives up to this many are found by a broadcast.
-BROADCAST_SETS = 1_000_000
+DENSE, DENSE_PLACES = 0.6, 64
+#: Sketches may show so many standard deviations less than the threshold.
+DEVIATIONS = 4.1
+#: Bytes of full sets that meet in a node.
+NODE_BYTES = 32 << 20
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
@@ -114,10 +122,9 @@ def full_sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [shingles(t, size) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "values"])
 
-    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
-    right = wanted.select(F.col("rec_id").alias("w_id"), F.col("text_key").alias("w_key"))
-    on = [keyed["rec_id"].eqNullSafe(right["w_id"]), keyed["text_key"] == right["w_key"]]
-    return keyed.join(F.broadcast(right) if few else right, on, "left_semi").select("text").mapInArrow(made, "cid binary, values binary").dropDuplicates(["cid"])
+    right = small(wanted.select(F.col("rec_id").alias("w_id"), F.col("text_key").alias("w_key")))
+    on = [keyed["rec_id"].eqNullSafe(F.col("w_id")), keyed["text_key"] == F.col("w_key")]
+    return keyed.join(right, on, "left_semi").select("text").mapInArrow(made, "cid binary, values binary").dropDuplicates(["cid"])
 
 
 def _child(node: Column, position: Column) -> Column:
@@ -141,39 +148,75 @@ def _dense(members: DataFrame, classes: DataFrame) -> DataFrame:
     return each.filter(agree >= DENSE * DENSE_PLACES * F.col("n").cast("double") * F.col("n")).select("node")
 
 
-def _blocks(members: DataFrame, leaf: int) -> DataFrame:
-    """Nodes cut in blocks of half a leaf, and a node for each two blocks: all pairs still meet."""
-    own = members.withColumn("blocks", F.ceil(F.col("n") * 2 / leaf)).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return paired.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid")
+def trees_for(percent: int) -> int:
+    """The fewest trees whose paths all part a pair at the threshold with a chance of MISS at most."""
+    paths = int(np.ceil(np.log(MISS) / np.log(1 - min(percent, 99) / 100)))
+    return next(t for t in range(1, paths + 1) if t - (-t // EXTRA_EVERY) >= paths)
+
+
+def least_agreeing(percent: int) -> int:
+    """Places in which sketches have to agree."""
+    share = percent / 100
+    return int(np.ceil((share - DEVIATIONS * np.sqrt(share * (1 - share) / SKETCH)) * SKETCH))
 
 
-def leaves(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """``node, cid`` of all nodes with 2 to about ``leaf`` sets.
+def leaves(classes: DataFrame, trees: int, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """``node, cid`` of all nodes with 2 to ``leaf`` sets, and ``node, cid, n`` of those that stay larger.
 
-    Larger nodes branch.  One that is dense, or still larger at the last
-    depth, is cut in blocks instead.
+    Larger nodes branch, but for dense ones; what is still larger at the last
+    depth stays, too.
     """
     roots = [(t, j) for t in range(trees) for j in range(2 if t % EXTRA_EVERY == 0 else 1)]
     first = F.explode(F.array(*(_child(F.lit(t), _choose(F.lit(t), j)) for t, j in roots)))
     nodes = classes.select("cid", first.alias("node"))
-    done = None
+    done = left = None
+    union = lambda a, b: b if a is None else a.union(b)
     for level in range(depth):
         nodes = stored(nodes, "path-nodes")
         sizes = stored(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
-        fine = nodes.join(sizes.filter(F.col("n") <= leaf), "node").select("node", "cid")
-        done = fine if done is None else done.union(fine)
+        done = union(done, nodes.join(sizes.filter(F.col("n") <= leaf), "node").select("node", "cid"))
         large = sizes.filter(F.col("n") > leaf)
-        if not large.limit(1).count():
-            return done
-        members = nodes.join(large, "node")
-        if level + 1 == depth:
-            return done.union(_blocks(members, leaf))
+        members = nodes.join(large, "node").select("node", "cid", "n")
+        if level + 1 == depth or not large.limit(1).count():
+            return done, union(left, members)
         dense = stored(_dense(members, classes), "path-dense")
-        done = done.union(_blocks(members.join(dense, "node", "left_semi"), leaf))
+        left = union(left, members.join(dense, "node", "left_semi"))
         deeper = F.explode(F.array(*(_child(F.col("node"), _choose(F.col("node"), j)) for j in range(DEEP_TOKENS))))
         nodes = members.join(dense, "node", "left_anti").join(classes.select("cid", "sketch"), "cid").select("cid", deeper.alias("node")).distinct()
-    return done
+    return done, left
+
+
+def dealt(large: DataFrame, leaf: int) -> DataFrame:
+    """``node, cid``: each large node dealt twice into nodes of about half a leaf. A cluster's sets share nodes across the deals, so it comes out as one component."""
+    blocks = F.ceil(F.col("n") * 2 / leaf)
+    return large.select("cid", F.explode(F.array(*(F.xxhash64("node", F.lit(i), F.pmod(F.xxhash64("cid", F.lit(i)), blocks)) for i in range(2)))).alias("node")).select("node", "cid")
+
+
+def against_largest(large: DataFrame, leaf: int) -> DataFrame:
+    """``node, cid``: nodes in which the sets outside a large node's largest component meet all of its sets.
+
+    ``large`` has the sets' ``label``.  Both sides are dealt into blocks of
+    half a leaf.  A node of one component gives nothing.
+    """
+    counts = stored(large.groupBy("node", "label").agg(F.count("*").alias("own")), "path-labels")
+    largest = counts.groupBy("node").agg(F.max(F.struct("own", "label")).alias("most"), F.sum("own").alias("n")).filter("n > most.own")
+    largest = stored(largest.select("node", F.col("most.label").alias("main"), F.ceil((F.col("n") - F.col("most.own")) * 2 / leaf).alias("few"), F.ceil(F.col("n") * 2 / leaf).alias("all")), "path-largest")
+    rows = large.select("node", "cid", "label").join(largest, "node")
+    own = lambda blocks: F.pmod(F.xxhash64("cid"), F.col(blocks))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    others = rows.filter("label <> main").select("node", "cid", own("few").alias("a"), each("all").alias("b"))
+    every = rows.select("node", "cid", each("few").alias("a"), own("all").alias("b"))
+    return others.union(every).select(F.xxhash64("node", F.lit(2), "a", "b").alias("node"), "cid").distinct()
+
+
+def by_set_bytes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, cid`` in nodes whose full sets take about NODE_BYTES at most; larger ones are cut in blocks, with a node for each two of them."""
+    sized = stored(members.join(classes.select("cid", "n"), "cid"), "path-sized")
+    heavy = sized.groupBy("node").agg(F.sum("n").alias("total")).select("node", F.ceil(F.col("total") * 8 * 2 / NODE_BYTES).alias("blocks")).filter("blocks > 2")
+    cut = sized.select("node", "cid").join(small(stored(heavy, "path-heavy")), "node", "left").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = cut.select("node", "cid", "own", other.alias("other"))
+    return paired.select(F.when(F.col("own").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).alias("node"), "cid")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
@@ -317,7 +360,7 @@ def near_duplicates(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    trees: int = TREES,
+    trees: int | None = None,
     leaf: int = LEAF,
     choose: bool = False,
 ) -> DataFrame:
@@ -336,33 +379,44 @@ def near_duplicates(
     (id, text hash), null ids last.  One such pair is chosen in each component,
     whatever ids repeat or lack, and all rows without shingles are.
     """
-    keyed = _keyed(df, id_col, text_col)
+    small_batches(df.sparkSession)
+    with passing(df.sparkSession) as keep:
+        named, ids = map(keep, _labelled(_keyed(df, id_col, text_col), size, percent, trees or trees_for(percent), leaf, choose))
+    out = named.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("rec_id")).otherwise(F.col("component_id")))
+    kept = F.coalesce(F.col("rec_id") == F.col("component_id"), F.col("component_id").isNull())
+    chosen = [(F.col("label").isNull() | (F.col("rec_id").eqNullSafe(F.col("rep.rec_id")) & (F.col("text_key") == F.col("rep.text_key")))).alias("chosen")] if choose else []
+    return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *chosen)
+
+
+def _labelled(keyed: DataFrame, size: int, percent: int, trees: int, leaf: int, choose: bool) -> tuple[DataFrame, DataFrame]:
+    """``rec_id, text_key, n, label`` of each row, and ``label, component_id`` (and ``rep``) of each component."""
     signed = stored(sign(keyed, size), "dup-signed")
-    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), F.any_value("sketch").alias("sketch"), F.any_value("low").alias("low"), F.any_value("signs").alias("signs"))
+    classes = signed.filter("n > 0").groupBy("cid").agg(F.min(F.struct("rec_id", "text_key")).alias("rep"), *(F.any_value(c).alias(c) for c in ("n", "sketch", "low", "signs")))
     classes = stored(classes, "dup-classes")
-    nodes = stored(leaves(classes, trees, leaf).join(classes.select("cid", "low"), "cid"), "dup-leaves")
-    least = int(np.ceil((percent / 100 - SLACK) * SKETCH))
+    lows = classes.select("cid", "low")
+    fine, large = (stored(x, "dup-leaves") for x in leaves(classes, trees, leaf))
+    nodes = stored(fine.union(dealt(large, leaf)).join(lows, "cid"), "dup-nodes")
+    least = least_agreeing(percent)
 
     first = stored(first_resembling(nodes, least), "dup-first")
     wanted = first.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("rep.*")
-    sets = stored(full_sets(keyed, wanted, size), "dup-sets")
+    sets = stored(full_sets(keyed, stored(wanted, "dup-wanted"), size), "dup-sets")
     links = stored(confirmed(first, sets, percent), "dup-links")
-    labels = components(links)
-
-    label = F.coalesce("label", "cid")
-    tagged = nodes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label)
-    apart = stored(still_apart(tagged, least), "dup-apart")
-    meeting = apart.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).join(sets, "cid")
+    labels = components(links).withColumnRenamed("node", "cid")
+
+    label = F.coalesce("label", "cid").alias("label")
+    tagged = lambda rows: rows.join(labels, "cid", "left").select(*rows.columns, label)
+    second = fine.union(against_largest(stored(tagged(large), "dup-large"), leaf))
+    apart = stored(still_apart(tagged(second.join(lows, "cid")), least), "dup-apart")
+    lacking = stored(apart.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti").join(classes, "cid").select("rep.*"), "dup-lacking")
+    if lacking.limit(1).count():  # what resembled nothing in the first round
+        sets = sets.union(stored(full_sets(keyed, lacking, size), "dup-sets"))
+    meeting = tagged(by_set_bytes(apart, classes)).join(sets, "cid")
     more = stored(links_in_nodes(meeting, percent), "dup-more")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(links.union(more)).withColumnRenamed("node", "cid")
 
-    named = signed.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    named = stored(named.select("rec_id", "text_key", "n", "label"), "dup-named")
+    named = stored(signed.join(labels, "cid", "left").select("rec_id", "text_key", "n", label), "dup-named")
     # Stored, so that the join's other side is no aggregate and a hot component can be split.
     least_of = [F.min("rec_id").alias("component_id"), *([F.min(F.struct(F.col("rec_id").isNull().alias("none"), "rec_id", "text_key")).alias("rep")] if choose else [])]
-    ids = stored(named.filter(F.col("label").isNotNull()).groupBy("label").agg(*least_of), "dup-ids")
-    out = named.join(ids, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("rec_id")).otherwise(F.col("component_id")))
-    kept = F.coalesce(F.col("rec_id") == F.col("component_id"), F.col("component_id").isNull())
-    chosen = [(F.col("label").isNull() | (F.col("rec_id").eqNullSafe(F.col("rep.rec_id")) & (F.col("text_key") == F.col("rep.text_key")))).alias("chosen")] if choose else []
-    return out.select(F.col("rec_id").alias(id_col), "text_key", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), *chosen)
+    return named, stored(named.filter(F.col("label").isNotNull()).groupBy("label").agg(*least_of), "dup-ids")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import neardup
 from ledgerloom.llm.components import components
@@ -42,6 +43,77 @@ def test_equals_brute_force(spark, seed, size, leaf):
     assert answer(neardup.near_duplicates(frame(spark, rows), size=size, leaf=leaf)) == brute(rows, size)
 
 
+def near_copies(rng, n, words, changed):
+    """Texts that differ from one in a few places each."""
+    base = [f"w{rng.integers(10**6)}" for _ in range(words)]
+    for i in range(n):
+        own = list(base)
+        for k in rng.integers(words, size=changed):
+            own[k] = f"x{i}_{k}"
+        yield " ".join(own)
+
+
+def test_dense_nodes_and_what_stands_beside_them(spark):
+    """A cluster far larger than a leaf is one component; sets at its edge are linked as brute force does."""
+    rng = np.random.default_rng(7)
+    texts = [*near_copies(rng, 150, 120, 2), *near_copies(rng, 60, 120, 6)]
+    mixed = texts[0].split(" ")
+    texts += [" ".join(mixed[k:] + [f"tail{j}" for j in range(k)]) for k in range(4, 40, 3)]
+    rows = list(enumerate(texts))
+    got = answer(neardup.near_duplicates(frame(spark, rows), leaf=16))
+    assert got == brute(rows, 5)
+    assert len({c for _, c, _ in got.values()}) > 10
+
+
+def test_rows_of_a_dense_node_grow_with_its_sets(spark):
+    """Near copies make two rows a set, nothing once they are one component, and little over one more beside a few others."""
+    for n in (400, 1600):
+        large = spark.range(n).select(F.lit(1).cast("long").alias("node"), F.col("id").cast("string").cast("binary").alias("cid"), F.lit(n).cast("long").alias("n"))
+        assert neardup.dealt(large, 100).count() == 2 * n
+        tagged = large.withColumn("label", F.lit(b"x"))
+        assert neardup.against_largest(tagged, 100).count() == 0
+        strays = large.withColumn("label", F.when(F.col("cid").cast("string").cast("int") < 20, F.col("cid")).otherwise(F.lit(b"x")))
+        assert neardup.against_largest(strays, 100).count() < 3 * n
+
+
+def test_heavy_nodes_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE_BYTES", 4096)
+    rows = corpus(31, 60)
+    assert answer(neardup.near_duplicates(frame(spark, rows), size=4, leaf=12)) == brute(rows, 4)
+    members = spark.createDataFrame([(1, bytes([i])) for i in range(40)] + [(2, b"\x01"), (2, b"\x02")], "node long, cid binary")
+    cut = neardup.by_set_bytes(members, members.select("cid", F.lit(100).alias("n")).distinct()).collect()
+    met = {}
+    for r in cut:
+        met.setdefault(r.node, set()).add(bytes(r.cid))
+    assert met.pop(2) == {b"\x01", b"\x02"} and max(map(len, met.values())) < 30
+    assert all(any({bytes([i]), bytes([j])} <= m for m in met.values()) for i in range(40) for j in range(i))
+
+
+def test_recall_where_nodes_branch(spark):
+    """Found links over true ones, with leaves of 8 sets and without what stays larger: at least 0.9."""
+    rng = np.random.default_rng(9)
+    texts = [t for _ in range(500) for t in near_copies(rng, 4, 100, 1)]
+    common = [f"c{i}" for i in range(60)]  # shared by all, so that nodes are large and branch
+    rows = [(i, t + " " + " ".join(common)) for i, t in enumerate(texts)]
+    signed = neardup.sign(neardup._keyed(frame(spark, rows), "doc_id", "text"), 5)
+    classes = neardup.stored(signed.groupBy("cid").agg(*(F.any_value(c).alias(c) for c in ("rec_id", "n", "sketch", "low", "signs"))), "recall")
+    fine, _ = neardup.leaves(classes, neardup.trees_for(80), 8)
+    met = {}
+    for r in fine.join(classes.select("cid", "rec_id"), "cid").collect():
+        met.setdefault(r.node, []).append(r.rec_id)
+    found = {(a, b) for m in met.values() for a in m for b in m if a < b}
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    true = [(a, b) for a in sets for b in range(a + 1, 4 * (a // 4) + 4) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    recall = sum(p in found for p in true) / len(true)
+    print("recall", recall, "of", len(true), "links, trees", neardup.trees_for(80))
+    assert len(true) > 2000 and recall >= 0.9
+
+
+def test_trees_and_slack_follow_the_threshold():
+    assert (neardup.trees_for(80), neardup.least_agreeing(80)) == (5, 84)
+    assert neardup.trees_for(50) > neardup.trees_for(80) > neardup.trees_for(95)
+
+
 def test_nulls_repeats_and_ids(spark):
     text = "a b c d e f g"
     rows = [(None, text), (5, text), (5, text), (3, text.upper()), (None, None), (9, ""), (8, "ä Ä"), (7, "Ä ä"), (6, "only"), (4, "ONLY")]
