@@ -1,10 +1,11 @@
 """WARC archives: writing, reading back, and a merged index of captures.
 
 Records of equal payloads are stored once: the one with the largest id is the
-response, the others are revisits that refer to it.  Reading an archive gives
-locally sorted runs of captures; runs are split at common boundaries and each
-range's runs go through a k-way loser-tree merge by URL key and timestamp, so
-that the ranges in order are the globally ordered capture histories.
+response, the others are revisits that refer to it.  Each archive gives a run
+of captures, which is sorted and stored where it was read; runs are split at
+common boundaries and each range's runs go through a k-way loser-tree merge by
+URL key and timestamp, so that the ranges in order are the globally ordered
+capture histories.
 """
 
 from __future__ import annotations
@@ -12,24 +13,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .scratch import stored
+from .scratch import small, small_batches, stored
 
 CRLF = "\r\n"
 HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 #: Bytes of an archive file, about; one record at least.
 FILE_BYTES = 16 << 20
-#: Captures of a range of the index.
-RANGE_ROWS = 50_000
-#: Groups of equal payloads, or ranges, up to this many are broadcast.
-BROADCAST_GROUPS, BROADCAST_RANGES = 200_000, 200_000
+#: Captures of a range of the index, and of a run that are decoded at a time.
+RANGE_ROWS, CURSOR_ROWS = 50_000, 1000
 _URN = "urn:page:"
 
 
@@ -49,7 +51,7 @@ def url_key(url: Column) -> Column:
 
 
 def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date_col: str, min_bytes: int) -> DataFrame:
-    """``size, record``: the text of each row's record, without the two line ends that close it."""
+    """``record``: the text of each row's record, without the two line ends that close it."""
     payload = F.coalesce(payload_col, F.lit(""))
     rows = pages.select(
         F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), F.col(date_col).alias("date"),
@@ -57,8 +59,7 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date_
     )
     groups = rows.filter((F.col("n_bytes") >= min_bytes) & F.col("id").isNotNull()).groupBy("digest").agg(F.max("id").alias("kept_id"), F.count("*").alias("n")).filter("n > 1")
     groups = stored(groups.select(F.col("digest").alias("same"), "kept_id"), "warc-equal")
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(groups) if few else groups, (F.col("digest") == F.col("same")) & (F.col("n_bytes") >= min_bytes), "left")
+    joined = rows.join(small(groups), (F.col("digest") == F.col("same")) & (F.col("n_bytes") >= min_bytes), "left")
     revisit = F.coalesce(F.col("id") < F.col("kept_id"), F.lit(False))
     block = F.concat(F.lit(HTTP_HEAD), F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -88,6 +89,7 @@ def write_warc(
     payload_col: str = "html",
     date_col: str = "captured_at",
     min_bytes: int = 0,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write each row of ``pages`` as a record into archive files at ``path``.
 
@@ -95,13 +97,25 @@ def write_warc(
     the largest id is a response, and the others are revisits that refer to
     it; rows without an id are always responses.  A null payload is empty, a
     null URL empty, a null date left out.  Rows with one id and payload are
-    alike, so both are responses if that id is the largest.  Any Hadoop path
-    will do; an empty table makes an archive without records.
+    alike, so both are responses if that id is the largest.  A file ends with
+    the record that takes it to ``file_bytes``, however sizes are spread.  Any
+    Hadoop path will do; an empty table makes an archive without records.
     """
-    size = pages.agg(F.avg(F.octet_length(payload_col)).alias("mean")).first().mean or 0
-    per_file = max(1, int(FILE_BYTES / (size + 600)))
-    made = records(pages, id_col, url_col, payload_col, date_col, min_bytes)
-    made.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_file).mode("overwrite").text(path)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = number = 0
+        for batch in batches:
+            numbers = []
+            for size in pc.binary_length(batch.column(0)).to_pylist():
+                numbers.append(number)
+                held += size + 2 * len(CRLF)
+                if held >= file_bytes:
+                    held, number = 0, number + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], names=["record", "file_no"])
+
+    small_batches(pages.sparkSession)
+    made = records(pages, id_col, url_col, payload_col, date_col, min_bytes).mapInArrow(numbered, "record string, file_no int")
+    made.write.option("lineSep", CRLF * 2).mode("overwrite").partitionBy("file_no").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -210,39 +224,42 @@ def capture_index(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
 
     ``captures`` has ``run, url_key, date, id`` and any other columns; the
     result has all of them and ``history_rank``, from 0 without gaps, by URL
-    key, date and id (nulls first, the rest by run).  Ranges hold about
-    ``range_rows`` rows each whatever a URL's share, since the whole key cuts
-    them.
+    key, date and id (nulls first, the rest by run).  Runs are stored sorted,
+    each as it was read.  Ranges hold about ``range_rows`` rows each whatever a
+    URL's share, since the whole key, the run and the place in it cut them; a
+    task holds its range's Arrow data and decodes a few rows of each run.
     """
-    captures = stored(captures, "warc-captures")
-    ranges = max(1, -(-captures.count() // range_rows))
     key = ["url_key", "date", "id"]
-    rest = [c for c in captures.columns if c not in key]
-    fields = [*key, *rest]
+    fields = [*key, *(c for c in captures.columns if c not in key)]
+    runs = captures.select(*fields).sortWithinPartitions("run", *key).withColumn("_row", F.monotonically_increasing_id())
+    runs = stored(runs, "warc-runs")
+    ranges = max(1, -(-runs.count() // range_rows))
     schema = T.StructType([*(captures.schema[c] for c in fields), T.StructField("_range_no", T.IntegerType()), T.StructField("_place", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
-        kinds = None
-        for batch in batches:
-            kinds = batch.schema
-            number = batch.column(fields.index("run")).to_pylist()
-            columns = [c.to_pylist() for c in batch.columns]
-            for i, r in enumerate(number):
-                row = tuple(c[i] for c in columns)
-                runs.setdefault(r, []).append((tuple((x is not None, x) for x in row[:3]), row))
-        if kinds is None:
+        held = list(batches)
+        if not held:
             return
-        merged = [row for _, row in loser_tree(rows for _, rows in sorted(runs.items()))]
-        own = TaskContext.get().partitionId()
-        for start in range(0, len(merged), 10_000):
-            part = merged[start : start + 10_000]
-            arrays = [pa.array(c, f.type) for c, f in zip(zip(*part), kinds)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([own] * len(part), pa.int32()), pa.array(range(start, start + len(part)), pa.int64())], names=schema.names)
-
-    ordered = captures.select(*fields).repartitionByRange(ranges, *key).sortWithinPartitions("run", *key)
+        table = pa.Table.from_batches(held).combine_chunks()
+        number = table.column("run").to_numpy()
+        cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+
+        def cursor(low: int, high: int) -> Iterator[tuple]:
+            for start in range(low, high, CURSOR_ROWS):
+                part = table.slice(start, min(CURSOR_ROWS, high - start)).select(key)
+                for i, row in enumerate(zip(*(c.to_pylist() for c in part.columns))):
+                    yield tuple((x is not None, x) for x in row), start + i
+
+        merged = (place for _, place in loser_tree(cursor(low, high) for low, high in zip(cuts, cuts[1:]) if high > low))
+        own, begin = TaskContext.get().partitionId(), 0
+        while places := list(islice(merged, 10_000)):
+            part = table.take(pa.array(places)).select(fields).combine_chunks()
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([own] * len(places), pa.int32()), pa.array(range(begin, begin + len(places)), pa.int64())], names=schema.names)
+            begin += len(places)
+
+    ordered = runs.repartitionByRange(ranges, *key, "run", "_row").sortWithinPartitions("run", *key, "_row")
     placed = stored(ordered.mapInArrow(merge, schema), "warc-index")
     before = F.coalesce(F.sum("n").over(W.orderBy("_range_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     begins = placed.groupBy("_range_no").agg(F.count("*").alias("n")).withColumn("_before", before).select("_range_no", "_before")  # a row a range
-    begins = F.broadcast(begins) if ranges <= BROADCAST_RANGES else begins
-    return placed.join(begins, "_range_no").select(*captures.columns, (F.col("_before") + F.col("_place")).alias("history_rank"))
+    return placed.join(small(stored(begins, "warc-begins")), "_range_no").select(*captures.columns, (F.col("_before") + F.col("_place")).alias("history_rank"))

@@ -63,6 +63,17 @@ def test_offsets_find_the_record(spark):
     assert headers["WARC-Record-ID"] == "<urn:page:5>" and block.endswith(PAGES[4][2].encode())
 
 
+def test_files_are_cut_by_bytes(spark):
+    """Large pages in a row don't make a large file, and small ones share theirs."""
+    rows = [(i, f"http://a.example.com/{i}", f"{i} " + "x" * (20_000 if 40 <= i < 60 else 10)) for i in range(100)]
+    path = new_folder(spark, "warc-test")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).withColumn("captured_at", F.lit(None).cast("string"))
+    warc.write_warc(pages, path, file_bytes=30_000)
+    read = warc.read_warc(spark, path, payloads=False)
+    sizes = {r.file: (r.n, r.top) for r in read.groupBy("file").agg(F.count("*").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top")).collect()}
+    assert read.count() == 100 and max(top for _, top in sizes.values()) < 30_000 + 21_000 and max(n for n, _ in sizes.values()) > 20
+
+
 def test_damage_is_an_error():
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"))
@@ -86,6 +97,15 @@ def test_index_is_globally_ordered(spark):
     assert [key(r) for r in out] == sorted(key(r) for r in out)
 
 
+def test_repeated_captures_are_split_between_ranges(spark):
+    """Rows equal in the whole key are no group that one task must hold."""
+    rows = [(k % 3, "com,a)/", "2024", 1) for k in range(600)]
+    captures = spark.createDataFrame(rows, "run long, url_key string, date string, id long")
+    out = warc.capture_index(captures, range_rows=50)
+    assert sorted(r.history_rank for r in out.collect()) == list(range(600))
+    assert warc.capture_index(captures.limit(0)).columns == ["run", "url_key", "date", "id", "history_rank"]
+
+
 def test_url_key(spark):
     keys = [r.k for r in spark.createDataFrame([(r[1],) for r in PAGES[:4]], "url string").select(warc.url_key(F.col("url")).alias("k")).collect()]
     assert keys == ["com,example,b)/x?q=1", "com,example,a)/", "com,example,a)/", ""]
