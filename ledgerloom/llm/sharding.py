@@ -5,6 +5,10 @@ summed per slot, and a small versioned map says which shard holds each slot.
 Rebalancing edits the map: it moves whole slots and leaves every record's slot
 as it was.  Only the map and the per-slot sums, ``n_slots`` rows whatever the
 input, ever reach the driver or are broadcast.
+
+A record's key is its id and its text.  Groups of equal texts are spread over
+slots by their ids and not kept together: one may hold a third of all bytes,
+and then no law of even shards could hold.
 """
 
 from __future__ import annotations
@@ -12,12 +16,16 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .scratch import small, stored
+
 N_SLOTS = 8192
+#: Parts in which a slot's rows are numbered, so that a slot with many is no single task.
+CHUNKS = 256
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 8
 
@@ -106,15 +114,19 @@ def rebalance(old: SlotMap, slot_bytes: list[int], slot_rows: list[int], n_shard
     return SlotMap(old.version + 1, n, tuple(shards), tuple(slot_bytes), tuple(slot_rows))
 
 
+def slot_of(id_col: str, text_col: str, n_slots: int) -> Column:
+    """The slot of a row, from its id and text; rows that share both share it."""
+    return F.pmod(F.xxhash64(id_col, text_col), F.lit(n_slots)).cast("int")
+
+
 def with_slots(df: DataFrame, id_col: str, text_col: str, n_slots: int) -> DataFrame:
-    """``rec_id, size, text_crc32, virtual_slot`` for each row; a row without an id goes by its text."""
+    """``rec_id, size, text_crc32, virtual_slot`` for each row."""
     text = F.col(text_col)
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_col))
     return df.select(
         F.col(id_col).alias("rec_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + RECORD_BYTES).alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        slot_of(id_col, text_col, n_slots).alias("virtual_slot"),
     )
 
 
@@ -140,15 +152,16 @@ def assign_shards(
     Returns ``id_col, size, text_crc32, shard, slot, virtual_slot,
     map_version``.  ``size`` is the text's UTF-8 bytes plus 8; ``slot`` is the
     row's place in its shard, from 0 without gaps, in the order of virtual
-    slots, then ids.  A null text has no bytes and checksum 0.  Rows with one
-    id share a virtual slot, repeated rows too, and each gets a place of its
-    own; rows without an id are dealt by their text.  An empty table gives an
-    empty result.  Without ``slot_map`` one is made from the table's own sums
+    slots.  A null text has no bytes and checksum 0.  Rows with one id and
+    text share a virtual slot, and each gets a place of its own: a flood of
+    such rows is the one thing that makes a shard heavier than the others.
+    Rows without an id are dealt by their text.  An empty table gives an empty
+    result.  Without ``slot_map`` one is made from the table's own sums
     and, with ``map_path``, stored there as a new version.
     """
     spark = df.sparkSession
     n_slots = len(slot_map.shards) if slot_map else n_slots
-    rows = with_slots(df, id_col, text_col, n_slots)
+    rows = stored(with_slots(df, id_col, text_col, n_slots).withColumn("chunk", F.pmod(F.spark_partition_id(), F.lit(CHUNKS))), "shard-rows")
     slot_bytes, slot_rows = slot_sums(rows, n_slots)
     if slot_map is None:
         slot_map = plan_map(slot_bytes, slot_rows, n_shards)
@@ -162,13 +175,17 @@ def assign_shards(
         [(s, shard, b) for s, (shard, b) in enumerate(zip(slot_map.shards, begins))],
         "virtual_slot int, shard int, begins long",
     )
-    place = F.row_number().over(W.partitionBy("virtual_slot").orderBy("rec_id", "text_crc32"))
+    chunks = rows.groupBy("virtual_slot", "chunk").agg(F.count("*").alias("own"))  # n_slots * CHUNKS rows at most
+    before = F.sum("own").over(W.partitionBy("virtual_slot").orderBy("chunk")) - F.col("own")
+    chunks = stored(chunks.select("virtual_slot", "chunk", before.alias("before")), "shard-chunks")
+    place = F.row_number().over(W.partitionBy("virtual_slot", "chunk").orderBy("rec_id", "text_crc32"))
     return (
         rows.withColumn("place", place)
+        .join(small(chunks), ["virtual_slot", "chunk"])
         .join(F.broadcast(table), "virtual_slot")  # n_slots rows, whatever the input
         .select(
             F.col("rec_id").alias(id_col), "size", "text_crc32", "shard",
-            (F.col("begins") + F.col("place") - 1).cast("long").alias("slot"),
+            (F.col("begins") + F.col("before") + F.col("place") - 1).cast("long").alias("slot"),
             "virtual_slot", F.lit(slot_map.version).alias("map_version"),
         )
     )
@@ -177,6 +194,5 @@ def assign_shards(
 def write_shards(df: DataFrame, slot_map: SlotMap, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all columns of ``df`` under ``path``, one folder a shard, by ``slot_map``."""
     n_slots = len(slot_map.shards)
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
-    held = F.element_at(F.array(*map(F.lit, slot_map.shards)), F.pmod(key, F.lit(n_slots)).cast("int") + 1)
+    held = F.element_at(F.array(*map(F.lit, slot_map.shards)), slot_of(id_col, text_col, n_slots) + 1)
     df.withColumn("shard", held).write.partitionBy("shard").parquet(path)

@@ -41,6 +41,18 @@ def test_cuts_are_safe(library):
             assert [x for p in pieces for x in library.encode(p)] == library.encode(text)
 
 
+def test_texts_without_spaces_are_cut(spark, library):
+    """Also between characters of which no piece has both, in frames; what can't be cut is encoded whole."""
+    rng = random.Random(16)
+    signs = "漢字仮名交文日本語中国人大小上下天地" + "ñßé🎉ж"
+    texts = ["".join(rng.choices(signs, k=5000)), "".join(rng.choices(signs + "ab 1", k=3000)), "ab" * 3000, "字" * 4000, "▁字" * 900]
+    counter = token_counts._Counter.of(piece_model_path())
+    assert len(list(counter.pieces(texts[0], 50))) > 20
+    assert all("".join(p for p, _ in counter.pieces(t, 50)) == t for t in texts if " " not in t)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, list(enumerate(texts))), piece_model_path(), piece_chars=50, batch_bytes=500).collect()}
+    assert got == {i: len(library.encode(t)) for i, t in enumerate(texts)}
+
+
 def test_transducer_equals_the_library(library):
     model = sentencepiece_fst.Transducer.of(piece_model_path())
     rng = random.Random(2)
@@ -117,6 +129,17 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.assign_shards(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_one_id_and_floods_of_rows(spark):
+    """Rows of one id are dealt by their texts; rows equal in both get places of their own, numbered in parts."""
+    rows = [(1, f"text {i}" * 9) for i in range(600)] + [(2, "same")] * 500 + [(None, "same")] * 300
+    out = sharding.assign_shards(frame(spark, rows).repartition(7), n_shards=4, n_slots=512).collect()
+    assert len({r.shard for r in out if r.doc_id == 1}) == 4 and len({r.virtual_slot for r in out if r.doc_id == 2}) == 1
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    held = [sum(r["size"] for r in out if r.shard == s and r.doc_id == 1) for s in range(4)]
+    assert max(held) < 1.5 * sum(held) / 4
+
+
 def test_rebalancing_moves_few_slots(spark):
     rng = random.Random(5)
     size = [rng.randrange(100) for _ in range(400)]
@@ -276,6 +299,24 @@ def test_language_of_held_out_texts(spark):
     assert langid.identify(odd.limit(0), model).collect() == []
 
 
+def test_fit_equals_dense_kernel_ridge(spark):
+    """With every row a landmark, the Nyström solution is that of the whole kernel matrix."""
+    import numpy as np
+
+    rng = random.Random(17)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh" if i % 3 else "efghijkl", k=5)) for _ in range(rng.randint(3, 40))), "ab"[i % 3 == 0]) for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "rec_id long, text string, lang string"), landmarks=1000, ridge=1e-2)
+    bits = np.zeros((len(rows), langid.BUCKETS), np.float32)
+    for row, (_, text, _) in zip(bits, rows):
+        langid.presence(text, row)
+    unit = bits / np.linalg.norm(bits, axis=1)[:, None]
+    kernel = (unit @ unit.T).astype(np.float64)
+    target = np.array([[lang == x for x in model.languages] for _, _, lang in rows], float)
+    weight = 1 / (target @ target.sum(axis=0))
+    dense = np.linalg.solve(kernel + 1e-2 * 2 * np.diag(1 / weight), target)
+    assert np.abs(model.scores(bits) - kernel @ dense).max() < 2e-3
+
+
 def test_presence_is_the_same_in_windows(monkeypatch):
     import numpy as np
 
