@@ -129,3 +129,8 @@ def format_money(amount: Column, currency: Column) -> Column:
     text = F.when(peso, F.format_number(F.round(size, 0), 0)).otherwise(F.format_number(F.round(size, 2), 2))
     mark = F.when(peso, F.lit("$ ")).otherwise(F.concat(currency, F.lit(" ")))
     return F.concat(F.when(amount < 0, "-").otherwise(""), mark, F.translate(text, ",.", ".,"))
+
+
+def iso_instant(at: Column) -> Column:
+    """A time as ISO text in UTC with milliseconds; the caller gives the time, so that results don't depend on the clock."""
+    return F.date_format(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -43,8 +43,21 @@ def is_auth_rejection(status: Column, final_url: Column) -> Column:
 
 
 def component(text: Column) -> Column:
-    """Percent-encoding with %20 for a space."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoding of a path segment: %20 for a space, and ``!'()~`` as they are."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for sign in "!'()~":
+        out = F.replace(out, F.lit(f"%{ord(sign):02X}"), F.lit(sign))
+    return out
+
+
+def query_text(params: dict[str, Column]) -> Column:
+    """``name=value`` pairs as form data, with ``+`` for a space; null values are left out."""
+    return F.concat_ws("&", *(F.concat(F.url_encode(F.lit(n)), F.lit("="), F.url_encode(v)) for n, v in params.items()))
+
+
+def has_bearer(header: Column) -> Column:
+    """Whether an authorization header begins as a bearer token's does; a null one doesn't."""
+    return F.coalesce(F.startswith(header, F.lit("Bearer ")), F.lit(False))
 
 
 def _params(query: Column) -> Column:

@@ -57,12 +57,29 @@ def walk_rows(rows: DataFrame, pages: DataFrame, keys: Sequence[str], page_col:
 
 
 def page_slice(rows: DataFrame, order: Sequence[str], page: int, page_size: float | None) -> DataFrame:
-    """Page ``page`` (from 0, negative as 0) in a total order; everything without a positive ``page_size``."""
+    """Page ``page`` (from 0, negative as 0) in a total order; everything without a positive ``page_size``.
+
+    Each task keeps all rows up to the page's end: for deep pages, go on from
+    the last row of the one before with :func:`next_slice`.
+    """
     if page_size is None or page_size != page_size or page_size in (float("inf"), float("-inf")) or page_size <= 0:
         return rows
     return rows.orderBy(*order).offset(max(0, page) * int(page_size)).limit(int(page_size))
 
 
+def next_slice(rows: DataFrame, order: Sequence[str], after: Sequence[object], page_size: int) -> DataFrame:
+    """The ``page_size`` rows that follow ``after`` (values of ``order``, none of them null) in a total order.
+
+    The condition reaches the scan, and a task keeps one page's rows.
+    """
+    beyond, same = F.lit(False), F.lit(True)
+    for c, value in zip(order, after):
+        beyond = beyond | (same & (F.col(c) > F.lit(value)))
+        same = same & (F.col(c) == F.lit(value))
+    least = F.col(order[0]) >= F.lit(after[0])  # a plain bound for the scan
+    return rows.filter(least & beyond).orderBy(*order).limit(page_size)
+
+
 def synthetic_ids(rows: DataFrame, keys: Sequence[str], page_col: str, pos_col: str, kept: Column, own_id: Column) -> DataFrame:
     """Kept rows with ``tx_id``: their own id or ``tx-`` and a number.
 

@@ -101,15 +101,23 @@ def record_entries(body: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else [_entries(x) for x in r] for r in found])
 
 
-@F.pandas_udf(T.StringType())
-def record_sample(body: pd.Series) -> pd.Series:
-    """The first three records as JSON, or the whole body if there are no records; null for a null body."""
-    out = []
+@F.pandas_udf(T.StructType([T.StructField("sample", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]))
+def record_head(body: pd.Series) -> pd.DataFrame:
+    """What one parse tells: the first three records as JSON, or the whole body if there are no records, and the first record's keys.
+
+    Both are null for a null body.
+    """
+    samples, keys = [], []
     for x in body:
         parsed = parse_json(x)
         found = first_records(parsed)
-        out.append(None if parsed is None else json.dumps(parsed if found is None else found[:3], ensure_ascii=False, separators=(",", ":")))
-    return pd.Series(out)
+        samples.append(None if parsed is None else json.dumps(parsed if found is None else found[:3], ensure_ascii=False, separators=(",", ":")))
+        first = found[0] if found else None
+        keys.append(None if first is None else list(first) if isinstance(first, dict) else [str(i) for i in range(len(first))])
+    return pd.DataFrame({"sample": pd.Series(samples, dtype=object), "keys": pd.Series(keys, dtype=object)})
+
+
+record_head = record_head.asNondeterministic()  # so that Spark doesn't parse again for each use of its fields
 
 
 def pick(record: Column, keys: Sequence[str]) -> Column:
@@ -121,8 +129,9 @@ def pick(record: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*map(of, keys))
 
 
-def has_any_key(record: Column, keys: Sequence[str]) -> Column:
-    low = F.transform(record, lambda e: F.lower(e["key"]))
+def has_any_key(own: Column, keys: Sequence[str]) -> Column:
+    """Whether a record's ``own`` keys have any of ``keys``, whatever its case."""
+    low = F.transform(own, F.lower)
     return F.coalesce(F.arrays_overlap(low, F.array(*(F.lit(k.lower()) for k in keys))), F.lit(False))
 
 
@@ -174,3 +183,47 @@ def normalize_transactions(df: DataFrame, account_id: Column, body_col: str = "b
         "accountId", to_iso_date(date["val"]).alias("date"), F.coalesce(name["val"], F.lit("—")).alias("description"),
         F.struct(entry_number(F.col("entry")).alias("amount"), F.lit(schemas.DEFAULT_CURRENCY).alias("currency")).alias("amount"),
     )
+
+
+def project_account(text: Column) -> Column:
+    """An account's JSON as a struct of its declared fields and ``problem``: unknown keys go and a missing currency is the default.
+
+    ``problem`` names the first field that is missing, null or of another
+    type, or a type of account that isn't known; ``json`` stands for what is
+    no object.  The other fields are null then.  ``available`` may be missing
+    but not null.
+    """
+    whole = F.try_parse_json(text)
+
+    def at(path: str) -> Column:
+        return F.try_variant_get(whole, f"$.{path}", "variant")
+
+    def kind(path: str) -> Column:
+        """The JSON type; null for a missing field."""
+        return F.when(at(path).isNotNull(), F.coalesce(F.schema_of_variant(at(path)), F.lit("VOID")))
+
+    def string(path: str) -> Column:
+        return F.when(kind(path) == "STRING", F.try_variant_get(whole, f"$.{path}", "string"))
+
+    def number(path: str) -> Column:
+        return F.when(kind(path).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(whole, f"$.{path}", "double"))
+
+    def money(field: str) -> tuple[Column, Column]:
+        currency = F.when(kind(f"{field}.currency").isNull(), F.lit(schemas.DEFAULT_CURRENCY)).otherwise(string(f"{field}.currency"))
+        amount = number(f"{field}.amount")
+        wrong = F.when(amount.isNull(), f"{field}.amount").when(currency.isNull(), f"{field}.currency")
+        return F.struct(amount.alias("amount"), currency.alias("currency")), wrong
+
+    fields = {c: string(c) for c in ("id", "name", "type", "number")}
+    balance, no_balance = money("balance")
+    available, no_available = money("available")
+    is_object = lambda path: F.coalesce(kind(path).startswith("OBJECT"), F.lit(False))
+    problem = F.when(~F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False)), "json")
+    for c in ("id", "name"):
+        problem = problem.when(fields[c].isNull(), c)
+    problem = problem.when(~F.coalesce(fields["type"].isin(*schemas.ACCOUNT_TYPES), F.lit(False)), "type").when(fields["number"].isNull(), "number")
+    problem = problem.when(~is_object("balance"), "balance").when(no_balance.isNotNull(), no_balance)
+    problem = problem.when(kind("available").isNotNull() & ~is_object("available"), "available").when(is_object("available") & no_available.isNotNull(), no_available)
+    sound = problem.isNull()
+    out = {**fields, "balance": balance, "available": F.when(is_object("available"), available)}
+    return F.struct(*(F.when(sound, x).alias(c) for c, x in out.items()), problem.alias("problem"))

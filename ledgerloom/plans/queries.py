@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerloom.functions import scalars as S
 from ledgerloom.functions import urls as U
 from ledgerloom.operators import paging, records, summary
+from ledgerloom.plans import service
 from ledgerloom.schemas import AMOUNT_KEYS
+from ledgerloom.sources import mock
+from ledgerloom.sources.shared import shared_dir
 from ledgerloom.streaming import capture
 
-from .views import account_payloads, accounts, responses, table, transaction_payloads, transactions
+from .views import account_payloads, account_texts, accounts, replayed_pages, responses, table, transaction_payloads, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -216,10 +221,10 @@ def infer_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, left(text, 160) || CASE WHEN length(text) >= 160 THEN '…' ELSE '' END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS rn FROM conversations) WHERE rn <= 3")
 def capture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three turns of each conversation, as previews; turns are short lists."""
-    turns = F.slice(F.array_sort(F.collect_list(F.struct("turn", "text"))), 1, 3)
-    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t")).select("conv_id", F.explode("t").alias("t"))
-    return first.select("conv_id", "t.turn", S.preview(F.col("t.text")).alias("text"))
+    """The first three turns of each conversation, as previews; Spark keeps three rows a conversation before it shuffles."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text"))
+    first = table(spark, sf_dir, "conversations").withColumn("place", place).filter("place <= 3")
+    return first.select("conv_id", "turn", S.preview(F.col("text")).alias("text"))
 
 
 _PAGES = "SELECT l_orderkey, l_linenumber - 1 AS page, count(*) AS n, string_agg(strftime(l_shipdate, '%Y') || '|' || (l_quantity::BIGINT % 3) || '|' || l_returnflag, chr(1) ORDER BY l_partkey, l_suppkey) AS sig FROM lineitem GROUP BY ALL"
@@ -283,12 +288,93 @@ def normalize_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "id", "date", "description", "amount.amount")
 
 
-@query()
-def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capture filter as a stream over JSON files; rows equal those of capture_filter."""
-    import uuid
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/ledgerloom-stream-{uuid.uuid4().hex}"
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream over JSON files of responses has put in its sink."""
+    base = f"{shared_dir(spark)}/ledgerloom-stream-{uuid.uuid4().hex}"
     responses(spark, sf_dir).write.json(f"{base}/in")
     capture.stream_captures(spark, f"{base}/in", "https://portal.example.com", f"{base}/out", f"{base}/progress").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query(ORACLE_SQL["capture_filter"])
+def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capture filter as a stream; rows equal those of capture_filter."""
+    return _stream(spark, sf_dir)
+
+
+@query(ORACLE_SQL["infer_endpoints"])
+def stream_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints inferred from the sink of a stream."""
+    return capture.infer_endpoints(_stream(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn, o_orderdate, o_orderpriority, o_totalprice FROM orders),
+p AS (SELECT o_custkey, rn // 4 AS page, count(*) FILTER (k % 5 <> 0) AS n FROM r GROUP BY ALL),
+w AS (SELECT o_custkey, page, coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, min(n) OVER (PARTITION BY o_custkey ORDER BY page) AS least FROM p)
+SELECT o_custkey::VARCHAR AS account, page + 1 AS page, CASE WHEN k % 3 <> 0 THEN k::VARCHAR ELSE 'tx-' || (before + rn % 4 + 1) END AS id, strftime(o_orderdate, '%Y-%m-%d') AS date,
+       CASE WHEN k % 2 = 0 THEN o_orderpriority ELSE '—' END AS description, round(o_totalprice, 0) AS amount, false AS truncated
+FROM (SELECT *, rn // 4 AS page FROM r) JOIN w USING (o_custkey, page) WHERE least > 0 AND k % 5 <> 0 AND strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1994-01-01' AND '1996-12-31'""")
+def replayed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replayed pages of every account: normalised, walked, numbered on and cut to a range."""
+    found = service.replayed_history(replayed_pages(spark, sf_dir), "1994-01-01", "1996-12-31")
+    return found.select(F.col("accountId").alias("account"), F.col("page").cast("long").alias("page"), "id", "date", "description", "amount.amount", "truncated")
+
+
+@query("""SELECT c_custkey, CASE WHEN k IS NULL THEN c_custkey::VARCHAR END AS id, CASE WHEN k IS NULL THEN c_name END AS name, CASE WHEN k IS NULL THEN 'loan' END AS type, CASE WHEN k IS NULL THEN '****1' END AS number,
+       CASE WHEN k IS NULL THEN c_custkey::DOUBLE END AS amount, CASE WHEN k IS NULL THEN CASE WHEN c_custkey % 9 = 1 THEN 'COP' ELSE 'USD' END END AS currency,
+       CASE WHEN c_custkey % 9 = 5 THEN 5.0::DOUBLE END AS available, CASE WHEN c_custkey % 9 = 5 THEN 'COP' END AS available_currency, k AS problem
+FROM (SELECT *, CASE c_custkey % 9 WHEN 0 THEN 'type' WHEN 2 THEN 'balance.currency' WHEN 3 THEN 'balance.amount' WHEN 4 THEN 'name' WHEN 6 THEN 'available' WHEN 8 THEN 'number' END AS k FROM customer)""")
+def schema_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared fields of accounts in JSON: defaults, unknown keys and what makes a row fail."""
+    a = account_texts(spark, sf_dir).select("c_custkey", records.project_account(F.col("body")).alias("a"))
+    return a.select(
+        "c_custkey", "a.id", "a.name", "a.type", "a.number", "a.balance.amount", "a.balance.currency",
+        F.col("a.available.amount").alias("available"), F.col("a.available.currency").alias("available_currency"), "a.problem",
+    )
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'browser' ELSE 'connect' END AS method, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2) END AS user_name,
+       c_custkey % 4 = 0 AS has_state, '2026-01-01T00:00:00Z' AS created_at, CASE WHEN c_custkey % 3 = 1 THEN '2026-01-02T00:00:00Z' WHEN c_custkey % 3 = 2 THEN '2026-12-31T00:00:00Z' END AS expires_at, c_custkey % 3 = 1 AS expired FROM customer""")
+def session_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What may be shown of sessions; a missing end is null."""
+    key = F.col("c_custkey")
+    sessions = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(key % 2 == 0, "browser").otherwise("connect").alias("method"), F.col("c_name").alias("user"), (key % 4 == 0).alias("hasStorageState"), F.lit("secret").alias("token"),
+        F.lit("2026-01-01T00:00:00Z").alias("createdAt"), F.when(key % 3 == 1, "2026-01-02T00:00:00Z").when(key % 3 == 2, "2026-12-31T00:00:00Z").alias("expiresAt"),
+    )
+    shown = service.session_info(sessions, F.lit("2026-06-01T00:00:00Z").cast("timestamp"), keep=["c_custkey"])
+    return shown.toDF("c_custkey", "method", "user_name", "has_state", "created_at", "expires_at", "expired")
+
+
+@query("""SELECT p_partkey, '/api/accounts/' || replace(replace(replace(replace(replace(url_encode(t), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')') || '/balance' AS path,
+       'accountId=' || replace(replace(replace(url_encode(t), '%20', '+'), '~', '%7E'), '%2A', '*') || '&page=0' AS query
+FROM (SELECT p_partkey, p_name || ' ~é/(1)!*' || chr(39) || '&=+%' AS t FROM part)""")
+def encode_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An id as a segment of a path, and as a form parameter beside one that is null."""
+    text = F.concat("p_name", F.lit(" ~é/(1)!*'&=+%"))
+    pairs = {"accountId": text, "from": F.lit(None).cast("string"), "page": F.lit("0")}
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/api/accounts/"), U.component(text), F.lit("/balance")).alias("path"), U.query_text(pairs).alias("query"))
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS allowed FROM events")
+def bearer_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    header = F.when(key % 4 == 0, F.concat(F.lit("Bearer "), key.cast("string"))).when(key % 4 == 1, "bearer x").when(key % 4 == 2, "Basic Bearer ")
+    return table(spark, sf_dir, "events").select("event_id", U.has_bearer(header).alias("allowed"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((date_part('milliseconds', ts)::BIGINT % 1000)::VARCHAR, 3, '0') || 'Z' AS at FROM events")
+def iso_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", S.iso_instant(F.col("ts")).alias("at"))
+
+
+@query("SELECT 'COP' AS currency, 4480500.0::DOUBLE AS total, 5::BIGINT AS n_transactions, 3071400.0::DOUBLE AS moved")
+def mock_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Net worth and movements of the literal tables."""
+    moved = mock.transactions(spark).groupBy("amount.currency").agg(F.count("*").alias("n_transactions"), F.sum("amount.amount").alias("moved"))
+    return summary.net_worth(mock.accounts(spark)).join(F.broadcast(moved), "currency").select("currency", "total", "n_transactions", "moved")  # a row a currency
+
+
+@query(f"SELECT id, date FROM (SELECT *, row_number() OVER (ORDER BY date, seq) AS rn FROM ({_TRANSACTIONS}) WHERE (date, seq) > ('1995-03-01', 1000)) WHERE rn <= 100")
+def tx_next_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.next_slice(transactions(spark, sf_dir), ["date", "seq"], ["1995-03-01", 1000], 100).select("id", "date")

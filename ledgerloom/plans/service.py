@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from ledgerloom.functions.scalars import is_expired, mask_user, preview
 from ledgerloom.functions.urls import path_query, rescope, with_query_param
 from ledgerloom.operators import paging, records, summary
+from ledgerloom.schemas import AMOUNT_KEYS
 
 
 class NotFound(LookupError):
@@ -30,8 +32,8 @@ def get_accounts(accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accounts, summary.net_worth(accounts)
 
 
-def get_balance(accounts: DataFrame, account_id: str, order: str = "id") -> DataFrame:
-    """The first account of this id; an error if there is none."""
+def get_balance(accounts: DataFrame, account_id: str, order: str) -> DataFrame:
+    """Of the accounts of this id the first by ``order``, the column that has their order of arrival; an error if there is none."""
     found = summary.first_match(accounts, F.col("id") == account_id, order, accounts.columns)
     if not found.limit(1).count():
         raise NotFound(f"Account not found: {account_id}")
@@ -49,28 +51,31 @@ def replay_url(url: str, account_id: str, start: str, end: str, page: int, page_
     return one.select(with_query_param(rescope(F.col("url"), account_id, start, end), page_param, str(page)).alias("url"))
 
 
-def replayed_history(pages: DataFrame, account_id: str, start: str, end: str, start_page: int = 1, max_pages: int = paging.MAX_PAGES) -> DataFrame:
-    """Transactions of replayed ``pages`` (``page, body``) of one account, with ``truncated``.
+def replayed_history(pages: DataFrame, start: str, end: str, account_id: str | None = None, start_page: int = 1, max_pages: int = paging.MAX_PAGES) -> DataFrame:
+    """Transactions of replayed ``pages`` (``account, page, body``), with ``truncated``.
 
-    A page is its records with an amount: one without any ends the walk, and
-    pages are compared by these.  All rows bear the account's id; those out of
-    the range go last.
+    With ``account_id`` they are the pages of one account and need no column
+    for it.  A page is its records with an amount: one without any ends the
+    walk, and pages are compared by these.  All rows bear the account's id;
+    those out of the range go last.
     """
+    if account_id is not None:
+        pages = pages.withColumn("account", F.lit(account_id))
     rows = records.explode_records(pages, "body")
-    amount = records.pick(F.col("record"), ("valor", "amount", "monto", "importe"))
-    counts = rows.groupBy("page").agg(F.count_if(amount.isNotNull()).alias("n")).withColumn("account", F.lit(account_id))
+    amount = records.pick(F.col("record"), AMOUNT_KEYS)
+    counts = rows.groupBy("account", "page").agg(F.count_if(amount.isNotNull()).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("account").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    body = pages.join(counts.select("page", "account", before.alias("offset")), "page")
+    body = pages.join(counts.select("account", "page", before.alias("offset")), ["account", "page"])
     out = records.normalize_transactions(body, F.col("account"), keep=["page", "account"], id_offset=F.col("offset"))
     text = paging.signature_text(F.col("date"), F.col("amount.amount").cast("string"), F.col("description"))
     walked = paging.walk_pages(paging.page_signatures(out, ["account"], "page", "ordinal", text), ["account"], start_page, None, max_pages)
-    taken = out.join(walked.select("page", "truncated"), "page")
+    taken = out.join(walked.select("account", "page", "truncated"), ["account", "page"])
     return taken.filter(F.col("date").between(start, end)).drop("account")
 
 
-def session_info(sessions: DataFrame, now) -> DataFrame:
-    """What may be shown of sessions: never a token; users are masked."""
-    return sessions.select("method", mask_user(F.col("user")).alias("user"), "hasStorageState", "createdAt", "expiresAt", is_expired(F.col("expiresAt"), now).alias("expired"))
+def session_info(sessions: DataFrame, now, keep: Sequence[str] = ()) -> DataFrame:
+    """What may be shown of sessions, after the columns in ``keep``: never a token; users are masked."""
+    return sessions.select(*keep, "method", mask_user(F.col("user")).alias("user"), "hasStorageState", "createdAt", "expiresAt", is_expired(F.col("expiresAt"), now).alias("expired"))
 
 
 def capture_list(captures: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # The account type that stands for each market segment.
 SEGMENT_TYPES = {"AUTOMOBILE": "credit_card", "BUILDING": "loan", "FURNITURE": "savings", "HOUSEHOLD": "checking", "MACHINERY": "investment"}
@@ -35,29 +36,57 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def account_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``c_nationkey, body``: each nation's customers as one nested JSON payload with Spanish keys, in key order."""
+    """``c_nationkey, body``: each nation's customers as nested JSON payloads with Spanish keys, one for each 1,000 keys."""
     record = F.struct(
         F.col("c_custkey").alias("orden"), F.concat(F.lit("90"), F.col("c_custkey").cast("string")).alias("numeroProducto"), F.concat(F.lit("Cuenta de ahorros "), F.col("c_name")).alias("Nombre"),
         F.when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("$ "), F.translate(F.format_number("c_acctbal", 2), ",.", ".,"))).alias("saldoDisponible"),
     )
     items = F.array_sort(F.collect_list(record))
     body = F.to_json(F.struct(F.lit("ok").alias("estado"), F.array(F.lit(1)).alias("codigos"), F.struct(items.alias("productos")).alias("data")), {"ignoreNullFields": "false"})
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(body.alias("body"))
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey", F.expr("c_custkey div 1000").alias("chunk")).agg(body.alias("body")).drop("chunk")
 
 
-def transaction_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``o_custkey, body``: each customer's orders as a JSON array; some lack an id, an amount or a description."""
+def order_record() -> Column:
+    """An order as JSON with Spanish keys; some lack an id, an amount or a description."""
     key = F.col("o_orderkey")
-    record = F.to_json(
+    return F.to_json(
         F.struct(
             key.alias("orden"), F.when(key % 3 != 0, key.cast("string")).alias("referencia"), F.when(key % 5 != 0, F.round("o_totalprice", 0).cast("long")).alias("valor"),
             F.date_format("o_orderdate", "dd/MM/yyyy").alias("fechaMovimiento"), F.when(key % 2 == 0, F.col("o_orderpriority")).alias("descripcion"),
         )
     )
-    items = F.array_sort(F.collect_list(F.struct(key.alias("k"), record.alias("r"))))
+
+
+def transaction_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_custkey, body``: each customer's orders as a JSON array of :func:`order_record`."""
+    items = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order_record().alias("r"))))
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["r"]), ","), F.lit("]")).alias("body"))
 
 
+def replayed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``account, page, body``: each customer's orders in pages of four from 1, as :func:`transaction_payloads` has them."""
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    paged = table(spark, sf_dir, "orders").withColumn("page", (F.floor(place / 4) + 1).cast("int"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order_record().alias("r"))))
+    body = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["r"]), ","), F.lit("]"))
+    return paged.groupBy(F.col("o_custkey").cast("string").alias("account"), "page").agg(body.alias("body"))
+
+
+def account_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``c_custkey, body``: each customer as the JSON of an account, with what is wrong or left to defaults by the key modulo 9."""
+    case = (F.col("c_custkey") % 9).cast("int")
+    quoted = lambda x: F.to_json(F.struct(x.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(x.alias("x")))) - 6)
+    key = F.col("c_custkey").cast("string")
+    amount = F.concat(F.lit('"amount":'), F.when(case == 3, '"12"').otherwise(key))
+    currency = F.when(case == 1, "").when(case == 2, ',"currency":null').otherwise(',"currency":"USD"')
+    parts = [
+        F.concat(F.lit('"id":"'), key, F.lit('"')), F.when(case != 4, F.concat(F.lit('"name":'), quoted(F.col("c_name")))),
+        F.concat(F.lit('"type":"'), F.when(case == 0, "crypto").otherwise("loan"), F.lit('"')), F.concat(F.lit('"number":'), F.when(case == 8, key).otherwise('"****1"')),
+        F.concat(F.lit('"balance":{'), amount, currency, F.lit("}")), F.when(case == 5, '"available":{"amount":5}').when(case == 6, '"available":null'), F.when(case == 7, '"extra":{"a":[1]}'),
+    ]
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("body"))
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as responses: three content types, two hosts, bodies with and without amounts."""
     key = F.col("event_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,10 +16,16 @@ def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 
 def checked_accounts(accounts: DataFrame) -> DataFrame:
-    """Accounts with the default currency filled in; an unknown type or a missing field fails the job."""
+    """Accounts with the default currency filled in; an unknown type or a missing field fails the job.
+
+    A null currency is taken as a missing one here, since columns don't tell
+    them apart; :func:`ledgerloom.operators.records.project_account` does.
+    """
     known = F.coalesce(F.col("type").isin(*ACCOUNT_TYPES), F.lit(False))
     whole = F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("number").isNotNull() & F.col("balance.amount").isNotNull()
-    filled = accounts.withColumn("balance", F.struct(F.col("balance.amount").alias("amount"), F.coalesce("balance.currency", F.lit(DEFAULT_CURRENCY)).alias("currency")))
+    money = lambda c: F.struct(F.col(f"{c}.amount").alias("amount"), F.coalesce(f"{c}.currency", F.lit(DEFAULT_CURRENCY)).alias("currency"))
+    filled = accounts.withColumn("balance", money("balance")).withColumn("available", F.when(F.col("available").isNotNull(), money("available")))
+    whole = whole & (F.col("available").isNull() | F.col("available.amount").isNotNull())
     return filled.filter(F.assert_true(known & whole, F.lit("an account is incomplete or of an unknown type")).isNull())
 
 
@@ -30,10 +37,15 @@ def read_json_or_none(spark: SparkSession, path: str, schema: StructType) -> Dat
     """A JSON file, or None if it is missing or broken."""
     try:
         found = read_strict(spark, path, schema)
-        found.foreach(lambda _: None)
+        found.agg(F.bit_xor(F.xxhash64(*found.columns))).collect()  # one number; every field is parsed
         return found
-    except Exception:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    except Exception as e:  # Spark's own, or the bridge's, by version
+        if "MALFORMED_RECORD" not in str(e):
+            raise
+    return None
 
 
 def pretty(df: DataFrame, name: str = "json") -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from ledgerloom.schemas import ACCOUNT, DEFAULT_CURRENCY, TRANSACTION
+from ledgerloom.schemas import ACCOUNT, ACCOUNT_TYPES, DEFAULT_CURRENCY, TRANSACTION
 
 # Limits of a request and of a walk.
 TIMEOUT, PAGE_SIZE, MAX_PAGES, ERROR_CHARS = 30, 100, 50, 500
@@ -163,7 +163,10 @@ class AccountsReader(DataSourceReader):
         body = get_json(self.options["url"].rstrip("/") + "/api/accounts", self.options.get("token"), float(self.options.get("timeout", TIMEOUT)))
         if not isinstance(body, list):
             raise SchemaError("the accounts aren't an array")
-        yield from (typed(r, ACCOUNT, ("available",)) for r in body)
+        for row in (typed(r, ACCOUNT, ("available",)) for r in body):
+            if row[2] not in ACCOUNT_TYPES:
+                raise SchemaError(f"type is {row[2]!r}")
+            yield row
 
 
 class AccountsSource(DataSource):

@@ -8,30 +8,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom import schemas
 from ledgerloom.functions.urls import any_includes, same_origin, url_matches
-from ledgerloom.operators.records import has_any_key, record_entries, record_sample
+from ledgerloom.operators.records import has_any_key, record_head
 
 
-def looks_like_data(url: Column, first_record: Column) -> Column:
+def looks_like_data(url: Column, first_keys: Column) -> Column:
     """A URL with an account or transaction hint, or a first record with a balance or an amount."""
     keys = (*schemas.BALANCE_KEYS, *schemas.AMOUNT_KEYS)
-    return url_matches(url, schemas.ACCOUNT_URL_HINTS) | url_matches(url, schemas.TRANSACTION_URL_HINTS) | has_any_key(first_record, keys)
+    return url_matches(url, schemas.ACCOUNT_URL_HINTS) | url_matches(url, schemas.TRANSACTION_URL_HINTS) | has_any_key(first_keys, keys)
 
 
 def captures(responses: DataFrame, origin: str) -> DataFrame:
     """``seq, url, method, status, sample`` of the JSON responses of one origin that look like data."""
     json_only = responses.filter(any_includes(F.coalesce("content_type", F.lit("")), ("application/json",)) & same_origin(F.col("url"), origin))
-    parsed = json_only.withColumn("sample", record_sample("body")).filter(F.col("sample").isNotNull())
-    entries = parsed.withColumn("first", F.get(record_entries("body"), F.lit(0)))
-    return entries.filter(looks_like_data(F.col("url"), F.col("first"))).select("seq", "url", "method", "status", "sample")
+    parsed = json_only.withColumn("head", record_head("body")).filter(F.col("head.sample").isNotNull())
+    return parsed.filter(looks_like_data(F.col("url"), F.col("head.keys"))).select("seq", "url", "method", "status", F.col("head.sample").alias("sample"))
 
 
 def infer_endpoints(found: DataFrame) -> DataFrame:
     """One row ``accounts_url, transactions_url``: the first captures whose URLs have the hints, in order of ``seq``.
 
-    The accounts' URL is the first other than the transactions' one.  Two
-    smallest candidates are enough for that: the first with an account hint,
-    and the first of another URL.
+    The accounts' URL is the first other than the transactions' one.  Both
+    come from one row a URL, so what ``found`` holds is read once.
     """
+    found = found.groupBy("url").agg(F.min("seq").alias("seq"))
     tx, acc = url_matches(F.col("url"), schemas.TRANSACTION_URL_HINTS), url_matches(F.col("url"), schemas.ACCOUNT_URL_HINTS)
     transactions = found.agg(F.min_by(F.when(tx, F.col("url")), F.when(tx, F.col("seq"))).alias("transactions_url"))
     rest = found.crossJoin(F.broadcast(transactions)).filter(acc & ~F.col("url").eqNullSafe(F.col("transactions_url")))  # one row

@@ -209,9 +209,9 @@ def test_text_table(spark):
 
 def test_balance_lookup_and_ranges(spark):
     df = spark.createDataFrame(money(("savings", 1, "COP"), ("loan", 2, "COP")), ACCOUNT)
-    assert service.get_balance(df, "1").first().balance.amount == 2
+    assert service.get_balance(df, "1", "number").first().balance.amount == 2
     with pytest.raises(service.NotFound):
-        service.get_balance(df, "9")
+        service.get_balance(df, "9", "number")
     assert service.date_range("2026-99-99", "0000-00-00")
     for bad in ("2026-07-01\n", "2026-7-1"):
         with pytest.raises(ValueError):
@@ -307,12 +307,15 @@ def test_files(spark, tmp_path):
     with pytest.raises(Exception, match="incomplete"):
         files.checked_accounts(spark.createDataFrame(money(("yacht", 1, "COP")), ACCOUNT)).collect()
     assert files.read_json_or_none(spark, f"{tmp_path}/none", ACCOUNT) is None
+    (tmp_path / "bad.json").write_text("[{")
+    assert files.read_json_or_none(spark, f"{tmp_path}/bad.json", ACCOUNT) is None
+    assert files.read_json_or_none(spark, f"{tmp_path}/a", ACCOUNT).count() == 1
     assert '"id"' in files.pretty(good).first().json
 
 
 def test_replayed_history(spark):
     pages = [(1, json.dumps([{"x": 1}, {"valor": 1, "fecha": "01/07/2026"}])), (2, json.dumps([{"valor": 2, "fecha": "02/07/2026"}])), (3, json.dumps([{"x": 1}])), (4, json.dumps([{"valor": 3}]))]
-    out = service.replayed_history(spark.createDataFrame(pages, "page int, body string"), "acc", "2026-07-01", "2026-07-31").orderBy("page").collect()
+    out = service.replayed_history(spark.createDataFrame(pages, "page int, body string"), "2026-07-01", "2026-07-31", "acc").orderBy("page").collect()
     assert [(r.id, r.accountId, r.amount.amount, r.truncated) for r in out] == [("tx-2", "acc", 1.0, False), ("tx-2", "acc", 2.0, False)]
     url = service.replay_url("https://x.co/m?cuenta=1&desde=a", "acc", "2026-07-01", "2026-07-31", 2).first().url
     assert url == "https://x.co/m?cuenta=acc&desde=2026-07-01&page=2"
