@@ -1,9 +1,6 @@
 """Tables that cut lineage, in the folder that all executors share, and bounds on what is broadcast and on what a Python worker holds.
 
-``spark.checkpoint.dir`` or ``setCheckpointDir`` names the folder.  Where a
-local session has neither (tests, a laptop), a private folder under
-``/tmp/checkpoints`` is used; on a cluster that is an error, since executors
-wouldn't see each other's files.
+:func:`ledgerloom.sources.shared.shared_dir` tells which folder that is.
 """
 
 from __future__ import annotations
@@ -20,23 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOCAL_FALLBACK = "file:///tmp/checkpoints/ledgerloom"
+from ledgerloom.sources.shared import shared_dir
 
 _written: list[str] = []
 _passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = LOCAL_FALLBACK
-    return found.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other table has; Spark makes it on writing."""
     path = f"{shared_dir(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
