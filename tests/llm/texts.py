@@ -49,3 +49,17 @@ def frame(spark: SparkSession, rows: list[tuple[int | None, str | None]]) -> Dat
     """``documents`` of these rows, with extra columns whose names the operators use themselves."""
     full = [(i, t, ("en", "de", None)[k % 3], ("src0", None)[k % 2], len(t or "")) for k, (i, t) in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA).selectExpr("*", "1 AS rec_id", "2 AS text_key", "'x' AS name", "3 AS n", "4 AS size", "5 AS line", "6 AS label", "7 AS k1", "8 AS kept")
+
+
+def recorded_plans(monkeypatch, module, run) -> list[str]:
+    """The plans of all tables that a module stores in ``run``, and of what it returns."""
+    plans: list[str] = []
+    store = module.stored
+
+    def recording(df: DataFrame, name: str) -> DataFrame:
+        plans.append(df._jdf.queryExecution().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(module, "stored", recording)
+    plans.append(run()._jdf.queryExecution().toString())
+    return plans
