@@ -168,7 +168,85 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < kept_id THEN
 FROM k
 """
 
+#: Shared shingles of every two documents, and what is reachable over links.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT c.a, c.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL) c
+  JOIN n m ON m.doc_id = c.a JOIN n o ON o.doc_id = c.b WHERE 100 * common >= 80 * (m.n + o.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a
+), low AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM low LEFT JOIN n USING (doc_id)
+"""
+
+#: Every string of 400 bytes by its hash, and the runs that repeated ones cover.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), h AS (
+  SELECT doc_id, p, md5(b[p : p + 399]) AS k FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS p FROM d WHERE n >= 400)
+), f AS (
+  SELECT doc_id, p FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)
+), r AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, (coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 401) > 400)::INT AS new FROM f)
+), span AS (
+  SELECT doc_id, min(p) AS s, max(p) + 400 AS e FROM r GROUP BY doc_id, g
+), piece AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 1) AS begin FROM span
+), cut AS (
+  SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[begin : s - 1]), '' ORDER BY s) || hex(any_value(b)[max(e) : max(n)]) AS kept FROM piece JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256,
+       n - coalesce(n_removed, 0)::BIGINT AS kept_bytes, n_spans IS NOT NULL AS has_repeats
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+#: Quantiles of sorted lists for each language and source, in place of sketches.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS times FROM (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))
+), again AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win WHERE times > 1) GROUP BY doc_id
+), c AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN again USING (doc_id)
+), r AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN word_chars > 0 THEN least(1000, 1000 * n_symbols // word_chars) ELSE 0 END::INT AS symbol_ratio, CASE WHEN n_lines > 0 THEN least(1000, 1000 * n_dup_lines // n_lines) ELSE 0 END::INT AS dup_line_ratio,
+         CASE WHEN n_words > 0 THEN least(1000, 1000 * n_repeat_words // n_words) ELSE 0 END::INT AS repeat_ratio, CASE WHEN n_words > 0 THEN least(10000, 100 * word_chars // n_words) ELSE 0 END::INT AS word_length FROM c
+), g AS (
+  SELECT lang, source, list_sort(list(symbol_ratio)) AS s, list_sort(list(dup_line_ratio)) AS u, list_sort(list(repeat_ratio)) AS p, list_sort(list(word_length)) AS v,
+         list_sort(list(word_chars)) AS lc, list_sort(list(n_lines)) AS ll, list_sort(list(n_words)) AS lw, count(*) AS n FROM r WHERE NOT base_failed GROUP BY lang, source
+), q AS (
+  SELECT lang, source, s[ceil(0.8 * n)::INT] AS s0, s[ceil(0.8 * n)::INT] - s[ceil(0.5 * n)::INT] AS s1, u[ceil(0.95 * n)::INT] AS u0, u[ceil(0.95 * n)::INT] - u[ceil(0.9 * n)::INT] AS u1,
+         p[ceil(0.95 * n)::INT] AS p0, p[ceil(0.95 * n)::INT] - p[ceil(0.9 * n)::INT] AS p1, v[ceil(0.5 * n)::INT] AS v0, v[ceil(0.5 * n)::INT] - v[ceil(0.1 * n)::INT] AS v1,
+         pow(2, floor(log2(greatest(1, lc[ceil(0.1 * n)::INT])) * 8) / 8) AS c0, pow(2, floor(log2(greatest(1, ll[ceil(0.1 * n)::INT])) * 8) / 8) AS l0, pow(2, floor(log2(greatest(1, lw[ceil(0.1 * n)::INT])) * 8) / 8) AS w0 FROM g
+), m AS (
+  SELECT median(s1) AS s2, median(u1) AS u2, median(p1) AS p2, median(v1) AS v2 FROM q
+), x AS (
+  SELECT lang, source, (s0 + floor(3 * greatest(s1, s2)) + floor(5000 / c0))::INT AS max_symbol_ratio, (u0 + floor(2 * greatest(u1, u2)) + floor(1000 / l0))::INT AS max_dup_line_ratio,
+         (p0 + floor(2 * greatest(p1, p2)) + floor(10000 / w0))::INT AS max_repeat_ratio, (v0 + floor(6 * greatest(v1, v2)))::INT AS max_word_length FROM q, m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, symbol_ratio, dup_line_ratio, repeat_ratio, word_length, max_symbol_ratio, max_dup_line_ratio, max_repeat_ratio, max_word_length, base_failed,
+       NOT base_failed AND coalesce(symbol_ratio <= max_symbol_ratio AND dup_line_ratio <= max_dup_line_ratio AND repeat_ratio <= max_repeat_ratio AND word_length <= max_word_length, false) AS kept
+FROM r LEFT JOIN x ON r.lang IS NOT DISTINCT FROM x.lang AND r.source IS NOT DISTINCT FROM x.source
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": OP1_SQL,
+    "op4_suffix_dedup": OP4_SQL,
+    "op5_quality_rules": OP5_SQL,
     "op3_warc": OP3_SQL,
     "op9_line_dedup": OP9_SQL,
     "op8_decontamination": OP8_SQL,
