@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import by_bytes, small_batches
+from .scratch import by_bytes, frugal, small_batches
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -126,7 +126,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["h", "lang", "bits"])
 
     rows = sample_rows(labelled, per_language, in_all).select(F.xxhash64("rec_id").alias("h"), "lang", "text")
-    found = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.mapInArrow(vectors, "h long, lang string, bits binary").collect())
+    found = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.mapInArrow(frugal(vectors), "h long, lang string, bits binary").collect())
     languages = sorted({r[0] for r in found})
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32))
@@ -164,7 +164,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", keep:
     fields = [T.StructField(i, df.schema[c].dataType) for i, c in zip(inner, names)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     rows = df.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), F.col(text_col).alias("text"))
-    return rows.mapInArrow(predicted, schema).select(*(F.col(i).alias(c) for i, c in zip(inner, names)), "lang_pred", "score")
+    return rows.mapInArrow(frugal(predicted), schema).select(*(F.col(i).alias(c) for i, c in zip(inner, names)), "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import passing, small, small_batches, stored
+from .scratch import frugal, passing, small, small_batches, stored
 
 SKETCH = 128
 #: At depth 1 each tree chooses 1 or 2 tokens, 1.4 on average (the inverse of the threshold is 1.25), deeper nodes 2.
@@ -111,7 +111,7 @@ def sign(keyed: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, signs)), *(pa.array(x, pa.binary()) for x in (cid, full, low))], names=["rec_id", "text_key", "n", "signs", "cid", "sketch", "low"])
 
     schema = T.StructType([*keyed.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("n", "signs")), *(T.StructField(c, T.BinaryType()) for c in ("cid", "sketch", "low"))])
-    return keyed.mapInArrow(signed, schema)
+    return keyed.mapInArrow(frugal(signed), schema)
 
 
 def full_sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -124,7 +124,7 @@ def full_sets(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     right = small(wanted.select(F.col("rec_id").alias("w_id"), F.col("text_key").alias("w_key")))
     on = [keyed["rec_id"].eqNullSafe(F.col("w_id")), keyed["text_key"] == F.col("w_key")]
-    return keyed.join(right, on, "left_semi").select("text").mapInArrow(made, "cid binary, values binary").dropDuplicates(["cid"])
+    return keyed.join(right, on, "left_semi").select("text").mapInArrow(frugal(made), "cid binary, values binary").dropDuplicates(["cid"])
 
 
 def _child(node: Column, position: Column) -> Column:
@@ -265,7 +265,7 @@ def first_resembling(nodes: DataFrame, least: int) -> DataFrame:
         yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
 
     ordered = nodes.select("node", "cid", "low").repartition("node").sortWithinPartitions("node", "cid")
-    pairs = ordered.mapInArrow(found, "a binary, b binary")
+    pairs = ordered.mapInArrow(frugal(found), "a binary, b binary")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -288,7 +288,7 @@ def still_apart(nodes: DataFrame, least: int) -> DataFrame:
                 yield _pairs([(node, ids[i]) for i in np.flatnonzero(open_)], ("node", "cid"), (pa.int64(), pa.binary()))
 
     ordered = nodes.select("node", "cid", "low", "label").repartition("node").sortWithinPartitions("node", "cid")
-    return ordered.mapInArrow(found, "node long, cid binary")
+    return ordered.mapInArrow(frugal(found), "node long, cid binary")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -329,7 +329,7 @@ def links_in_nodes(nodes: DataFrame, percent: int) -> DataFrame:
                 yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
 
     ordered = nodes.select("node", "cid", "label", "values").repartition("node").sortWithinPartitions("node", "cid")
-    return ordered.mapInArrow(found, "a binary, b binary").distinct()
+    return ordered.mapInArrow(frugal(found), "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +351,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("cid").alias("b"), F.col("values").alias("y")), sets.select(F.col("cid").alias("a"), F.col("values").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(frugal(checked), "a binary, b binary")
 
 
 def near_duplicates(

@@ -4,10 +4,10 @@ A model file is compiled into two transducers with explicit states and arcs:
 
 * the normaliser reads the characters of a text and writes marks for spaces, a
   mark before the text and, where the model asks for it, one for a run;
-* the lexicon reads normalised characters along a trie of all pieces, and
-  leaves the trie at the end of a piece for its first state again, writing the
-  piece's id; a character without a piece goes round its first state by byte
-  fallback.
+* the lexicon reads normalised characters along a trie of all pieces, from
+  their ends, and leaves the trie where a piece begins for its first state
+  again, writing the piece's id; a character without a piece goes round its
+  first state by byte fallback.
 
 Encoding composes them with the input: the normaliser's output is composed
 with the lexicon into a lattice whose states are a position, a state of the
@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import by_bytes, small_batches
+from .scratch import by_bytes, frugal, small_batches
 
 MARK = "▁"
 #: Paths of stretches up to so many characters are memoised, and so many of them and of borders in a worker.
-MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 120_000, 200_000
+MEMO_CHARS, MEMO_STRETCHES, MEMO_BORDERS = 48, 50_000, 150_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 _INFINITY = float("inf")
@@ -87,25 +87,38 @@ class Normaliser:
 
 
 class Lexicon:
-    """A trie of pieces: ``arcs[state][char]`` is the next state, ``ends[state]`` the id that is written on the way back to state 0, or -1.
+    """A trie of pieces read from their ends: ``arcs[state][char]`` is the next state, ``ends[state]`` the id that is written on the way back to state 0, or -1.
 
-    With ``reverse`` it reads pieces from their ends.
+    Reading backwards gives the arcs that lead into a position, which is what
+    shortest paths of prefixes need.
     """
 
-    def __init__(self, pieces: dict[str, int], reverse: bool = False) -> None:
+    def __init__(self, pieces: dict[str, int]) -> None:
         self.arcs: list[dict[str, int]] = [{}]
         self.ends = [-1]
+        none: dict[str, int] = {}
         for piece, own in pieces.items():
             state = 0
-            for c in piece[::-1] if reverse else piece:
+            for c in reversed(piece):
                 following = self.arcs[state].get(c)
                 if following is None:
+                    if self.arcs[state] is none:
+                        self.arcs[state] = {}
                     following = self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
+                    self.arcs.append(none)  # shared until it has an arc
                     self.ends.append(-1)
                 state = following
             self.ends[state] = own
 
+    def into(self, text: str, end: int) -> list[tuple[int, int]]:
+        """(begin, id) of the arcs that lead into a position, shortest first."""
+        arcs, ends, found, state, at = self.arcs, self.ends, [], 0, end
+        while at and (state := arcs[state].get(text[at - 1])) is not None:
+            at -= 1
+            if ends[state] >= 0:
+                found.append((at, ends[state]))
+        return found
+
 
 class Transducer:
     """A compiled model. ``encode`` and ``decode`` are exact for whole texts."""
@@ -128,7 +141,7 @@ class Transducer:
         self.pieces = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
-        self.lexicon, self.reversed = Lexicon(self.pieces), Lexicon(self.pieces, reverse=True)
+        self.lexicon = Lexicon(self.pieces)
         self.surface = [p.piece.replace(MARK, " ").encode() if p.type == _NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == _BYTE else proto.trainer_spec.unk_surface.encode() if p.type == _UNKNOWN else b"" for p in proto.pieces]
         self.piece_of = {i: p for p, i in self.pieces.items()}
         self.size = len(self.scores)
@@ -213,105 +226,50 @@ class Transducer:
             else:
                 return True
 
-    def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, id) of the arcs that leave a position, shortest first; the id is -1 for a character by fallback."""
-        arcs, ends, n = self.lexicon.arcs, self.lexicon.ends, len(text)
-        state = arcs[0].get(text[at])
-        found = [(at + 1, -1)] if state is None or ends[state] < 0 else []
-        while state is not None:
-            at += 1
-            if ends[state] >= 0:
-                found.append((at, ends[state]))
-            state = arcs[state].get(text[at]) if at < n else None
-        return found
-
     def _path(self, text: str) -> tuple[int, ...]:
-        """Shortest path through the composition of a normalised stretch with the lexicon, as piece ids."""
-        ends = self._finite_path(text) if self.bpe else self._least_path(text)
-        ids: list[int] = []
-        at = 0
-        for end, own in ends:
-            if own >= 0:
-                ids.append(own)
-            else:
-                ids += self._fallback(text[at:end])
-            at = end
-        return tuple(ids)
+        """Shortest path through the composition of a normalised stretch with the lexicon, as piece ids.
 
-    def _least_path(self, text: str) -> list[tuple[int, int]]:
-        """Positions in order are a topological order of the lattice: the least weight of each from those before."""
-        n = len(text)
-        cost, back = [0.0] + [_INFINITY] * n, [(0, -1)] * (n + 1)
-        for at in range(n):
-            for end, own in self._arcs(text, at):
-                weight = cost[at] + (self.unknown_cost if own < 0 else -self.scores[own])
-                if weight < cost[end]:
-                    cost[end], back[end] = weight, (at, own)
-        path, end = [], n
-        while end:
-            at, own = back[end]
-            path.append((end, own))
-            end = at
-        return path[::-1]
-
-    def _finite_path(self, text: str) -> list[tuple[int, int]]:
-        """All finite weights are 0, so the first path that gets to the end is a shortest one: depth first, longest arcs first.
-
-        A position has one finite state, so none is entered twice.
+        Positions in order are a topological order of the lattice: the least
+        weight of each comes from those before.  For BPE, all finite weights
+        are 0, and the first arc that is finite is on the only finite path.
         """
-        n, size, borders, find = len(text), self.size, self.borders, self._arcs
-        path: list[tuple[int, int]] = []
-        entered: set[int] = set()
-        open_arcs: list[list[tuple[int, int]]] = []
-        at, before = 0, -1
-        while True:
-            arcs = find(text, at)
-            while True:
+        n = len(text)
+        cost, last, back = [0.0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)  # the last piece; -1 also after a character by fallback, since nothing merges with it
+        for end in range(1, n + 1):
+            arcs = self.lexicon.into(text, end)
+            if self.bpe:
+                back[end] = end - 1
                 while arcs:
-                    end, own = arcs.pop()
-                    if end in entered:
-                        continue
-                    if own < 0:
-                        break
-                    finite = borders.get(before * size + own)
-                    if self.survives(before, own) if finite is None else finite:
+                    at, own = arcs.pop()
+                    if self.survives(last[at], own):
+                        last[end], back[end] = own, at
                         break
-                else:  # nothing goes on from here
-                    arcs = open_arcs.pop()
-                    path.pop()
-                    before = path[-1][1] if path else -1
-                    continue
-                break
-            path.append((end, own))
-            if end == n:
-                return path
-            entered.add(end)
-            open_arcs.append(arcs)
-            at, before = end, own
+            else:
+                if not arcs or arcs[0][0] < end - 1:
+                    arcs.append((end - 1, -1))
+                cost[end], back[end], last[end] = min((cost[at] - (self.scores[own] if own >= 0 else -self.unknown_cost), at, own) for at, own in arcs)
+        ids: list[int] = []
+        end = n
+        while end:
+            ids += [last[end]] if last[end] >= 0 else self._fallback(text[end - 1])[::-1]
+            end = back[end]
+        return tuple(ids[::-1])
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if self.bytes else [self.unknown]
 
     def _prefix_path(self, text: str) -> tuple[int, ...]:
-        """:meth:`_finite_path` of a short BPE stretch, over the reversed arcs from its end.
+        """:meth:`_path` of a short BPE stretch, for those prefixes only that its own path asks for.
 
-        The first arc into the end, longest first, that is finite after the
-        path of what is before it, is on the only finite path.  Paths of
-        prefixes are memoised: stretches share many.
+        Paths of prefixes are memoised: stretches share many.
         """
         found = self.memo.get(text) or self.older.get(text)
         if found is not None:
             return found
-        arcs, ends = self.reversed.arcs, self.reversed.ends
-        into = []
-        at, state = len(text), 0
-        while at and (state := arcs[state].get(text[at - 1])) is not None:
-            at -= 1
-            if ends[state] >= 0:
-                into.append((at, ends[state]))
+        arcs = self.lexicon.into(text, len(text))
         size, borders = self.size, self.borders
-        while into:
-            at, own = into.pop()
+        while arcs:
+            at, own = arcs.pop()
             before = self._prefix_path(text[:at]) if at else ()
             last = before[-1] if before else -1
             finite = borders.get(last * size + own)
@@ -386,7 +344,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[s
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=[*inner, "ids", "same"])
 
     schema = T.StructType([*_kept_fields(df, names), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("same", T.BooleanType())])
-    rows = df.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    rows = df.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), F.col(text_col).alias("t")).mapInArrow(frugal(run), schema)
     checked = [F.col("same").alias(check)] if check else []
     return rows.select(*(F.col(i).alias(c) for i, c in zip(inner, names)), F.col("ids").alias(out), *checked)
 
@@ -405,4 +363,4 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "token_ids", keep: tup
 
     schema = T.StructType([*_kept_fields(df, names), T.StructField("text", T.StringType())])
     rows = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(ids_col).alias("x"))
-    return rows.mapInArrow(run, schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(out))
+    return rows.mapInArrow(frugal(run), schema).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(out))

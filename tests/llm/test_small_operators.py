@@ -68,8 +68,8 @@ def test_transducer_equals_the_library(library):
         assert model.decode(ids).replace("�", "") == library.decode(ids).replace("�", "")
 
 
-def test_paths_from_both_ends_are_the_same(monkeypatch):
-    """Long stretches go over the lexicon's arcs from the start, short ones from the end."""
+def test_long_and_short_stretches_take_the_same_paths(monkeypatch):
+    """Long stretches take the paths of all their prefixes in order, short ones those that they ask for."""
     model = sentencepiece_fst.Transducer.of(piece_model_path())
     texts = [t for _, t in corpus(21) if t] + ODD
     short = [model.encode(t) for t in texts]
