@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, hard_negatives, langid, linededup, neardup, quality, sentencepiece_fst, sharding, suffix_dedup, token_counts, warc
+from . import collocations, decontam, exact_dedup, hard_negatives, langid, linededup, neardup, quality, sentencepiece_fst, sharding, suffix_dedup, token_counts, warc
 from .scratch import new_folder
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -92,6 +92,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 #: Every window of every item against every stretch of as many document words.
@@ -280,6 +285,38 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM d WINDOW same AS (PARTITION BY t)
 """
 
+#: Every stretch of one to five words, counted.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)
+), u AS (
+  SELECT lang, id, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM p
+), v AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)
+), f AS (
+  SELECT lang, [w1] AS g, count(*) AS n FROM v GROUP BY lang, w1 UNION ALL SELECT lang, [w1, w2], count(*) FROM v WHERE w2 IS NOT NULL GROUP BY lang, w1, w2
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM v WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM v WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5], count(*) FROM v WHERE w5 IS NOT NULL GROUP BY lang, w1, w2, w3, w4, w5
+), total AS (
+  SELECT lang, sum(n) AS n FROM f WHERE len(g) = 1 GROUP BY lang
+), c AS (
+  SELECT lang, g, n AS a FROM f WHERE len(g) > 1 AND n >= 100
+), inner_part AS (
+  SELECT lang, g[i : i + k - 1] AS g, max(a) AS above FROM (SELECT lang, g, a, unnest(range(1, len(g) + 1)) AS i FROM c), range(2, 5) r(k) WHERE k < len(g) AND i + k - 1 <= len(g) GROUP BY ALL
+), cut AS (
+  SELECT c.lang, c.g, c.a, k, l.n AS l, r.n AS r, (1000::HUGEINT * c.a * total.n) // (l.n::HUGEINT * r.n) AS score
+  FROM c JOIN range(1, 5) q(k) ON k < len(c.g) JOIN f l ON l.lang = c.lang AND l.g = c.g[:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1 :] JOIN total ON total.lang = c.lang
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), x AS (
+  SELECT low.lang, array_to_string(low.g, ' ') AS phrase, low.a, low.l, low.r, total.n::BIGINT AS n, low.score::BIGINT AS score
+  FROM low JOIN total ON total.lang = low.lang LEFT JOIN inner_part i ON i.lang = low.lang AND i.g = low.g WHERE i.above IS NULL OR 100 * i.above < 100 * low.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM x QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op4_suffix_dedup": OP4_SQL,
@@ -289,4 +326,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": OP8_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
