@@ -3,7 +3,8 @@
 Texts are tokenised once, into chunks of one language with a vocabulary of their own.
 Words are named by hashes that are checked to differ.  Candidates grow by a word a
 round: a phrase is one if both its parts of one word less are and all that share its hash
-reach the least count together, so no frequent phrase is lost.  Then the candidates
+reach the least count together, so no frequent phrase is lost.  The first chunk that
+has a candidate gives its words.  Then the candidates
 get a minimal perfect hash with the words of each stored by slot; mappers add up numpy
 arrays of counts by slot, a tree of sums adds these, and the counts of a phrase and of
 both parts of each cut are read by slot.
@@ -34,6 +35,8 @@ UNKNOWN = "und"
 SLICE_BYTES, CHUNK_WORDS = 2 << 20, 1 << 20
 #: Bits of a round's filter (a hash's highest ones give its place), candidates of one perfect hash, slots of a row of counts.
 BITS, GROUP_KEYS, BLOCK_SLOTS = 26, 1 << 20, 1 << 16
+#: The block that tells of phrases with the hash of another.
+CLASHED = -1
 
 _END = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r", LOWER.encode() + _END * 10)
@@ -144,41 +147,42 @@ def _phrases(ids: np.ndarray, codes: np.ndarray, filters: list[np.ndarray], long
             return
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``chunk, ids, codes`` of each row; a chunk has a word at least."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            codes = np.frombuffer(batch.column("codes")[i].as_buffer(), np.int32)
-            if len(ids):
-                yield ids, codes
+        for chunk, ids, codes in zip(batch.column("chunk"), batch.column("ids"), batch.column("codes")):
+            yield chunk.as_py(), ids.values.to_numpy(zero_copy_only=False).view(np.uint64), np.frombuffer(codes.as_buffer(), np.int32)
 
 
 def _totals(filters, size: int):
     """How often each hash of phrases of ``size`` words occurs in a chunk."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, codes in _chunks(batches):
+        for chunk, ids, codes in _numbered(batches):
             for found, _, hashes in _phrases(ids, codes, filters.value, size):
                 if found == size:
                     distinct, n = np.unique(hashes, return_counts=True)
-                    yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(n)], ["hash", "n"])
+                    yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(n), pa.array(np.full(len(n), chunk))], ["hash", "n", "chunk"])
 
     return frugal(run)
 
 
 def _worded(filters, longest: int):
-    """The words' hashes of each candidate, once a task."""
+    """The words' hashes of each candidate that is asked of a chunk, which is one that has it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.zeros(0, np.uint64)
-        for ids, codes in _chunks(batches):
-            for size, starts, hashes in _phrases(ids, codes, filters.value, longest):
-                distinct, first = np.unique(hashes, return_index=True)
-                new = ~np.isin(distinct, known, assume_unique=True)
-                known = np.union1d(known, distinct[new])
-                words = ids[codes[starts[first[new]][:, None] + np.arange(size)]].view(np.int64)
-                keys = pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32) * size, words.ravel())
-                yield pa.record_batch([pa.array(distinct[new].view(np.int64)), keys], ["hash", "key"])
+        for batch in batches:
+            for row, (_, ids, codes) in enumerate(_numbered([batch])):
+                asked = np.unique(batch.column("asked")[row].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                for size, starts, hashes in _phrases(ids, codes, filters.value, longest):
+                    wanted = np.isin(hashes, asked)
+                    starts, hashes = starts[wanted], hashes[wanted]
+                    keys = np.unique(ids[codes[starts[:, None] + np.arange(size)]].view(np.int64).reshape(-1, size), axis=0)
+                    out = keys.view(np.uint64)[:, 0]
+                    for i in range(1, size):
+                        out = longer(out, keys.view(np.uint64)[:, i])
+                    lists = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * size, keys.ravel())
+                    yield pa.record_batch([pa.array(out.view(np.int64)), lists], ["hash", "key"])
 
     return frugal(run)
 
@@ -229,7 +233,10 @@ class Slots:
         self.hash = PerfectHash(hashes)
         self.sizes = np.zeros(len(hashes), np.int8)
         self.words = np.zeros((len(hashes), longest), np.uint64)
+        self.hashes = np.zeros(len(hashes), np.uint64)
+        self.clashes = 0  # other phrases met that have the hash of one stored
         slots = self.hash.slots(hashes)
+        self.hashes[slots] = hashes
         sizes = np.array([len(k) for k in keys], np.int64)
         self.sizes[slots] = sizes
         for size in np.unique(sizes):
@@ -241,6 +248,7 @@ class Slots:
         out = self.hash.slots(hashes)
         rows = np.flatnonzero(out >= 0)
         same = (self.sizes[out[rows]] == size) & (self.words[out[rows], :size] == words(rows)).all(axis=1)
+        self.clashes += int((~same & (self.hashes[out[rows]] == hashes[rows])).sum())
         out[rows[~same]] = -1
         return out
 
@@ -251,15 +259,18 @@ def _counted(filters, slots, longest: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Slots = slots.value
         counts = np.zeros(table.hash.size, np.int64)
+        table.clashes = 0
 
         def add(found: np.ndarray) -> None:
             counts[:] += np.bincount(found[found >= 0], minlength=len(counts))
 
-        for ids, codes in _chunks(batches):
+        for _, ids, codes in _numbered(batches):
             single = table.find(ids, lambda rows: ids[rows][:, None], 1)
             add(single[codes[codes >= 0]])
             for size, starts, hashes in _phrases(ids, codes, filters.value, longest):
                 add(table.find(hashes, lambda rows: ids[codes[starts[rows][:, None] + np.arange(size)]], size))
+        if table.clashes:
+            yield pa.record_batch([pa.array([CLASHED], pa.int32()), pa.array([np.int64(table.clashes).tobytes()])], ["block", "counts"])
         for block in range(0, len(counts), BLOCK_SLOTS):
             part = counts[block : block + BLOCK_SLOTS]
             if part.any():
@@ -313,25 +324,29 @@ def _unique(df: DataFrame, column: str) -> bool:
 
 
 def _group_counts(spark: SparkSession, chunks: DataFrame, keys: DataFrame, filters, longest: int):
-    """The slots of ``keys``, which fit one perfect hash, and how often each occurs, for all tasks."""
+    """The slots of ``keys``, which fit one perfect hash, and how often each occurs, for all tasks; None if another phrase has the hash of one."""
     own = keys.toArrow()
     table = Slots(own["hash"].to_numpy().view(np.uint64), [np.array(k, np.int64) for k in own["key"].to_pylist()], longest)
     sent = spark.sparkContext.broadcast(table)
-    parts = chunks.select("ids", "codes").mapInArrow(_counted(filters, sent, longest), "block int, counts binary")
+    parts = chunks.select("chunk", "ids", "codes").mapInArrow(_counted(filters, sent, longest), "block int, counts binary")
     branches = max(1, int(chunks.rdd.getNumPartitions() ** 0.5))
     first = parts.withColumn("branch", F.spark_partition_id() % branches).groupBy("block", "branch").applyInArrow(_summed, "block int, counts binary")
     total = np.zeros(table.hash.size, np.int64)
-    for block, counts in first.groupBy("block").applyInArrow(_summed, "block int, counts binary").collect():  # GROUP_KEYS numbers in all
-        total[block * BLOCK_SLOTS : block * BLOCK_SLOTS + len(counts) // 8] = np.frombuffer(counts, np.int64)
+    found = first.groupBy("block").applyInArrow(_summed, "block int, counts binary").collect()  # GROUP_KEYS numbers in all
     sent.unpersist()
+    if any(block == CLASHED for block, _ in found):
+        return None
+    for block, counts in found:
+        total[block * BLOCK_SLOTS : block * BLOCK_SLOTS + len(counts) // 8] = np.frombuffer(counts, np.int64)
     return spark.sparkContext.broadcast((table, total))
 
 
 def _stored_chunks(chunks: DataFrame) -> DataFrame:
     """As :func:`stored`, in row groups of few rows: a reader holds a whole one, and a row takes some MB."""
     path = new_folder(chunks.sparkSession, "chunks")
+    chunks = chunks.withColumn("chunk", F.monotonically_increasing_id())
     chunks.write.options(**{"parquet.block.row.count.limit": "4", "parquet.page.size.row.check.min": "1"}).parquet(path)
-    return chunks.sparkSession.read.schema(_CHUNK).parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int, lang_col: str, text_col: str, slice_bytes: int = SLICE_BYTES, chunk_words: int = CHUNK_WORDS, group_keys: int = GROUP_KEYS, seeds: Iterable[int] = itertools.count()) -> tuple[DataFrame, DataFrame]:
@@ -350,21 +365,24 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, lang_col: str, text
         bitmaps, candidates = [_filter(often)], []
         for size in range(2, longest + 1):
             sent = spark.sparkContext.broadcast(bitmaps)
-            totals = chunks.select("ids", "codes").mapInArrow(_totals(sent, size), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-            candidates.append(stored(totals.filter(F.col("n") >= least).select("hash"), f"phrases-{size}"))
+            totals = chunks.select("chunk", "ids", "codes").mapInArrow(_totals(sent, size), "hash long, n long, chunk long").groupBy("hash").agg(F.sum("n").alias("n"), F.min("chunk").alias("chunk"))
+            candidates.append(stored(totals.filter(F.col("n") >= least).select("hash", "chunk"), f"phrases-{size}"))
             sent.unpersist()
             bitmaps.append(_filter(candidates[-1]))
         filters = spark.sparkContext.broadcast(bitmaps)
-        found = chunks.select("ids", "codes").mapInArrow(_worded(filters, longest), "hash long, key array<long>").distinct()
-        hashes = candidates[0]
+        every = candidates[0]
         for more in candidates[1:]:
-            hashes = hashes.union(more)
-        keys = stored(found.join(small(hashes.distinct()), "hash", "left_semi").union(often), "phrases")
+            every = every.union(more)
+        asked = stored(every.groupBy("chunk").agg(F.collect_list("hash").alias("asked")), "phrases-asked")  # a chunk's own phrases
+        found = chunks.select("chunk", "ids", "codes").join(small(asked), "chunk").mapInArrow(_worded(filters, longest), "hash long, key array<long>")
+        keys = stored(found.distinct().union(often), "phrases")
+        own = [None]
         if _unique(keys, "hash"):
+            groups = -(-max(1, keys.count()) // group_keys)
+            own = [_group_counts(spark, chunks, keys.filter(F.pmod("hash", F.lit(groups)) == g), filters, longest) for g in range(groups)]
+        if None not in own:
             break
         forget(chunks, words, keys)
-    groups = -(-max(1, keys.count()) // group_keys)
-    own = [_group_counts(spark, chunks, keys.filter(F.pmod("hash", F.lit(groups)) == g), filters, longest) for g in range(groups)]
     parts = [keys.mapInArrow(_cut_counts(table, longest), "hash long, key array<long>, c array<long>") for table in own]
     found = parts[0]
     for part in parts[1:]:

@@ -66,8 +66,10 @@ def test_clashing_words_are_hashed_anew(spark, monkeypatch):
     asked = []
     unique = co._unique
     monkeypatch.setattr(co, "_unique", lambda df, c: asked.append(c) or (len(asked) > 2 and unique(df, c)))
+    counts, clashed = co._group_counts, [1]
+    monkeypatch.setattr(co, "_group_counts", lambda *a: None if clashed and clashed.pop() else counts(*a))
     assert answer(co.collocations(frame(spark, rows), 3)) == brute(rows, 3)
-    assert asked == ["id", "id", "id", "hash"]
+    assert asked == ["id", "id", "id", "hash", "id", "hash"]
 
 
 def test_empty_tables_and_scores_beyond_64_bits(spark):
@@ -86,4 +88,6 @@ def test_perfect_hash_has_a_slot_for_each_and_tells_others_apart():
     table = co.Slots(hashes[:500], list(words), 3)
     assert (table.find(hashes[:500], lambda rows: words.view(np.uint64)[rows], 2) >= 0).all()
     assert (table.find(hashes[:500], lambda rows: words.view(np.uint64)[rows][:, ::-1], 2) < 0).all()
+    assert table.clashes == 500  # other words under a hash that is stored
     assert (table.find(hashes[500:], lambda rows: np.zeros((len(rows), 2), np.uint64), 2) < 0).all()
+    assert table.clashes == 500
