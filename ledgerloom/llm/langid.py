@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .scratch import by_bytes, frugal, small_batches
 
@@ -80,19 +81,32 @@ class LanguageModel:
         return names, sure
 
 
+#: How many times its rows a language keeps before they are ranked.
+SLACK = 8
+
+
 def sample_rows(labelled: DataFrame, per_language: int, in_all: int) -> DataFrame:
-    """About ``per_language`` rows of each language, fewer where ``in_all`` would be passed, by hash.
+    """``rec_id, text, lang, h``: of each language the ``per_language`` rows with the least hashes ``h``, or all, if fewer; fewer where ``in_all`` would be passed.
 
-    The share of each language follows from a count over all labelled rows, so
-    a rare language is taken whole and a hot one thinned.
+    The hash is that of the row's id and text, so rows of one id, or none, are
+    told apart; rows equal in both may fill a language's share only if it has
+    no others.  A threshold that follows from counts over all labelled rows
+    thins each language before its rows are ranked; where too few pass it, all
+    of the language's rows are ranked.
     """
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("n", "lang").collect()  # a row a language
+    spread = F.pmod(F.xxhash64(F.lit(7), "rec_id", "text"), F.lit(1_000_000)) / 1_000_000
+    labelled = labelled.select("rec_id", "text", "lang", F.xxhash64("rec_id", "text").alias("h"), spread.alias("spread"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
-        return labelled.limit(0)
-    per_language = min(per_language, in_all / 2 / len(counts))
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, per_language / r.n))))
-    spread = F.pmod(F.xxhash64("rec_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    return labelled.filter(spread < share[F.col("lang")]).limit(in_all)
+        return labelled.drop("spread").limit(0)
+    most = max(1, min(per_language, in_all // len(counts)))
+    by_language = lambda found: F.create_map(*(F.lit(x) for pair in found.items() for x in pair))[F.col("lang")]
+    share = {lang: min(1.0, SLACK * most / n) for lang, n in counts.items()}
+    passing = {r.lang: r.n for r in labelled.filter(F.col("spread") < by_language(share)).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share |= {lang: 2.0 for lang, n in counts.items() if passing.get(lang, 0) < min(n, most)}
+    place = F.row_number().over(W.partitionBy("lang").orderBy("spread", "h", "rec_id"))
+    ranked = labelled.filter(F.col("spread") < by_language(share)).withColumn("place", place)
+    return ranked.filter(F.col("place") <= most).select("rec_id", "text", "lang", "h")
 
 
 def _unit_rows(packed: np.ndarray) -> np.ndarray:
@@ -110,7 +124,7 @@ def fit(
 ) -> LanguageModel:
     """Learn from ``rec_id, text, lang`` (rows with a null in text or lang are ignored).
 
-    The bounds: about ``per_language`` rows a language are used, ``in_all``
+    The bounds: ``per_language`` rows a language are used, ``in_all``
     at most, and of these ``landmarks`` in all are landmarks.  What comes to the driver is a packed
     presence vector for each (BUCKETS / 8 bytes), never a text.
     """
@@ -125,7 +139,7 @@ def fit(
                 packed.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["h", "lang", "bits"])
 
-    rows = sample_rows(labelled, per_language, in_all).select(F.xxhash64("rec_id").alias("h"), "lang", "text")
+    rows = sample_rows(labelled, per_language, in_all).select("h", "lang", "text")
     found = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.mapInArrow(frugal(vectors), "h long, lang string, bits binary").collect())
     languages = sorted({r[0] for r in found})
     if not languages:

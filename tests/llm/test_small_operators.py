@@ -277,6 +277,21 @@ def test_quantile_sketches_merge_and_are_exact(spark):
     assert (low, mid) == (group[-(-len(group) // 10) - 1], group[-(-len(group) // 2) - 1])
 
 
+@pytest.mark.parametrize("shared", [None, 4, 5, 6])
+def test_no_language_is_lost_where_its_rows_share_an_id(spark, shared):
+    """Six hundred different texts of one language under one id, or none, beside others with ids of their own."""
+    rng = random.Random(12)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(20))
+    rows = [(i, text("abcdefgh"), "aa") for i in range(600)] + [(shared, text("äöüxyzvw"), "bb") for _ in range(600)] + [(700, "same same same", "cc")] * 300
+    df = spark.createDataFrame(rows, "rec_id long, text string, lang string").repartition(3)
+    found = langid.sample_rows(df, 50, 8000).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in found} == {"aa": 50, "bb": 50, "cc": 50}
+    assert langid.sample_rows(df, 50, 90).count() == 90
+    model = langid.fit(df, per_language=50, landmarks=60)
+    names, _ = model.predict([text("äöüxyzvw"), text("abcdefgh"), "same same"])
+    assert names == ["bb", "aa", "cc"]
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(10)
     letters = {"aa": "abcdefgh", "bb": "cdefghij", "cc": "äöüabcde"}
