@@ -1,26 +1,36 @@
 """Records inside arbitrary JSON: finding them, picking fields by name hints, and normalising to fixed schemas.
 
 Finding the first record array depends on the order of keys, duplicates and
-the kinds of values, which SQL functions on JSON don't keep, so that step is a
-pandas UDF.  All that follows is column expressions.
+the kinds of values, which SQL functions on JSON don't keep.  So that step reads
+the text in Python, but builds no value but one record at a time: records leave as rows
+in Arrow batches of bounded size, however large the body.  ``json_records`` is
+the same as a table function for SQL.  All that follows is column expressions.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from json.decoder import scanstring
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom import schemas
 from ledgerloom.functions.scalars import guess_type, mask_number, to_iso_date, to_number
+from ledgerloom.functions.urls import is_auth_rejection
 
 _ENTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "kind", "val")])
-_ENTRIES = T.ArrayType(T.ArrayType(_ENTRY))
+_RECORD = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("record", T.ArrayType(_ENTRY))])
+#: Records and characters after which a batch is handed on.
+BATCH_RECORDS, BATCH_CHARS = 4096, 4 << 20
+#: Why a response gives no account.
+REJECTED, FAILED, NOT_JSON, NO_RECORDS = "rejected", "failed", "not_json", "no_records"
 _INDEX = re.compile(r"0|[1-9][0-9]{0,9}")
 
 
@@ -35,30 +45,86 @@ def _no_constant(name: str) -> object:
     raise ValueError(name)
 
 
-def parse_json(text: str | None) -> object:
-    """Parsed JSON, or None for null and for what isn't JSON."""
+_WHOLE = json.JSONDecoder(object_pairs_hook=_ordered, parse_constant=_no_constant)
+_SKIP = json.JSONDecoder(object_pairs_hook=lambda pairs: None, parse_constant=_no_constant)  # checks a value and keeps no object of it
+_BLANKS = re.compile(r"[ \t\n\r]*")
+
+
+def _after(text: str, at: int) -> int:
+    return _BLANKS.match(text, at).end()
+
+
+def _next(text: str, at: int) -> int:
+    """Past a value's end: where the next element or member begins, or the closing bracket."""
+    at = _after(text, at)
+    return _after(text, at + 1) if text[at] == "," else at
+
+
+def _elements(text: str, at: int) -> list[int]:
+    """Where the elements of the array at ``at`` begin."""
+    found, at = [], _after(text, at + 1)
+    while text[at] != "]":
+        found.append(at)
+        at = _next(text, _SKIP.raw_decode(text, at)[1])
+    return found
+
+
+def _members(text: str, at: int) -> list[int]:
+    """Where the values of the object at ``at`` begin, in the order of :func:`_ordered`."""
+    found, at = [], _after(text, at + 1)
+    while text[at] != "}":
+        key, at = scanstring(text, at + 1, True)
+        at = _after(text, _after(text, at) + 1)
+        found.append((key, at))
+        at = _next(text, _SKIP.raw_decode(text, at)[1])
+    return list(_ordered(found).values())
+
+
+def json_start(text: str | None) -> int | None:
+    """Where the value of a JSON text begins; None for null and for what isn't JSON."""
     if text is None:
         return None
     try:
-        return json.loads(text, object_pairs_hook=_ordered, parse_constant=_no_constant)
+        start = _after(text, 0)
+        end = _SKIP.raw_decode(text, start)[1]
+        return start if _after(text, end) == len(text) else None
     except (ValueError, RecursionError):
         return None
 
 
-def first_records(body: object) -> list | None:
-    """The first array whose elements are all objects or arrays, depth first in key order.
+def find_records(text: str, start: int) -> int | None:
+    """Where the first array begins whose elements are all objects or arrays, depth first in key order.
 
-    Below the top an empty array doesn't count.
+    ``text`` is JSON from ``start`` on.  Below the top an empty array doesn't count.
     """
-    if isinstance(body, list) and all(isinstance(x, (dict, list)) for x in body):
-        return body
-    for value in body.values() if isinstance(body, dict) else body if isinstance(body, list) else ():
-        found = first_records(value)
-        if found:
-            return found
+    left = [iter([start])]
+    while left:
+        at = next(left[-1], None)
+        if at is None:
+            left.pop()
+        elif text[at] == "{":
+            left.append(iter(_members(text, at)))
+        elif text[at] == "[":
+            inner = _elements(text, at)
+            if all(text[i] in "[{" for i in inner) and (inner or at == start):
+                return at
+            left.append(iter(inner))
     return None
 
 
+def records_of(text: str | None) -> Iterator[dict | list]:
+    """The records of a JSON text, one after the other; none if it has none or isn't JSON."""
+    start = json_start(text)
+    at = None if start is None else find_records(text, start)
+    if at is None:
+        return
+    at = _after(text, at + 1)
+    while text[at] != "]":
+        record, at = _WHOLE.raw_decode(text, at)
+        yield record
+        at = _next(text, at)
+
+
 def _number(value: float) -> str:
     """A double as text: the shortest digits, exponents from 1e21 and below 1e-6."""
     value = float(value)
@@ -94,11 +160,27 @@ def _entries(record: dict | list) -> list[dict[str, str | None]]:
     return [_entry(k, v) for k, v in items]
 
 
-@F.pandas_udf(_ENTRIES)
-def record_entries(body: pd.Series) -> pd.Series:
-    """Entries (key, kind, text) of the records in a JSON text; null if there are none to find."""
-    found = (first_records(parse_json(x)) for x in body)
-    return pd.Series([None if r is None else [_entries(x) for x in r] for r in found])
+@F.udtf(returnType=_RECORD)
+class JsonRecords:
+    """``ordinal`` (from 0) and ``record``: the entries (key, kind, text) of each record of a JSON text."""
+
+    def eval(self, body: str | None) -> Iterator[tuple]:
+        for i, record in enumerate(records_of(body)):
+            yield i, [tuple(e.values()) for e in _entries(record)]
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``json_records(body)`` known to SQL: ``SELECT ... FROM t, LATERAL json_records(t.body)``."""
+    spark.udtf.register("json_records", JsonRecords)
+
+
+def _head(text: str | None) -> tuple[str | None, list[str] | None]:
+    """What :func:`record_head` gives for one body."""
+    first = list(itertools.islice(records_of(text), 3))
+    start = None if first else json_start(text)
+    parsed = first if first else None if start is None else _WHOLE.raw_decode(text, start)[0]
+    sample = None if parsed is None else json.dumps(parsed, ensure_ascii=False, separators=(",", ":"))
+    return sample, None if not first else list(first[0]) if isinstance(first[0], dict) else [str(i) for i in range(len(first[0]))]
 
 
 @F.pandas_udf(T.StructType([T.StructField("sample", T.StringType()), T.StructField("keys", T.ArrayType(T.StringType()))]))
@@ -107,13 +189,7 @@ def record_head(body: pd.Series) -> pd.DataFrame:
 
     Both are null for a null body.
     """
-    samples, keys = [], []
-    for x in body:
-        parsed = parse_json(x)
-        found = first_records(parsed)
-        samples.append(None if parsed is None else json.dumps(parsed if found is None else found[:3], ensure_ascii=False, separators=(",", ":")))
-        first = found[0] if found else None
-        keys.append(None if first is None else list(first) if isinstance(first, dict) else [str(i) for i in range(len(first))])
+    samples, keys = zip(*map(_head, body)) if len(body) else ((), ())
     return pd.DataFrame({"sample": pd.Series(samples, dtype=object), "keys": pd.Series(keys, dtype=object)})
 
 
@@ -140,9 +216,48 @@ def entry_number(entry: Column) -> Column:
     return F.when(entry["kind"] == "number", entry["val"].try_cast("double")).when(entry["kind"] == "string", to_number(entry["val"])).otherwise(F.lit(0.0))
 
 
+def _record_batches(kept: Sequence[str], body_col: str, problems: bool):
+    """Arrow batches with the columns ``kept``, ``ordinal`` and ``record``, a row a record; with ``problems`` a row besides for each body without any."""
+    kind = pa.list_(pa.struct([(c, pa.string()) for c in ("key", "kind", "val")]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = batch.select(kept)
+            rows, ordinals, found, held = [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                columns = [*others.take(pa.array(rows, pa.int64())).columns, pa.array(ordinals, pa.int32()), pa.array(found, kind)]
+                if not problems:
+                    return pa.record_batch(columns, [*kept, "ordinal", "record"])
+                missing = pa.array([None if r is not None else NOT_JSON if o else NO_RECORDS for o, r in zip(ordinals, found)], pa.string())
+                columns[-2] = pa.array([None if r is None else o for o, r in zip(ordinals, found)], pa.int32())
+                return pa.record_batch([*columns, missing], [*kept, "ordinal", "record", "problem"])
+
+            for row, body in enumerate(batch.column(batch.schema.get_field_index(body_col))):
+                text = body.as_py()
+                if problems and next(records_of(text), None) is None:
+                    rows.append(row)
+                    ordinals.append(int(json_start(text) is None))
+                    found.append(None)
+                for i, record in enumerate(records_of(text)):
+                    entries = _entries(record)
+                    rows.append(row)
+                    ordinals.append(i)
+                    found.append(entries)
+                    held += sum(len(e["key"]) + len(e["val"] or "") for e in entries)
+                    if len(rows) >= BATCH_RECORDS or held >= BATCH_CHARS:
+                        yield flush()
+                        rows, ordinals, found, held = [], [], [], 0
+            if rows:
+                yield flush()
+
+    return run
+
+
 def explode_records(df: DataFrame, body_col: str) -> DataFrame:
-    """All columns and ``ordinal`` (from 0), ``record`` for each record of each body."""
-    return df.select("*", F.posexplode(record_entries(F.col(body_col))).alias("ordinal", "record"))
+    """All columns but the body, and ``ordinal`` (from 0), ``record`` for each record of each body."""
+    kept = [c for c in df.columns if c != body_col]
+    return df.mapInArrow(_record_batches(kept, body_col, False), T.StructType([*(df.schema[c] for c in kept), *_RECORD]))
 
 
 def normalize_accounts(df: DataFrame, body_col: str = "body", keep: Sequence[str] = ()) -> DataFrame:
@@ -151,7 +266,11 @@ def normalize_accounts(df: DataFrame, body_col: str = "body", keep: Sequence[str
     A null balance drops the record; one that is no number is 0.  A name that
     is there but null isn't looked for under another key.
     """
-    rows = explode_records(df.select(*keep, body_col), body_col)
+    return _accounts(explode_records(df.select(*keep, body_col), body_col), keep)
+
+
+def _accounts(rows: DataFrame, keep: Sequence[str], anyway: Column | None = None) -> DataFrame:
+    """Accounts of exploded records; rows for which ``anyway`` holds stay without a balance."""
     at = F.col("ordinal")
     name, number, balance = (pick(F.col("record"), k) for k in (schemas.NAME_KEYS, schemas.NUMBER_KEYS, schemas.BALANCE_KEYS))
     rows = rows.select(
@@ -160,7 +279,8 @@ def normalize_accounts(df: DataFrame, body_col: str = "body", keep: Sequence[str
         F.coalesce(number["val"], F.lit("")).alias("full"),
         pick(F.col("record"), ("id",))["val"].alias("own_id"), balance.alias("entry"),
     )
-    return rows.filter(F.col("entry.val").isNotNull()).select(
+    has_balance = F.col("entry.val").isNotNull()
+    return rows.filter(has_balance if anyway is None else has_balance | anyway).select(
         *keep, "ordinal",
         F.when(F.col("full") != "", F.col("full")).otherwise(F.coalesce("own_id", F.concat(F.lit("acct-"), at + 1))).alias("id"),
         "name", guess_type(F.col("name")).alias("type"), mask_number(F.col("full")).alias("number"),
@@ -168,6 +288,25 @@ def normalize_accounts(df: DataFrame, body_col: str = "body", keep: Sequence[str
     )
 
 
+def scan_accounts(responses: DataFrame, keep: Sequence[str] = ("seq",)) -> DataFrame:
+    """Accounts of whole responses (``url, status, body`` and ``keep``), a row each, and a row with ``problem`` for a response that has none.
+
+    The first that holds of: ``rejected`` (asked to log in), ``failed`` (no
+    success), ``not_json``, ``no_records``.  The account's fields are null then.  Records
+    without a balance are passed over, as :func:`normalize_accounts` does.
+    """
+    status = F.coalesce(F.col("status"), F.lit(0))
+    refused = F.when(is_auth_rejection(status, F.col("url")), REJECTED).when(~status.between(200, 299), FAILED)
+    judged = responses.select(*keep, "body", refused.alias("refused"))
+    bad = judged.filter(F.col("refused").isNotNull()).select(*keep, F.col("refused").alias("problem"))
+    good = judged.filter(F.col("refused").isNull()).select(*keep, "body")
+    schema = T.StructType([*(good.schema[c] for c in keep), *_RECORD, T.StructField("problem", T.StringType())])
+    parsed = good.mapInArrow(_record_batches(list(keep), "body", True), schema)
+    found = _accounts(parsed, [*keep, "problem"], F.col("problem").isNotNull())
+    sound = found.withColumns({c: F.when(F.col("problem").isNull(), F.col(c)) for c in ("id", "name", "type", "number", "balance")})
+    return sound.unionByName(bad, allowMissingColumns=True)
+
+
 def normalize_transactions(df: DataFrame, account_id: Column, body_col: str = "body", keep: Sequence[str] = (), id_offset: Column | None = None) -> DataFrame:
     """``keep``, ``ordinal`` and the fields of a transaction for each record with an amount, a null one counting as 0.
 
@@ -175,16 +314,24 @@ def normalize_transactions(df: DataFrame, account_id: Column, body_col: str = "b
     """
     offset = F.lit(0) if id_offset is None else id_offset
     rows = explode_records(df.select(*keep, body_col, account_id.alias("accountId"), offset.alias("id_offset")), body_col)
+    found = transaction_fields(rows, [*keep, "accountId", "id_offset"])
+    return found.select(*keep, "ordinal", synthetic_id(F.col("own_id"), F.col("id_offset"), F.col("ordinal")).alias("id"), "accountId", "date", "description", "amount")
+
+
+def transaction_fields(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep, ordinal, own_id, date, description, amount`` of the exploded records that have an amount."""
     own_id, amount, date, name = (pick(F.col("record"), k) for k in (schemas.TRANSACTION_ID_KEYS, schemas.AMOUNT_KEYS, schemas.DATE_KEYS, schemas.NAME_KEYS))
-    rows = rows.withColumn("entry", amount).filter(F.col("entry").isNotNull())
-    return rows.select(
-        *keep, "ordinal",
-        F.coalesce(own_id["val"], F.concat(F.lit("tx-"), F.col("id_offset") + F.col("ordinal") + 1)).alias("id"),
-        "accountId", to_iso_date(date["val"]).alias("date"), F.coalesce(name["val"], F.lit("—")).alias("description"),
+    return rows.withColumn("entry", amount).filter(F.col("entry").isNotNull()).select(
+        *keep, "ordinal", own_id["val"].alias("own_id"), to_iso_date(date["val"]).alias("date"), F.coalesce(name["val"], F.lit("—")).alias("description"),
         F.struct(entry_number(F.col("entry")).alias("amount"), F.lit(schemas.DEFAULT_CURRENCY).alias("currency")).alias("amount"),
     )
 
 
+def synthetic_id(own_id: Column, offset: Column, ordinal: Column) -> Column:
+    """A record's own id, or ``tx-`` and its number from 1: its place after the ``offset`` records before its page."""
+    return F.coalesce(own_id, F.concat(F.lit("tx-"), offset + ordinal + 1))
+
+
 def project_account(text: Column) -> Column:
     """An account's JSON as a struct of its declared fields and ``problem``: unknown keys go and a missing currency is the default.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,9 @@ from ledgerloom.functions import urls as U
 from ledgerloom.operators import paging, records, summary
 from ledgerloom.plans import service
 from ledgerloom.schemas import AMOUNT_KEYS
-from ledgerloom.sources import mock
-from ledgerloom.sources.shared import shared_dir
-from ledgerloom.streaming import capture
+from ledgerloom.sources import bodies, response_log
+from ledgerloom.sources.shared import delete_folders, work_folder
+from ledgerloom.streaming import capture, session
 
 from .views import account_payloads, account_texts, accounts, replayed_pages, responses, table, transaction_payloads, transactions
 
@@ -92,7 +92,13 @@ def tx_account_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, date FROM (SELECT *, row_number() OVER (ORDER BY date, seq) AS rn FROM ({_TRANSACTIONS})) WHERE rn > 300 AND rn <= 400")
 def tx_page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paging.page_slice(transactions(spark, sf_dir), ["date", "seq"], 3, 100).select("id", "date")
+    return paging.page_slice(transactions(spark, sf_dir), ["date", "seq"], 3, 100, few=1000).select("id", "date")
+
+
+@query(f"SELECT id, date FROM (SELECT *, row_number() OVER (ORDER BY date, seq) AS rn FROM ({_TRANSACTIONS})) WHERE rn > 1200 AND rn <= 1300")
+def tx_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page, whose rows are found by counts."""
+    return paging.page_slice(transactions(spark, sf_dir), ["date", "seq"], 12, 100, few=400).select("id", "date")
 
 
 @query(f"SELECT date, left(description, 40) AS description, {_money_sql('amount', chr(39) + 'COP' + chr(39))} AS amount FROM ({_TRANSACTIONS})")
@@ -254,6 +260,17 @@ def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.walk_pages(_line_pages(spark, sf_dir), ["l_orderkey"], page_size=1, max_pages=5)
 
 
+@query(f"SELECT count(DISTINCT l_orderkey) AS walks, count(DISTINCT l_orderkey) FILTER (truncated) AS truncated_walks, count(*) AS pages FROM ({ORACLE_SQL['page_walk']})")
+def truncated_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the caller of a walk learns of those that ended at their cap, from the metrics of the action that ran it."""
+    watch = paging.TruncationWatch()
+    watch.pages(page_walk(spark, sf_dir)).write.format("noop").mode("overwrite").save()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", paging.TruncationWarning)
+        seen = watch.report()
+    return spark.createDataFrame([(seen["walks"], seen["truncated_walks"], seen["pages"])], "walks long, truncated_walks long, pages long")
+
+
 @query("""WITH r AS (SELECT user_id, event_id, event_id // 40 AS page, event_id % 40 AS pos, event_id % 3 <> 0 AS kept, CASE WHEN event_id % 5 = 0 THEN event_id::VARCHAR END AS own FROM events),
 c AS (SELECT user_id, page, sum(kept::INT) AS n FROM r GROUP BY ALL), o AS (SELECT user_id, page, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c)
 SELECT event_id, coalesce(own, 'tx-' || (before + pos + 1)) AS tx_id FROM r JOIN o USING (user_id, page) WHERE kept""")
@@ -274,6 +291,19 @@ def json_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", entry["val"].alias("val"), entry["val"].isNotNull().alias("found"))
 
 
+@query(ORACLE_SQL["json_pick"])
+def shredded_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pick of json_pick from stored variants, of which the scan reads the fields asked for and no others."""
+    key = F.when(F.col("event_id") % 2 == 0, "Amount").otherwise("other")
+    body = F.concat(F.lit('{"props":'), F.col("props"), F.lit(',"'), key, F.lit('":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    path = work_folder(spark, "bodies")
+    bodies.store_bodies(table(spark, sf_dir, "events").select("event_id", body.alias("body")), path)
+    rows = bodies.read_bodies(spark, path)
+    found = bodies.spellings(rows, AMOUNT_KEYS)
+    has, value = bodies.pick_field([f for k in AMOUNT_KEYS for f in found[k]])
+    return rows.select("event_id", value.alias("val"), has.alias("found"))
+
+
 @query("""SELECT c_nationkey, '90' || c_custkey AS id, 'Cuenta de ahorros ' || c_name AS name, 'savings' AS type, '****' || right('90' || c_custkey, 4) AS number, round(c_acctbal, 2) AS amount, 'COP' AS currency
 FROM customer WHERE c_custkey % 7 <> 0""")
 def normalize_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,16 +314,20 @@ def normalize_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR ELSE 'tx-' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS id, strftime(o_orderdate, '%Y-%m-%d') AS date,
        CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '—' END AS description, round(o_totalprice, 0) AS amount FROM orders QUALIFY o_orderkey % 5 <> 0""")
 def normalize_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records.normalize_transactions(transaction_payloads(spark, sf_dir), F.col("o_custkey").cast("string"), keep=["o_custkey"])
+    rows = records.normalize_transactions(transaction_payloads(spark, sf_dir), F.col("o_custkey").cast("string"), keep=["o_custkey"], id_offset=F.col("id_offset"))
     return rows.select("o_custkey", "id", "date", "description", "amount.amount")
 
 
+ORIGIN = "https://portal.example.com"
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a stream over JSON files of responses has put in its sink."""
-    base = f"{shared_dir(spark)}/ledgerloom-stream-{uuid.uuid4().hex}"
-    responses(spark, sf_dir).write.json(f"{base}/in")
-    capture.stream_captures(spark, f"{base}/in", "https://portal.example.com", f"{base}/out", f"{base}/progress").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    """What a stream over JSON files of responses has put in its sink; its input and progress are deleted."""
+    arrived, progress, out = (work_folder(spark, f"stream-{x}") for x in ("in", "progress", "out"))
+    responses(spark, sf_dir).write.json(arrived)
+    capture.stream_captures(spark, arrived, ORIGIN, out, progress).awaitTermination()
+    delete_folders(spark, arrived, progress)
+    return spark.read.parquet(out)
 
 
 @query(ORACLE_SQL["capture_filter"])
@@ -308,6 +342,67 @@ def stream_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.infer_endpoints(_stream(spark, sf_dir))
 
 
+def _restarted(spark: SparkSession, sf_dir: str, sink: Callable[..., session.DataStreamWriter]) -> str:
+    """The folder that a stream over a log of responses filled, which ended after the first segment and was begun again after two more."""
+    log, progress, out = (work_folder(spark, f"log-{x}") for x in ("segments", "progress", "out"))
+    every = responses(spark, sf_dir)
+    for part in ((0,), (1, 2)):
+        for k in part:
+            response_log.push(every.filter(F.col("seq") % 3 == k), log)
+        sink(response_log.read_stream(spark, log), ORIGIN, out, progress).trigger(availableNow=True).start().awaitTermination()
+    delete_folders(spark, log, progress)
+    return out
+
+
+@query(ORACLE_SQL["capture_filter"])
+def log_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a log of responses, accumulated batch by batch over a restart."""
+    return session.read_batches(spark, _restarted(spark, sf_dir, session.accumulate)).drop("batch")
+
+
+@query(ORACLE_SQL["infer_endpoints"])
+def running_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints as a running aggregate, after the last batch."""
+    return session.latest_endpoints(spark, _restarted(spark, sf_dir, session.running_endpoints))
+
+
+@query(ORACLE_SQL["capture_filter"])
+def handed_off_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of a session during which responses arrive, until it is handed off."""
+    log, progress, out = (work_folder(spark, f"session-{x}") for x in ("segments", "progress", "out"))
+    every = responses(spark, sf_dir)
+    response_log.push(every.filter(F.col("seq") % 2 == 0), log)
+    with session.CaptureSession(spark, [session.accumulate(response_log.read_stream(spark, log), ORIGIN, out, progress)]) as running:
+        response_log.push(every.filter(F.col("seq") % 2 == 1), log)
+        running.hand_off()
+    delete_folders(spark, log, progress)
+    return session.read_batches(spark, out).drop("batch")
+
+
+@query("""SELECT seq, problem, CASE WHEN problem IS NULL THEN seq::VARCHAR END AS id, CASE WHEN problem IS NULL THEN user_id::DOUBLE END AS amount FROM (
+  SELECT event_id AS seq, user_id, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'rejected' WHEN event_id % 19 = 0 THEN 'failed' WHEN event_id % 11 = 0 THEN 'not_json' WHEN event_id % 3 <> 0 THEN 'no_records' END AS problem FROM events)""")
+def browser_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts in stored responses, a problem for each response without any."""
+    key = F.col("seq")
+    account = F.concat(F.lit('{"data":[{"numero":"'), key.cast("string"), F.lit('","Saldo":'), F.col("user_id").cast("string"), F.lit("}]}"))
+    stored = table(spark, sf_dir, "events").withColumnRenamed("event_id", "seq").select(
+        "seq", F.when(key % 17 == 0, "https://h.co/login").otherwise("https://h.co/api").alias("url"), F.when(key % 13 == 0, 401).when(key % 19 == 0, 500).otherwise(200).alias("status"),
+        F.when(key % 11 == 0, "no json").when(key % 3 == 0, account).otherwise(F.concat(F.lit('{"props":'), F.col("props"), F.lit("}"))).alias("body"),
+    )
+    return records.scan_accounts(stored).select("seq", "problem", "id", "balance.amount")
+
+
+@query("""SELECT c_nationkey, c_custkey, e.key AS key, e.kind AS kind, e.val AS val FROM (SELECT c_nationkey, c_custkey, unnest([
+  {'key': 'orden', 'kind': 'number', 'val': c_custkey::VARCHAR}, {'key': 'numeroProducto', 'kind': 'string', 'val': '90' || c_custkey}, {'key': 'Nombre', 'kind': 'string', 'val': 'Cuenta de ahorros ' || c_name},
+  {'key': 'saldoDisponible', 'kind': CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE 'string' END, 'val': NULL}]) AS e FROM customer)""")
+def json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the records of nested payloads, by the table function in SQL; a balance's text is left out."""
+    records.register(spark)
+    sql = """SELECT c_nationkey, CAST(r.record[0].val AS BIGINT) AS c_custkey, e.key, e.kind, CASE WHEN e.key <> 'saldoDisponible' THEN e.val END AS val
+             FROM {payloads} AS p, LATERAL json_records(p.body) AS r, LATERAL explode(r.record) AS x(e)"""
+    return spark.sql(sql, payloads=account_payloads(spark, sf_dir))
+
+
 @query("""WITH r AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rn, o_orderdate, o_orderpriority, o_totalprice FROM orders),
 p AS (SELECT o_custkey, rn // 4 AS page, count(*) FILTER (k % 5 <> 0) AS n FROM r GROUP BY ALL),
 w AS (SELECT o_custkey, page, coalesce(sum(n) OVER (PARTITION BY o_custkey ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, min(n) OVER (PARTITION BY o_custkey ORDER BY page) AS least FROM p)
@@ -368,13 +463,6 @@ def iso_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.iso_instant(F.col("ts")).alias("at"))
 
 
-@query("SELECT 'COP' AS currency, 4480500.0::DOUBLE AS total, 5::BIGINT AS n_transactions, 3071400.0::DOUBLE AS moved")
-def mock_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net worth and movements of the literal tables."""
-    moved = mock.transactions(spark).groupBy("amount.currency").agg(F.count("*").alias("n_transactions"), F.sum("amount.amount").alias("moved"))
-    return summary.net_worth(mock.accounts(spark)).join(F.broadcast(moved), "currency").select("currency", "total", "n_transactions", "moved")  # a row a currency
-
-
 @query(f"SELECT id, date FROM (SELECT *, row_number() OVER (ORDER BY date, seq) AS rn FROM ({_TRANSACTIONS}) WHERE (date, seq) > ('1995-03-01', 1000)) WHERE rn <= 100")
 def tx_next_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.next_slice(transactions(spark, sf_dir), ["date", "seq"], ["1995-03-01", 1000], 100).select("id", "date")

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerloom.functions.scalars import is_expired, mask_user, preview
 from ledgerloom.functions.urls import path_query, rescope, with_query_param
 from ledgerloom.operators import paging, records, summary
-from ledgerloom.schemas import AMOUNT_KEYS
+from ledgerloom.sources.shared import work_folder
 
 
 class NotFound(LookupError):
@@ -57,20 +56,23 @@ def replayed_history(pages: DataFrame, start: str, end: str, account_id: str | N
     With ``account_id`` they are the pages of one account and need no column
     for it.  A page is its records with an amount: one without any ends the
     walk, and pages are compared by these.  All rows bear the account's id;
-    those out of the range go last.
+    those out of the range go last.  Pages that the walk can't reach aren't
+    parsed, the others once: their rows are stored in the shared folder
+    before the walk, so the call runs a job.
     """
     if account_id is not None:
         pages = pages.withColumn("account", F.lit(account_id))
-    rows = records.explode_records(pages, "body")
-    amount = records.pick(F.col("record"), AMOUNT_KEYS)
-    counts = rows.groupBy("account", "page").agg(F.count_if(amount.isNotNull()).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("account").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    body = pages.join(counts.select("account", "page", before.alias("offset")), ["account", "page"])
-    out = records.normalize_transactions(body, F.col("account"), keep=["page", "account"], id_offset=F.col("offset"))
+    near = pages.filter(F.col("page").between(start_page, start_page + max_pages - 1)).select("account", "page", "body")
+    path = work_folder(pages.sparkSession, "history")
+    records.transaction_fields(records.explode_records(near, "body"), ["account", "page"]).write.parquet(path)
+    rows = pages.sparkSession.read.parquet(path)
+    counts = rows.groupBy("account", "page").agg(F.count("*").alias("n"))
+    offsets = paging.running_before(counts, ["account"], "page", "n")
     text = paging.signature_text(F.col("date"), F.col("amount.amount").cast("string"), F.col("description"))
-    walked = paging.walk_pages(paging.page_signatures(out, ["account"], "page", "ordinal", text), ["account"], start_page, None, max_pages)
-    taken = out.join(walked.select("account", "page", "truncated"), ["account", "page"])
-    return taken.filter(F.col("date").between(start, end)).drop("account")
+    walked = paging.walk_pages(paging.page_signatures(rows, ["account"], "page", "ordinal", text), ["account"], start_page, None, max_pages)
+    taken = rows.join(walked.select("account", "page", "truncated"), ["account", "page"]).join(offsets, ["account", "page"])
+    numbered = taken.withColumn("id", records.synthetic_id(F.col("own_id"), F.col("before"), F.col("ordinal"))).filter(F.col("date").between(start, end))
+    return numbered.select("page", "ordinal", "id", F.col("account").alias("accountId"), "date", "description", "amount", "truncated")
 
 
 def session_info(sessions: DataFrame, now, keep: Sequence[str] = ()) -> DataFrame:

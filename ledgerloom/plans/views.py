@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ledgerloom.operators.paging import numbered
 
 # The account type that stands for each market segment.
 SEGMENT_TYPES = {"AUTOMOBILE": "credit_card", "BUILDING": "loan", "FURNITURE": "savings", "HOUSEHOLD": "checking", "MACHINERY": "investment"}
@@ -57,19 +58,27 @@ def order_record() -> Column:
     )
 
 
-def transaction_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``o_custkey, body``: each customer's orders as a JSON array of :func:`order_record`."""
-    items = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order_record().alias("r"))))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["r"]), ","), F.lit("]")).alias("body"))
+#: Records of one payload of a history, and order keys that are numbered in one window.
+PAYLOAD_RECORDS, NUMBERED = 1000, 1 << 16
 
 
-def replayed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``account, page, body``: each customer's orders in pages of four from 1, as :func:`transaction_payloads` has them."""
-    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    paged = table(spark, sf_dir, "orders").withColumn("page", (F.floor(place / 4) + 1).cast("int"))
+def _order_pages(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """``o_custkey, page, body``: each customer's orders in pages of ``size`` from 0, as JSON arrays of :func:`order_record`."""
+    placed = numbered(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", NUMBERED)
     items = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), order_record().alias("r"))))
     body = F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["r"]), ","), F.lit("]"))
-    return paged.groupBy(F.col("o_custkey").cast("string").alias("account"), "page").agg(body.alias("body"))
+    return placed.groupBy("o_custkey", F.floor(F.col("place") / size).cast("int").alias("page")).agg(body.alias("body"))
+
+
+def transaction_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_custkey, id_offset, body``: each customer's orders in payloads of 1,000, and how many come before."""
+    pages = _order_pages(spark, sf_dir, PAYLOAD_RECORDS)
+    return pages.select("o_custkey", (F.col("page") * PAYLOAD_RECORDS).alias("id_offset"), "body")
+
+
+def replayed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``account, page, body``: each customer's orders in pages of four from 1."""
+    return _order_pages(spark, sf_dir, 4).select(F.col("o_custkey").cast("string").alias("account"), (F.col("page") + 1).alias("page"), "body")
 
 
 def account_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,15 @@ Register :class:`HistorySource` and read ``spark.read.format("paged_history")``
 with the options ``url`` (base), ``token``, ``accounts`` (ids joined by
 commas), ``from``, ``to``, ``page_size``, ``start_page``, ``max_pages`` and
 ``timeout``.  Each account is a partition; its pages are walked in order, since
-only a page's content tells whether there is another.  Conditions on account
+only a page's content tells whether there is another.  With ``mark_truncated`` there
+is a column ``truncated``, true in the last row of a walk that ended at its cap, for
+:class:`ledgerloom.operators.paging.TruncationWatch`.  Conditions on account
 and date are passed to the service, and Spark applies them again.
 """
 
 from __future__ import annotations
 
 import json
-import logging
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -19,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ledgerloom.schemas import ACCOUNT, ACCOUNT_TYPES, DEFAULT_CURRENCY, TRANSACTION
 
@@ -136,8 +137,8 @@ class HistoryReader(DataSourceReader):
             return chr(1).join(f"{r[2]}|{r[4][0]}|{r[3]}" for r in rows)
 
         for rows, capped in walk(fetch, signature, size, int(o.get("start_page", 0)), int(o.get("max_pages", MAX_PAGES))):
-            if capped:
-                logging.getLogger(__name__).warning("history of %s reached the page cap; it may be incomplete", partition.account_id)
+            if o.get("mark_truncated", "false").lower() == "true":
+                rows = [(*r, capped and i + 1 == len(rows)) for i, r in enumerate(rows)]
             yield from rows
 
 
@@ -149,7 +150,8 @@ class HistorySource(DataSource):
         return "paged_history"
 
     def schema(self) -> StructType:
-        return TRANSACTION
+        marked = self.options.get("mark_truncated", "false").lower() == "true"
+        return StructType([*TRANSACTION, StructField("truncated", BooleanType())]) if marked else TRANSACTION
 
     def reader(self, schema: StructType) -> HistoryReader:
         return HistoryReader(dict(self.options))

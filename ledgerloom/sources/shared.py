@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
+_folders: list[str] = []
 LOCAL_FALLBACK = "file:///tmp/checkpoints/ledgerloom"
 
 
@@ -21,3 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL_FALLBACK
     return found.rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has; :func:`delete_folders` knows of it."""
+    path = f"{shared_dir(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def delete_folders(spark: SparkSession, *paths: str) -> None:
+    """Delete these folders of :func:`work_folder`, or all; DataFrames that read them are of no more use."""
+    for text in paths or tuple(_folders):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _folders.remove(text)
