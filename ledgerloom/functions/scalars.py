@@ -105,6 +105,10 @@ def is_credit(amount: Column) -> Column:
     return amount > 0
 
 
+# Currencies without smaller units (ISO 4217).
+WHOLE_CURRENCIES = ("BIF", "CLP", "DJF", "GNF", "ISK", "JPY", "KMF", "KRW", "PYG", "RWF", "UGX", "VND", "VUV", "XAF", "XOF", "XPF")
+
+
 def pad_right(text: Column, width: int) -> Column:
     """Pad with spaces, never cut."""
     return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
@@ -123,10 +127,15 @@ def number_text(value: Column) -> Column:
 
 
 def format_money(amount: Column, currency: Column) -> Column:
-    """Points for thousands, a decimal comma, halves away from zero; two decimals but for pesos, a sign in front."""
+    """Points for thousands, a decimal comma, halves away from zero, a sign in front.
+
+    Pesos have no decimals and other currencies two, of which those without
+    smaller units show only what isn't zero at the end.
+    """
     peso = currency == "COP"
     size = F.abs(amount)
-    text = F.when(peso, F.format_number(F.round(size, 0), 0)).otherwise(F.format_number(F.round(size, 2), 2))
+    cents = F.format_number(F.round(size, 2), 2)
+    text = F.when(peso, F.format_number(F.round(size, 0), 0)).when(currency.isin(*WHOLE_CURRENCIES), F.regexp_replace(cents, r"\.?0+$", "")).otherwise(cents)
     mark = F.when(peso, F.lit("$ ")).otherwise(F.concat(currency, F.lit(" ")))
     return F.concat(F.when(amount < 0, "-").otherwise(""), mark, F.translate(text, ",.", ".,"))
 

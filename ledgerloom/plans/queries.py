@@ -13,8 +13,8 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.functions import urls as U
 from ledgerloom.operators import paging, records, summary
 from ledgerloom.plans import service
-from ledgerloom.schemas import AMOUNT_KEYS
-from ledgerloom.sources import bodies, response_log
+from ledgerloom.schemas import ACCOUNT, AMOUNT_KEYS, MONEY
+from ledgerloom.sources import bodies, files, response_log
 from ledgerloom.sources.shared import delete_folders, work_folder
 from ledgerloom.streaming import capture, session
 
@@ -74,6 +74,21 @@ def account_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts(spark, sf_dir).select("id", "name", "type", "number", "balance.amount", "balance.currency")
 
 
+@query(ORACLE_SQL["account_scan"])
+def account_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts written as JSON files and read back with exactly their types, each checked."""
+    path = work_folder(spark, "accounts")
+    files.write_json(accounts(spark, sf_dir).withColumn("available", F.lit(None).cast(MONEY)), path)
+    found = files.checked_accounts(files.read_strict(spark, path, ACCOUNT, lines=True))
+    return found.select("id", "name", "type", "number", "balance.amount", "balance.currency")
+
+
+@query(f"SELECT id, json_object('id', id, 'name', name, 'type', type, 'number', number)::VARCHAR AS json FROM ({_ACCOUNTS})")
+def account_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account as the JSON of a response, without its balance."""
+    return accounts(spark, sf_dir).select("id", F.to_json(F.struct("id", "name", "type", "number")).alias("json"))
+
+
 @query(f"SELECT id, name, amount, currency FROM ({_ACCOUNTS}) WHERE id = '42' ORDER BY seq LIMIT 1")
 def account_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.first_match(accounts(spark, sf_dir), F.col("id") == "42", "seq", ["id", "name", "balance.amount", "balance.currency"])

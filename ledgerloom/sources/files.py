@@ -10,9 +10,9 @@ from pyspark.sql.types import StructType
 from ledgerloom.schemas import ACCOUNT_TYPES, DEFAULT_CURRENCY
 
 
-def read_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """JSON arrays or lines with exactly typed fields; one bad row fails the read."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def read_strict(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:
+    """Files of one JSON array or object each, or of an object a ``lines``, with exactly typed fields; one bad row fails the read."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
 
 
 def checked_accounts(accounts: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def checked_accounts(accounts: DataFrame) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """A folder of JSON lines; :func:`ledgerloom.sources.json_state.save` writes one file."""
     df.write.mode("overwrite").json(path)
 
 

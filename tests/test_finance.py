@@ -66,6 +66,7 @@ def test_masks_and_display(spark):
     assert each(spark, lambda c: S.pad_right(c, 3), ["a", "abcd", "abc"]) == ["a  ", "abcd", "abc"]
     assert each(spark, lambda c: S.format_money(c, F.lit("COP")), [2.5, -2.5, 1234567.0], "double") == ["$ 3", "-$ 3", "$ 1.234.567"]
     assert each(spark, lambda c: S.format_money(c, F.lit("USD")), [1234.5], "double") == ["USD 1.234,50"]
+    assert each(spark, lambda c: S.format_money(c, F.lit("JPY")), [100.0, -1234.5, 0.0, 1000000.25], "double") == ["JPY 100", "-JPY 1.234,5", "JPY 0", "JPY 1.000.000,25"]
     assert each(spark, lambda c: S.preview(c, 3), ["ab", "abc", "abcd"]) == ["ab", "abc…", "abc…"]
 
 
@@ -304,6 +305,8 @@ def test_files(spark, tmp_path):
     files.write_json(good, f"{tmp_path}/a")
     back = files.read_strict(spark, f"{tmp_path}/a", ACCOUNT)
     assert files.checked_accounts(back).count() == 1
+    files.write_json(spark.createDataFrame(money(*[("loan", i, "COP") for i in range(7)]), ACCOUNT).coalesce(1), f"{tmp_path}/lines")
+    assert files.read_strict(spark, f"{tmp_path}/lines", ACCOUNT, lines=True).count() == 7
     with pytest.raises(Exception, match="incomplete"):
         files.checked_accounts(spark.createDataFrame(money(("yacht", 1, "COP")), ACCOUNT)).collect()
     assert files.read_json_or_none(spark, f"{tmp_path}/none", ACCOUNT) is None
