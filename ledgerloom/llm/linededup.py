@@ -13,7 +13,10 @@ emitted for that stretch only, under a key of all that surrounds it:
    lines that may have a partner, by hashes alone.
 2. Those lines, cut in ``PARTS`` parts, emit for each part the hash of the
    rest.  Lines that share one get to step 3 with that part.
-3. The part's deletion variants are emitted.  Equal variants give the
+3. A part of more than ``PIECE`` characters is cut in ``PARTS`` again, under the
+   key that it has, until those that lines still share are short.  So work is
+   linear in a line's length.
+4. The part's deletion variants are emitted.  Equal variants give the
    earliest line that shares each, never a list of a group's lines, and the
    edit distance is verified on the whole lines.
 
@@ -34,6 +37,8 @@ from .scratch import passing, small, stored
 #: One edit makes another word of a shorter line; those are compared for equality only.
 NEAR_CHARS = 20
 HALVES, PARTS = 2, 8
+#: Characters of a part whose deletion variants are emitted; longer ones are cut again.
+PIECE = 64
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -50,8 +55,8 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _around(line: Column, size: Column, target: Column, part: Column, parts: int, more: list[Column]) -> tuple[Column, Column, Column]:
-    """Key of what surrounds one part, the part, and its target length.
+def _around(line: Column, size: Column, target: Column, part: Column, parts: int, more: list[Column]) -> tuple[Column, ...]:
+    """Key of what surrounds one part, the part, its target length, and the characters before and after it.
 
     ``target`` is ``size`` or one less: what stands before the part is counted
     from the left and what follows it from the right, so that a line and the
@@ -60,7 +65,7 @@ def _around(line: Column, size: Column, target: Column, part: Column, parts: int
     begin, end = (part * target / parts).cast("int"), ((part + 1) * target / parts).cast("int")
     after = target - end
     key = F.xxhash64(*more, target, part, F.left(line, begin), F.right(line, after))
-    return key, F.substring(line, begin + 1, size - after - begin), end - begin
+    return key, F.substring(line, begin + 1, size - after - begin), end - begin, begin, after
 
 
 def _half_keys(line: Column) -> list[Column]:
@@ -69,17 +74,34 @@ def _half_keys(line: Column) -> list[Column]:
 
 
 def _windows(lines: DataFrame) -> DataFrame:
-    """For each line and part: ``near`` (the key of the rest), ``part`` (its text) and ``longer`` (it has one character more than the target)."""
+    """For each line and part: ``near`` (the key of the rest), ``part`` (its text), ``longer`` (it has one character more than the target), and how much stands ``before`` and ``after`` it."""
     size = F.length("line")
 
     def one(x: Column) -> Column:
         short, k = (x >= PARTS).cast("int"), x % PARTS
-        near, part, target = _around(F.col("line"), size, size - short, k, PARTS, [F.lit(1)])
-        return F.struct(near.alias("near"), part.alias("part"), (F.length(part) > target).alias("longer"))
+        near, part, target, before, after = _around(F.col("line"), size, size - short, k, PARTS, [F.lit(1)])
+        return F.struct(near.alias("near"), part.alias("part"), (F.length(part) > target).alias("longer"), before.alias("before"), after.alias("after"))
 
     return lines.select("h1", "occ", F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * PARTS - 1)), one)).alias("w")).select("h1", "occ", "w.*")
 
 
+def _finer(windows: DataFrame) -> DataFrame:
+    """The windows of each window's part: what surrounds a smaller part, under the key of what surrounds the whole one."""
+    size = F.length("part")
+
+    def one(k: Column) -> Column:
+        near, part, target, before, after = _around(F.col("part"), size, size - F.col("longer").cast("int"), k, PARTS, [F.col("near")])
+        return F.struct(near.alias("near"), part.alias("part"), (F.length(part) > target).alias("longer"), (F.col("before") + before).alias("before"), (F.col("after") + after).alias("after"))
+
+    return windows.select("h1", "occ", F.explode(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), one)).alias("w")).select("h1", "occ", "w.*")
+
+
+def _shared(windows: DataFrame) -> DataFrame:
+    """Of stored ``windows`` those whose surroundings two lines have, one of them the shorter or equal one."""
+    shared = windows.groupBy("near").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("longer").alias("all_longer")).filter((F.col("a") != F.col("b")) & ~F.col("all_longer"))
+    return windows.join(stored(shared.select("near"), "lines-near"), "near")
+
+
 def _variants(windows: DataFrame) -> DataFrame:
     """``variant, swap`` for each window: the hashed deletion neighbourhood.
 
@@ -96,15 +118,21 @@ def _variants(windows: DataFrame) -> DataFrame:
     cuts = F.transform(places, lambda i: row(F.xxhash64("near", F.lit(3), without(i)), False))
     whole = F.array(row(F.xxhash64("near", F.lit(3), part), False))
     emitted = F.when(F.col("longer"), F.array_distinct(cuts)).otherwise(F.concat(swaps, whole))
-    return windows.select("occ", "part", "longer", F.explode(emitted).alias("v")).select("occ", "part", "longer", "v.*")
+    own = ["occ", "part", "longer", "before", "after"]
+    return windows.select(*own, F.explode(emitted).alias("v")).select(*own, "v.*")
 
 
 def near_dropped(lines: DataFrame) -> DataFrame:
     """``occ`` of those of the distinct ``lines`` (``h1, occ, line``) that have an earlier one at one edit."""
     windows = stored(_windows(lines), "lines-windows")
-    shared = windows.groupBy("near").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("longer").alias("all_longer")).filter((F.col("a") != F.col("b")) & ~F.col("all_longer"))
-    variants = _variants(windows.join(stored(shared.select("near"), "lines-near"), "near"))
-    variants = stored(variants, "lines-variants")
+    longest = windows.agg(F.max(F.length("part"))).first()[0] or 0
+    chosen = _shared(windows)
+    short = chosen.filter(F.length("part") <= PIECE)
+    while longest > PIECE:
+        longest = longest // PARTS + 2
+        chosen = _shared(stored(_finer(chosen.filter(F.length("part") > PIECE)), "lines-finer"))
+        short = short.union(chosen.filter(F.length("part") <= PIECE).select(short.columns))
+    variants = stored(_variants(short), "lines-variants")
     first = lambda longer: F.min(F.when(F.col("longer") == longer, F.struct("occ", "part")))
     groups = stored(variants.groupBy("variant").agg(first(False).alias("short_one"), first(True).alias("long_one")), "lines-groups")
     partner = F.when(F.col("swap") | F.col("longer"), F.col("short_one")).otherwise(F.col("long_one"))
@@ -113,11 +141,13 @@ def near_dropped(lines: DataFrame) -> DataFrame:
         .withColumn("partner", partner)
         .filter(F.col("partner.occ") < F.col("occ"))
         .filter(F.levenshtein(F.col("part"), F.col("partner.part"), 1).between(0, 1))
-        .select("occ", F.col("partner.occ").alias("earlier"))
+        .select("occ", F.col("partner.occ").alias("earlier"), "before", "after")
         .distinct()
     )
     whole = found.join(lines.select("occ", "line"), "occ").join(lines.select(F.col("occ").alias("earlier"), F.col("line").alias("other")), "earlier")
-    return whole.filter(F.levenshtein(F.col("line"), F.col("other"), 1).between(0, 1)).select("occ").distinct()
+    inner = lambda c: F.substring(c, F.col("before") + 1, F.length(c) - F.col("before") - F.col("after"))  # noqa: E731  at most PIECE characters and one
+    same = (F.left("line", F.col("before")) == F.left("other", F.col("before"))) & (F.right("line", F.col("after")) == F.right("other", F.col("after")))
+    return whole.filter(same & F.levenshtein(inner("line"), inner("other"), 1).between(0, 1)).select("occ").distinct()
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_chars: int = NEAR_CHARS) -> DataFrame:

@@ -101,3 +101,26 @@ def test_digest_of_kept_text(spark):
 
     out = linededup.dedup_lines(frame(spark, [(1, "é\nb")])).select(F.sha2(F.col("kept_text").cast("binary"), 256).alias("s")).first()
     assert out.s == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+def test_long_lines_in_linear_work(spark):
+    """Lines of a megabyte, one edit or two apart, beside some of a few thousand characters."""
+    rng = random.Random(21)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(1_000_000))
+    mid = [sentence(rng, 700) for _ in range(3)]
+    rows = [(0, long), (1, long[:400_003] + "X" + long[400_003:]), (2, long[:999_999] + "z"), (3, "q" + long[1:-1] + "q"), (4, long[1:]), (5, long[:500_000] + "??" + long[500_002:])]
+    rows += [(10 + i, m) for i, m in enumerate(mid)] + [(20 + i, edited(rng, m)) for i, m in enumerate(mid)] + [(30 + i, edited(rng, edited(rng, m))) for i, m in enumerate(mid)]
+    got = {i: n for i, (_, _, n) in answer(linededup.dedup_lines(frame(spark, rows))).items()}
+    assert {i for i, n in got.items() if n} >= {1, 2, 4, 20, 21, 22} and not got[0] and not got[5] and not got[3]
+    small_rows = [r for r in rows if r[0] >= 10]
+    want = brute(small_rows)
+    assert all(got[i] == want[i][2] for i, _ in small_rows)
+
+
+def test_parts_are_cut_again_at_any_length(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "PIECE", 2)
+    rng = random.Random(22)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 60))) for _ in range(40)]
+    lines += [edited(rng, rng.choice(lines)) for _ in range(60)]
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(20)]
+    assert answer(linededup.dedup_lines(frame(spark, rows))) == brute(rows)
