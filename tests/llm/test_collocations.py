@@ -52,13 +52,14 @@ def prose(seed, n):
     return [("".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randint(0, 80))), rng.choice(["en", "de", None])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"slice_bytes": 50, "chunk_words": 30, "group_keys": 20}])
-def test_equals_brute_force(spark, limits):
+SMALL = {"slice_bytes": 50, "chunk_words": 30, "group_keys": 20}
+
+
+@pytest.mark.parametrize(("asked", "limits"), [((4, 5, 2000, 100), {}), ((4, 5, 2000, 100), SMALL), ((6, 3, 7, 60), SMALL), ((3, 2, 5, 100), {})])
+def test_equals_brute_force(spark, asked, limits):
     rows = prose(1, 60) + [(t, "en") for _, t in corpus(3)[:40]] + [(None, "fr"), ("", None), ("a a a a a a a", "fr"), (" \t\n", "es")]
     rows += [("the same phrase here " * 30, "en"), ("q " * 400 + "z", "it"), ("y" * 300, "it")]
-    for least, longest, top, cover in ((4, 5, 2000, 100), (6, 3, 7, 60), (3, 2, 5, 100)):
-        found = co.collocations(frame(spark, rows), least, longest, top, cover, **limits)
-        assert answer(found) == brute(rows, least, longest, top, cover)
+    assert answer(co.collocations(frame(spark, rows), *asked, **limits)) == brute(rows, *asked)
 
 
 def test_clashing_words_are_hashed_anew(spark, monkeypatch):
