@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.schemas import ACCOUNT_TYPES, DEFAULT_CURRENCY
 
@@ -34,19 +34,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+_BROKEN = "_broken"
+
+
 def read_json_or_none(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """A JSON file, or None if it is missing or broken."""
+    """A JSON file, or None if it is missing or any of it isn't JSON with these types; one pass looks at every field."""
+    reader = spark.read.schema(StructType([*schema, StructField(_BROKEN, StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", _BROKEN)
     try:
-        found = read_strict(spark, path, schema)
-        found.agg(F.bit_xor(F.xxhash64(*found.columns))).collect()  # one number; every field is parsed
-        return found
+        found = reader.json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    except Exception as e:  # Spark's own, or the bridge's, by version
-        if "MALFORMED_RECORD" not in str(e):
-            raise
-    return None
+        return None
+    _, broken = found.agg(F.bit_xor(F.xxhash64(*schema.names)), F.count(_BROKEN)).first()
+    return None if broken else read_strict(spark, path, schema)
 
 
 def pretty(df: DataFrame, name: str = "json") -> DataFrame:

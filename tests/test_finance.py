@@ -312,6 +312,8 @@ def test_files(spark, tmp_path):
     assert files.read_json_or_none(spark, f"{tmp_path}/none", ACCOUNT) is None
     (tmp_path / "bad.json").write_text("[{")
     assert files.read_json_or_none(spark, f"{tmp_path}/bad.json", ACCOUNT) is None
+    (tmp_path / "typed.json").write_text('[{"id":"a","balance":{"amount":1}},{"id":"b","balance":{"amount":"x"}}]')
+    assert files.read_json_or_none(spark, f"{tmp_path}/typed.json", ACCOUNT) is None
     assert files.read_json_or_none(spark, f"{tmp_path}/a", ACCOUNT).count() == 1
     assert '"id"' in files.pretty(good).first().json
 
