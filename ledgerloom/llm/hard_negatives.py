@@ -21,6 +21,8 @@ from .scratch import passing, stored
 
 #: Rows of a block, anchors of a band, and anchors whose scores are computed at once.
 BLOCK, BAND, STEP = 8192, 8192, 64
+#: Bytes of a block's or a band's numbers at most; wide vectors make smaller ones.
+TILE_BYTES = 64 << 20
 #: A component counts as floor(SCALE * x).
 SCALE = 256
 
@@ -150,9 +152,10 @@ def hard_negatives(
     asked = asked.filter(F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", finite)).withColumn("row", F.monotonically_increasing_id())
     with passing(vectors.sparkSession) as keep:
         rows = stored(asked, "vectors")
-        n, n_anchors = rows.agg(F.count("*"), F.count_if("asked")).first()
-        rows = rows.withColumn("block", F.pmod("row", F.lit(n // BLOCK + 1)).cast("int"))
-        anchors = rows.filter("asked").select(*(F.col(c).alias(a) for c, a in ANCHOR.items()), F.pmod("row", F.lit(n_anchors // BAND + 1)).cast("int").alias("band"))
+        n, n_anchors, width = rows.agg(F.count("*"), F.count_if("asked"), F.max(F.size("vector"))).first()
+        most = max(1, TILE_BYTES // (8 * max(1, width or 0)))
+        rows = rows.withColumn("block", F.pmod("row", F.lit(n // min(BLOCK, most) + 1)).cast("int"))
+        anchors = rows.filter("asked").select(*(F.col(c).alias(a) for c, a in ANCHOR.items()), F.pmod("row", F.lit(n_anchors // min(BAND, most) + 1)).cast("int").alias("band"))
         rows = rows.select("id", "label", "vector", "row", "block")
 
         best = _meet(anchors, rows, _best_of_label(scale, positives), _BEST)

@@ -62,6 +62,16 @@ def test_large_components_stay_exact(spark):
         hn.hard_negatives(frame(spark, [(i, [1e30], 1) for i in range(3)]), F.col("vec_id") >= 0).collect()
 
 
+def test_wide_vectors_make_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(hn, "TILE_BYTES", 8 * 6 * 10)  # ten vectors of six
+    rows = vectors(5, 60)
+    blocks = []
+    meet = hn._meet
+    monkeypatch.setattr(hn, "_meet", lambda a, r, run, schema: blocks.append(r.groupBy("block").count().agg(F.max("count")).first()[0]) or meet(a, r, run, schema))
+    assert answer(hn.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)) == brute(rows)
+    assert max(blocks) <= 12
+
+
 def test_tables_without_rows_or_anchors(spark):
     rows = vectors(4, 20)
     assert hn.hard_negatives(frame(spark, rows), F.lit(False)).count() == 0
