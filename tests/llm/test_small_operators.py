@@ -332,6 +332,55 @@ def test_fit_equals_dense_kernel_ridge(spark):
     assert np.abs(model.scores(bits) - kernel @ dense).max() < 2e-3
 
 
+def test_every_row_takes_part_in_the_regression(spark):
+    """The landmarks are bounded, the rows that the weights follow from aren't."""
+    import numpy as np
+
+    rng = random.Random(18)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "klmnopab"}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(rng.randint(3, 40))), lang) for i, lang in enumerate(rng.choices("abc", (6, 3, 1), k=300))]
+    df = spark.createDataFrame(rows, "rec_id long, text string, lang string").repartition(3)
+    model = langid.fit(df, per_language=10, landmarks=30, ridge=1e-2)
+    bits = {i: np.zeros(langid.BUCKETS, np.float32) for i, _, _ in rows}
+    for i, text, _ in rows:
+        langid.presence(text, bits[i])
+    unit = {i: x / np.linalg.norm(x) for i, x in bits.items()}
+    marks = np.stack([unit[r.rec_id] for r in langid.sample_rows(df, 10, 30).collect()]).astype(np.float64)
+    assert len(marks) == 30 and model.languages == ("a", "b", "c")
+    kernel = np.stack([unit[i] for i, _, _ in rows]) @ marks.T
+    target = np.array([[lang == x for x in model.languages] for _, _, lang in rows], float)
+    weight = (target / target.sum(axis=0)).sum(axis=1)[:, None]
+    square = marks @ marks.T
+    alpha = np.linalg.solve(kernel.T @ (kernel * weight) + 1e-2 * 3 * (square + 1e-6 * np.eye(30)), kernel.T @ (target * weight))
+    assert np.abs(model.scores(np.stack([bits[i] for i, _, _ in rows])) - kernel @ alpha).max() < 2e-3
+
+
+def test_least_score_is_of_all_held_out_rows(spark, monkeypatch):
+    """More than any bound of old; a rare language, harder than the other, has its own lowest hundredth."""
+    monkeypatch.setattr(langid, "CEILING", 1.0)
+    rng = random.Random(19)
+    letters = {"aa": "abcdefgh", "bb": "abcdefghijkl", None: "abcd"}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(rng.randint(2, 12))), lang) for i, lang in enumerate(rng.choices(["aa", "bb", None], (40, 2, 1), k=24_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.learn_from(docs, landmarks=60)
+    found = [r for r in langid.identify(docs.filter(langid.held_out()), model, keep=("lang",)).collect() if r.lang == r.lang_pred]
+    lowest = lambda own: sorted(own)[int(0.01 * len(own))]
+    each = [[r.score for r in found if r.lang in langs] for langs in (["aa", "bb"], ["aa"], ["bb"])]
+    assert len(each[0]) > 5000 and len(each[2]) >= 100
+    least = langid.ROOM * min(map(lowest, each))
+    assert langid.least_score(docs, model) == least < langid.ROOM * lowest(each[1])
+
+
+def test_order_statistics_with_ties_and_near_values(spark):
+    rng = random.Random(20)
+    rows = [("x", rng.choice([0.0, 0.25, 0.25 + 2**-40, 1.0])) for _ in range(500)] + [("y", rng.random()) for _ in range(999)] + [("z", 0.5)]
+    df = spark.createDataFrame(rows, "part string, score double")
+    for share in (0.01, 0.3, 0.5, 0.999):
+        expected = {p: (own := sorted(s for q, s in rows if q == p))[int(share * len(own))] for p in "xyz"}
+        assert langid.order_statistics(df, share) == expected
+    assert langid.order_statistics(df.limit(0), 0.5) == {}
+
+
 def test_presence_is_the_same_in_windows(monkeypatch):
     import numpy as np
 
